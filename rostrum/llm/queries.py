@@ -4,17 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, quality, secrets, simhash
+from . import attribution, html, mixing, packing, quality, secrets, simhash, tiff
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_counts(spark, sf_dir):
+    return attribution.section_report(table(spark, sf_dir, "documents"))
+
+
 def op2_secret_scan(spark, sf_dir):
     return secrets.secret_report(table(spark, sf_dir, "documents"))
 
 
+def op3_media(spark, sf_dir):
+    return tiff.media_report(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash(spark, sf_dir):
     return simhash.near_duplicate_report(table(spark, sf_dir, "documents"))
 
@@ -27,6 +35,10 @@ def op6_mixing(spark, sf_dir):
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op9_html(spark, sf_dir):
+    return html.extracted(table(spark, sf_dir, "pages"))
+
+
 def op10_quality(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,5 +49,5 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op2_secret_scan, op4_simhash, op5_packing, op6_mixing, op10_quality, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_media, op4_simhash, op5_packing, op6_mixing, op9_html, op10_quality, pipeline)}
 ORACLES = {"op6_mixing": mixing.ORACLE}
