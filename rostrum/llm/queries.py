@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attribution, html, mixing, packing, quality, secrets, simhash, suffixes, tiff
+from . import attribution, chaining, html, mixing, packing, quality, secrets, simhash, suffixes, tiff
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op7_suffix_dedup(spark, sf_dir):
     return suffixes.substring_report(table(spark, sf_dir, "documents"))
 
 
+def op8_chaining(spark, sf_dir):
+    return chaining.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_html(spark, sf_dir):
     return html.extracted(table(spark, sf_dir, "pages"))
 
@@ -53,5 +57,5 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_media, op4_simhash, op5_packing, op6_mixing, op7_suffix_dedup, op9_html, op10_quality, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_media, op4_simhash, op5_packing, op6_mixing, op7_suffix_dedup, op8_chaining, op9_html, op10_quality, pipeline)}
 ORACLES = {"op6_mixing": mixing.ORACLE}
