@@ -14,7 +14,7 @@ from ..schema import REGISTRY_ITEM, REPORT, SITTING
 
 def whole_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """(path, text) of every file below a folder whose name fits; one file is one row and must fit in a task."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder)
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder, wholetext=True)
     return rows.select(F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"), F.col("value").alias("text"))
 
 
@@ -38,8 +38,8 @@ def contents(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def is_damaged(text):
-    """Files that weren't UTF-8 hold replacement characters; they go to quarantine."""
-    return F.col(text).contains("�")
+    """Files that aren't UTF-8, or hold the replacement characters of some that weren't; they go to quarantine."""
+    return ~F.is_valid_utf8(text) | F.col(text).contains("\ufffd")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -57,7 +57,7 @@ def registry(spark: SparkSession, path: str) -> DataFrame:
     schema = T.MapType(T.StringType(), REGISTRY_ITEM)
     if not exists(spark, path):
         return spark.createDataFrame([], T.StructType([T.StructField("key", T.StringType()), *REGISTRY_ITEM.fields]))
-    rows = spark.read.option("wholetext", True).text(path).select(F.explode(F.from_json("value", schema)).alias("key", "item"))
+    rows = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", schema)).alias("key", "item"))
     return rows.select("key", "item.*")
 
 
