@@ -90,7 +90,8 @@ def derive(items) -> tuple[set[str] | None, object]:
         elif what is K.BRANCH:
             found = [derive(y) for y in x[1]]
             options = None if any(o is None for o, _ in found) else set().union(*(o for o, _ in found))
-            parts.append(both([q if o is None else of_strings(o) for o, q in found], "or"))
+            if options is None:
+                parts.append(both([q if o is None else of_strings(o) for o, q in found], "or"))
         elif what in (K.MAX_REPEAT, K.MIN_REPEAT):
             low, high, inner = x
             options, query = derive(inner)
