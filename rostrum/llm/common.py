@@ -46,9 +46,8 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def unused(df: DataFrame, name: str = "found") -> str:
-    """A column name that df doesn't have, in any case of letters."""
-    have = {c.lower() for c in df.columns}
-    while name in have:
+    """A name that no column of df has or begins with, in any case of letters."""
+    while any(c.lower().startswith(name) for c in df.columns):
         name += "_"
     return name
 
