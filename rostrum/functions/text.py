@@ -59,7 +59,7 @@ def is_procedural(c) -> Column:
 
 
 def is_section_heading(c, strict: bool = False) -> Column:
-    """A short line that is a heading by its form. As the reference behaviour has it, any short line of letters is one;
+    """A short line that is a heading by its form. Case is ignored, so any short line of letters is one;
     strict asks for capitals there."""
     line = strip_ws(c)
     found = (F.length(line) < P.HEADING_LENGTH) & line.rlike(P.HEADING)
