@@ -18,7 +18,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: UTF-8 bytes of text that a Python step holds at once (a longer document alone makes a slice).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
+BATCH_BYTES = 8 << 20
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -66,12 +67,22 @@ def slices(texts: pa.Array):
         at = end
 
 
+def bounded_batches() -> None:
+    """Lowers the session's limit on the bytes of an Arrow batch (64 MB by itself) to BATCH_BYTES: a batch stands several times in
+    an executor's memory, inside the JVM and out of it, for each of its cores."""
+    spark = SparkSession.getActiveSession()
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark and int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def text_column(make, schema: str | T.StructType):
     """A function from a text (or binary) column to a struct column.
 
     make() runs once in each task and gives a function from a list of values, nulls included, to the struct's columns.
     Rows stay where they are: no shuffle, and memory is bounded by SLICE_BYTES and the longest text.
     """
+    bounded_batches()
     kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
     fields = [pa.field(f.name, to_arrow_type(f.dataType)) for f in kind.fields]
 
