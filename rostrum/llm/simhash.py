@@ -128,6 +128,8 @@ BANDS = 64
 LEAST_BAND_BITS, MOST_BAND_BITS = 20, 32
 #: Of 64 bits, so many differ at most in candidates: at similarity 0.8 the mean is 9.7 with a deviation of 2.9.
 CANDIDATE_DISTANCE = 22
+#: Nodes or rows (16 bytes each) up to which a counted list is broadcast to spare a shuffle of texts; longer ones are joined by a shuffle.
+BROADCAST_ROWS = 400_000
 
 
 def wide_bits(hashes: np.ndarray, blocks: int) -> np.ndarray:
@@ -178,13 +180,15 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> D
     """
     rows = max(2, docs.count())
     bits = min(MOST_BAND_BITS, max(LEAST_BAND_BITS, (rows - 1).bit_length() + 2))
-    marks = docs.select("node", bands(docs["text"], words, bits).alias("m")).select("node", "m.bits", F.explode("m.bands").alias("band")).distinct()
+    marks = docs.select("node", bands(docs["text"], words, bits).alias("m")).groupBy("node").agg(F.first("m").alias("m"))  # of copies one goes on
+    marks = marks.select("node", "m.bits", F.explode("m.bands").alias("band"))
     order = Window.partitionBy("band").orderBy("bits", "node")
     here = F.struct("node", "bits")
     near = marks.select(here.alias("b"), F.array_distinct(F.array(F.first(here).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lag(here).over(order))).alias("a"))
     pairs = near.select("b", F.explode("a").alias("a")).where("a is not null and a.node <> b.node").where(F.bit_count(F.expr("a.bits ^ b.bits")) <= CANDIDATE_DISTANCE)
     pairs = cut(pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted  # else all texts would be shuffled to find some
     sets = docs.join(wanted, "node", "left_semi").select("node", shingle_set(docs["text"], words).alias("all")).groupBy("node").agg(F.first("all").alias("all"))
     sets = stored(sets)
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("all").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("all").alias("of_b")), "b")
@@ -199,10 +203,20 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     counts as the least. All columns stay as they are.
     """
     node, key = unused(docs, "node"), unused(docs, "key")
+    on = [node, key]
     rows = docs.withColumns({node: F.xxhash64("text"), key: F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))})
     texts = rows.select(F.col(node).alias("node"), "text")
-    nodes = cut(rows.groupBy(F.col(node).alias("node")).agg(F.min(key).alias("least")))
+    counted = cut(rows.groupBy(on).agg(F.count(F.lit(1)).alias("n")))
+    nodes = counted.groupBy(F.col(node).alias("node")).agg(F.min(key).alias("least"))
     roots = components(similar_links(texts, words, similarity))
     classes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     keep = classes.groupBy("root").agg(F.min(F.struct("least", "node")).alias("k")).select(F.col("k.node").alias(node), F.col("k.least").alias(key))
-    return rows.join(keep, [node, key], "left_semi").dropDuplicates([node, key]).select(docs.columns)
+    keep = cut(counted.join(keep, on, "left_semi"))
+    gone = cut(counted.join(keep, on, "left_anti").select(on))
+    few = gone.count() <= BROADCAST_ROWS  # then texts stay where they are
+    left = rows.join(F.broadcast(gone), on, "left_anti") if few else rows.join(keep.select(on), on, "left_semi")
+    again = keep.where("n > 1").select(on)
+    if again.isEmpty():
+        return left.select(docs.columns)
+    once = left.join(again, on, "left_anti").unionByName(left.join(again, on, "left_semi").dropDuplicates(on))
+    return once.select(docs.columns)
