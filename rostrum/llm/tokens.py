@@ -4,11 +4,18 @@ each distinct word once for as long as the cache keeps it. The ids are those of
 from __future__ import annotations
 
 import os
+from array import array
+from unicodedata import is_normalized
 
 import numpy as np
 
 VOCABULARY = "word_bpe_49k.json"
-CACHED_WORDS = 250_000
+CACHED_WORDS = 400_000
+#: Words encoded in one call; each takes about a kilobyte until its ids are taken out.
+ENCODED_WORDS = 8192
+#: Marks that the vocabulary's rules split from letters before them; a word's letters and its marks are encoded apart.
+MARKS = b".,!?;:%&*#$()\"-"  # not the apostrophe, nor what the names of special tokens are made of
+LATIN_END = "\u0250"
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -18,28 +25,73 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def parts(word: bytes) -> tuple[bytes, bytes, bool]:
+    """A word's letters in lower case, the marks after them, and True, if they are letters of the Latin alphabets, composed: the
+    vocabulary's rules leave such letters as they are, in one piece. Any other word as it is, and False."""
+    letters = word.rstrip(MARKS)
+    if letters.isalpha():  # of bytes: ASCII letters
+        return letters.lower(), word[len(letters) :], True
+    if letters and not letters.isascii():
+        text = letters.decode("utf-8", "replace")
+        if text.isalpha() and max(text) < LATIN_END and is_normalized("NFC", text):
+            low = text.lower()
+            if len(low) == len(text) and max(low) < LATIN_END:
+                return low.encode(), word[len(letters) :], True
+    return word, b"", False
+
+
 class WordTokens:
     """For each word its ids as little-endian 32-bit numbers, or, with spans, (number of tokens, their character spans in it)."""
 
     def __init__(self, path: str | None = None, spans: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path or vocabulary_path())
+        # the same vocabulary and merges without the rules that leave plain words alone
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.spans = spans
         self.cache: dict[bytes, object] = {}
 
-    def learn(self, many: list[list[bytes]]) -> None:
-        """Encodes the words of these documents that the cache lacks, in one call."""
+    def encode(self, words: list[bytes]):
+        """Pairs of a word and its encoding."""
+        for at in range(0, len(words), ENCODED_WORDS):
+            part = words[at : at + ENCODED_WORDS]
+            yield from zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True)
+
+    def learn(self, new: set[bytes]) -> None:
         cache = self.cache
-        if len(cache) > CACHED_WORDS:
-            cache.clear()
-        new = list({w for words in many for w in words if w not in cache})
-        for w, e in zip(new, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            cache[w] = (len(e.ids), e.offsets) if self.spans else np.array(e.ids, dtype="<u4").tobytes()
+        if self.spans:
+            cache.update((w, (len(e.ids), e.offsets)) for w, e in self.encode(list(new)))
+            return
+        split = {w: parts(w) for w in new}
+        plain = list({letters for letters, _, ok in split.values() if ok and letters not in cache})
+        other = {w for w, _, ok in split.values() if not ok} | {marks for _, marks, _ in split.values() if marks not in cache}
+        for w, e in self.encode(list(other)):
+            cache[w] = array("I", e.ids).tobytes()  # four bytes on every platform that Spark runs on
+        for at in range(0, len(plain), ENCODED_WORDS):
+            some = plain[at : at + ENCODED_WORDS]
+            e = self.plain.encode(" ".join(w.decode() for w in some), add_special_tokens=False)
+            ids = array("I", e.ids).tobytes()
+            cuts = (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(some) + 1))).tolist()
+            cache.update(zip(some, (ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+        for w, (letters, marks, _) in split.items():
+            if w != letters:
+                cache[w] = cache[letters] + cache[marks] if marks else cache[letters]
 
     def of(self, texts: list[str | None]) -> list[list]:
         """For each text the entries of its words, in order."""
+        if len(self.cache) > CACHED_WORDS:
+            self.cache.clear()
         many = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        self.learn(many)
-        return [list(map(self.cache.__getitem__, words)) for words in many]
+        found = [list(map(self.cache.get, words)) for words in many]
+        new = {w for words, entries in zip(many, found, strict=True) if None in entries for w, e in zip(words, entries, strict=True) if e is None}
+        if new:
+            self.learn(new)
+            for words, entries in zip(many, found, strict=True):
+                if None in entries:
+                    for k, e in enumerate(entries):
+                        if e is None:
+                            entries[k] = self.cache[words[k]]
+        return found
