@@ -18,7 +18,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
 #: UTF-8 bytes of text that a Python step holds at once (a longer document alone makes a slice).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 BATCH_BYTES = 8 << 20
 
 
