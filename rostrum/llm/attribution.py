@@ -70,11 +70,12 @@ def clipped(spans: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, np.maximum(ends, starts), order
 
 
-def attribute(data: bytes, entries: list[tuple[int, list]], spans: list[dict]) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """All tokens, those in no section, and for each section, in the given order, its tokens and those of them that cross a boundary."""
+def attribute(data: bytes, tokens: np.ndarray, offsets, spans: list[dict]) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """All tokens, those in no section, and for each section, in the given order, its tokens and those of them that cross a boundary.
+
+    tokens has the number of each word's tokens; offsets(word) gives their spans in it, asked for words that cross a boundary."""
     n = len(spans)
     counts, split = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
-    tokens = np.fromiter((e[0] for e in entries), dtype=np.int64, count=len(entries))
     begin, end = word_spans(data)
     starts, ends, order = clipped(spans)
     if not n:
@@ -83,8 +84,10 @@ def attribute(data: bytes, entries: list[tuple[int, list]], spans: list[dict]) -
     first = np.searchsorted(starts, begin, side="right") - 1
     whole = (first >= 0) & (end <= ends[np.maximum(first, 0)])
     counts[:n] += np.bincount(first[whole], weights=tokens[whole], minlength=n).astype(np.int64)
-    for i in np.flatnonzero(~whole).tolist():
-        for a, b in entries[i][1]:
+    crossing = np.flatnonzero(~whole).tolist()
+    words = data.split() if crossing else []
+    for i in crossing:
+        for a, b in offsets(words[i]):
             a, b = a + int(begin[i]), b + int(begin[i])
             k = max(0, int(np.searchsorted(starts, a, side="right")) - 1)
             best, most, held, touched = n, 0, 0, 0
@@ -108,7 +111,7 @@ def token_counts(text, spans, path: str | None = None):
     fields = [pa.field(f.name, to_arrow_type(f.dataType)) for f in kind.fields]
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        words = WordTokens(path, spans=True)
+        words = WordTokens(path)
         for texts, sections in batches:
             at, parts = 0, []
             for part in slices(texts):
@@ -117,7 +120,8 @@ def token_counts(text, spans, path: str | None = None):
                 rows = []
                 for text, entries, spans in zip(values, words.of(values), own, strict=True):
                     spans = spans or []
-                    total, rest, counts, split = attribute((text or "").encode("utf-8", "replace"), entries, spans)
+                    tokens = np.fromiter(map(len, entries), dtype=np.int64, count=len(entries)) >> 2
+                    total, rest, counts, split = attribute((text or "").encode("utf-8", "replace"), tokens, words.offsets, spans)
                     rows.append((total, rest, [(k, s["start"], s["end"], c, x) for k, (s, c, x) in enumerate(zip(spans, counts.tolist(), split.tolist(), strict=True))]))
                 columns = list(zip(*rows, strict=True))
                 parts.append(pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields))

@@ -41,9 +41,9 @@ def parts(word: bytes) -> tuple[bytes, bytes, bool]:
 
 
 class WordTokens:
-    """For each word its ids as little-endian 32-bit numbers, or, with spans, (number of tokens, their character spans in it)."""
+    """For each word its ids as little-endian 32-bit numbers."""
 
-    def __init__(self, path: str | None = None, spans: bool = False):
+    def __init__(self, path: str | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -51,7 +51,6 @@ class WordTokens:
         # the same vocabulary and merges without the rules that leave plain words alone
         self.plain = Tokenizer(self.tokenizer.model)
         self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.spans = spans
         self.cache: dict[bytes, object] = {}
 
     def encode(self, words: list[bytes]):
@@ -60,11 +59,12 @@ class WordTokens:
             part = words[at : at + ENCODED_WORDS]
             yield from zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True)
 
+    def offsets(self, word: bytes) -> list[tuple[int, int]]:
+        """The character spans of a word's tokens in it."""
+        return self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).offsets
+
     def learn(self, new: set[bytes]) -> None:
         cache = self.cache
-        if self.spans:
-            cache.update((w, (len(e.ids), e.offsets)) for w, e in self.encode(list(new)))
-            return
         split = {w: parts(w) for w in new}
         plain = list({letters for letters, _, ok in split.values() if ok and letters not in cache})
         other = {w for w, _, ok in split.values() if not ok} | {marks for _, marks, _ in split.values() if marks not in cache}

@@ -69,13 +69,15 @@ def test_attribution(docs):
 
 
 def test_attribution_rules():
-    entries = [(2, [(0, 3), (3, 6)])]
-    spans = lambda *x: [{"start": a, "end": b} for a, b in x]
-    assert [x.tolist() if hasattr(x, "tolist") else x for x in attribution.attribute(b"abcdef", entries, spans((0, 2), (2, 6)))] == [2, 0, [1, 1], [1, 0]]
-    assert attribution.attribute(b"abcdef", [(1, [(0, 6)])], spans((0, 3), (3, 6)))[2].tolist() == [1, 0]  # a tie goes to the earlier
-    assert attribution.attribute(b"abcdef", [(1, [(0, 6)])], spans((0, 4), (0, 6)))[2].tolist() == [1, 0]  # overlap: the earlier holds it
-    assert attribution.attribute(b"abcdef", entries, spans((10, 12)))[1] == 2
-    assert attribution.attribute(b"abcdef", entries, [])[:2] == (2, 2)
+    def of(tokens, *spans):
+        return attribution.attribute(b"abcdef", np.array([len(tokens)]), lambda _: tokens, [{"start": a, "end": b} for a, b in spans])
+
+    total, rest, counts, split = of([(0, 3), (3, 6)], (0, 2), (2, 6))
+    assert (total, rest, counts.tolist(), split.tolist()) == (2, 0, [1, 1], [1, 0])
+    assert of([(0, 6)], (0, 3), (3, 6))[2].tolist() == [1, 0]  # a tie goes to the earlier
+    assert of([(0, 6)], (0, 4), (0, 6))[2].tolist() == [1, 0]  # overlap: the earlier holds it
+    assert of([(0, 3), (3, 6)], (10, 12))[1] == 2
+    assert of([(0, 3), (3, 6)])[:2] == (2, 2)
 
 
 # 2
