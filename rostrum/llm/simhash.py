@@ -14,6 +14,8 @@ of it, so at most 65 and all linked with one another; each is tied to the least
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -121,10 +123,13 @@ def near_duplicate_report(docs: DataFrame) -> DataFrame:
 
 # Near copies at a similarity: the pipeline's form. Links at 2 of 64 bits find copies with a change or two in a long text; copies
 # of 0.8 similarity differ in some ten bits, where neither the grid nor any other index on 64 bits is selective. So the
-# fingerprint is made BANDS times as many bits long as a band has, texts that agree on a whole band are candidates, the popcount
-# vectors of their first 64 bits rule out chance, and the shingle sets decide.
+# fingerprint is made LEAST_BANDS times as many bits long as a band has, or more, texts that agree on a whole band are candidates,
+# the popcount vectors of their first 64 bits rule out chance, and the shingle sets decide. Bands widen with the table so that
+# chance groups stay small, and as wider bands agree less often, their number grows with them: recall is the same at every size.
 
-BANDS = 64
+LEAST_BANDS = 64
+#: The chance that texts at the similarity agree on a whole band: 64 bands of 20 bits have it at similarity 0.8.
+RECALL = 0.91
 LEAST_BAND_BITS, MOST_BAND_BITS = 20, 32
 #: Of 64 bits, so many differ at most in candidates: at similarity 0.8 the mean is 9.7 with a deviation of 2.9, by chance 32 with 4.
 CANDIDATE_DISTANCE = 18
@@ -145,18 +150,34 @@ def wide_bits(hashes: np.ndarray, blocks: int) -> np.ndarray:
     return 2 * total > len(hashes)
 
 
-def bands(text="text", words: int = 5, bits: int = LEAST_BAND_BITS):
-    """A struct column: bits, the first 64 as a long, and bands, BANDS keys of so many bits each with the band's number."""
+def agreement(similarity: float) -> float:
+    """The share of bits in which fingerprints of sets of like size agree at a Jaccard similarity."""
+    return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def band_count(bits: int, similarity: float) -> int:
+    """How many bands of so many bits it takes for RECALL at the similarity."""
+    whole = min(agreement(similarity) ** bits, 0.99)
+    return max(LEAST_BANDS, math.ceil(math.log(1 - RECALL) / math.log1p(-whole)))
+
+
+def band_bits(rows: int) -> int:
+    """The width of a band for so many rows."""
+    return min(MOST_BAND_BITS, max(LEAST_BAND_BITS, (max(2, rows) - 1).bit_length() + 2))
+
+
+def bands(text="text", words: int = 5, bits: int = LEAST_BAND_BITS, count: int = LEAST_BANDS):
+    """A struct column: bits, the first 64 as a long, and bands, count keys of so many bits each with the band's number."""
 
     def make():
         powers = np.int64(1) << np.arange(bits, dtype=np.int64)
         first = np.uint64(1) << np.arange(64, dtype=np.uint64)
-        number = np.arange(BANDS, dtype=np.int64) << MOST_BAND_BITS
+        number = np.arange(count, dtype=np.int64) << MOST_BAND_BITS
 
         def of(text):
-            found = wide_bits(shingle_hashes(text, words), bits)
+            found = wide_bits(shingle_hashes(text, words), -(-count * bits // 64))
             head = int(first[found[:64]].sum())
-            return head - (1 << 64) if head >> 63 else head, (found.reshape(BANDS, bits) @ powers + number).tolist()
+            return head - (1 << 64) if head >> 63 else head, (found[: count * bits].reshape(count, bits) @ powers + number).tolist()
 
         return lambda texts: list(zip(*map(of, texts), strict=True))
 
@@ -179,9 +200,8 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> D
     met it by chance, with the one before it: one candidate a text and band, however many copies a group holds, and as the
     order is the same everywhere, large groups share few first texts.
     """
-    rows = max(2, docs.count())
-    bits = min(MOST_BAND_BITS, max(LEAST_BAND_BITS, (rows - 1).bit_length() + 2))
-    marks = docs.select("node", bands(docs["text"], words, bits).alias("m")).groupBy("node").agg(F.first("m").alias("m"))  # of copies one goes on
+    bits = band_bits(docs.count())
+    marks = docs.select("node", bands(docs["text"], words, bits, band_count(bits, similarity)).alias("m")).groupBy("node").agg(F.first("m").alias("m"))  # of copies one goes on
     marks = marks.select("node", "m.bits", F.explode("m.bands").alias("band"))
     order = Window.partitionBy("band").orderBy("node")
     here = F.struct("node", "bits")

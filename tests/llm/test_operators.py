@@ -243,6 +243,30 @@ def test_near_copies_go(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == [*range(12), 300]
 
 
+def test_recall_is_the_same_at_every_size():
+    agree = simhash.agreement(0.8)
+    for rows in (1, 10_000, 262_144, 1_000_000, 12_000_000, 10**9, 10**11):
+        bits = simhash.band_bits(rows)
+        assert 1 - (1 - agree**bits) ** simhash.band_count(bits, 0.8) >= 0.9
+    assert simhash.band_count(20, 0.8) == 64
+
+
+@pytest.mark.parametrize("bits", [20, 26])
+def test_near_copies_share_a_band_however_wide(spark, bits):
+    rng = random.Random(12)
+    rows = []
+    for k in range(150):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        rows.append((2 * k, " ".join(w)))
+        for i in range(7):
+            w[20 + 43 * i] = "changed"  # 35 of 296 shingles: similarity 0.79
+        rows.append((2 * k + 1, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = df.select("doc_id", simhash.bands(df["text"], 5, bits, simhash.band_count(bits, 0.8))["bands"].alias("b")).collect()
+    keys = {r["doc_id"]: set(r["b"]) for r in found}
+    assert sum(bool(keys[2 * k] & keys[2 * k + 1]) for k in range(150)) >= 0.83 * 150
+
+
 # 5
 
 
