@@ -167,7 +167,8 @@ def band_bits(rows: int) -> int:
 
 
 def bands(text="text", words: int = 5, bits: int = LEAST_BAND_BITS, count: int = LEAST_BANDS):
-    """A struct column: bits, the first 64 as a long, and bands, count keys of so many bits each with the band's number."""
+    """A struct column: bits, the first 64 as a long, bands, count keys of so many bits each with the band's number, and size, the
+    number of different shingles."""
 
     def make():
         powers = np.int64(1) << np.arange(bits, dtype=np.int64)
@@ -175,13 +176,14 @@ def bands(text="text", words: int = 5, bits: int = LEAST_BAND_BITS, count: int =
         number = np.arange(count, dtype=np.int64) << MOST_BAND_BITS
 
         def of(text):
-            found = wide_bits(shingle_hashes(text, words), -(-count * bits // 64))
+            hashes = shingle_hashes(text, words)
+            found = wide_bits(hashes, -(-count * bits // 64))
             head = int(first[found[:64]].sum())
-            return head - (1 << 64) if head >> 63 else head, (found[: count * bits].reshape(count, bits) @ powers + number).tolist()
+            return head - (1 << 64) if head >> 63 else head, (found[: count * bits].reshape(count, bits) @ powers + number).tolist(), len(np.unique(hashes))
 
         return lambda texts: list(zip(*map(of, texts), strict=True))
 
-    return text_column(make, "bits long, bands array<long>")(text)
+    return text_column(make, "bits long, bands array<long>, size int")(text)
 
 
 def shingle_set(text="text", words: int = 5):
@@ -193,29 +195,67 @@ def shingle_set(text="text", words: int = 5):
     return text_column(make, "all array<int>")(text)["all"]
 
 
+def alike(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Of the pairs (a, b) of nodes, those whose shingle sets are that similar by Jaccard."""
+    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted  # else all texts would be shuffled to find some
+    sets = docs.join(wanted, "node", "left_semi").select("node", shingle_set(docs["text"], words).alias("all")).groupBy("node").agg(F.first("all").alias("all"))
+    sets = stored(sets)
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("all").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("all").alias("of_b")), "b")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    return both.where((shared >= similarity * (F.size("of_a") + F.size("of_b") - shared)) | ((F.size("of_a") == 0) & (F.size("of_b") == 0))).select("a", "b")
+
+
+def divided(rest: DataFrame, links: DataFrame) -> DataFrame:
+    """Rows of rest (band, node, ...) in bands that hold more than one class of linked nodes, with root, the class, and most, the
+    band's largest class."""
+    here = rest.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    classes = here.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
+    largest = classes.groupBy("band").agg(F.max(F.struct("n", "root"))["root"].alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "most")
+    return stored(here.join(largest, "band"))
+
+
+def across(here: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes of different classes in a band of divided() that bits and sizes allow to be similar.
+
+    Nodes outside a band's largest class meet those of all classes but their own: what a large class holds isn't paired with
+    itself.
+    """
+    names = ["node", "bits", "root", "size"]
+    met = here.select("band", *names).join(here.where("root <> most").select("band", *(F.col(c).alias(f"few_{c}") for c in names)), "band")
+    near = (F.bit_count(F.expr("bits ^ few_bits")) <= CANDIDATE_DISTANCE) & (F.least("size", "few_size") >= similarity * F.greatest("size", "few_size"))
+    return met.where((F.col("root") != F.col("few_root")) & near).select(F.least("node", "few_node").alias("a"), F.greatest("node", "few_node").alias("b")).distinct()
+
+
 def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Links (a, b) between the nodes (hashes) of different texts whose shingle sets are that similar by Jaccard.
+    """Links (a, b) between the nodes (hashes) of different texts whose shingle sets are that similar by Jaccard; enough of them
+    to join all that share a band, are near by their bits and are that similar.
 
-    docs has node and text. In each band's group, ordered by node, a text is compared with the first, or, where that one only
-    met it by chance, with the one before it: one candidate a text and band, however many copies a group holds, and as the
-    order is the same everywhere, large groups share few first texts.
+    docs has node and text. First, in each band's group, ordered by node, a text is compared with the first, or, where that one
+    only met it by chance, with the one before it: as the order is the same everywhere, large groups share few first texts, and
+    copies become one class. Then, in groups of three and more, all pairs between different classes are compared.
     """
     bits = band_bits(docs.count())
     marks = docs.select("node", bands(docs["text"], words, bits, band_count(bits, similarity)).alias("m")).groupBy("node").agg(F.first("m").alias("m"))  # of copies one goes on
-    marks = marks.select("node", "m.bits", F.explode("m.bands").alias("band"))
+    marks = stored(marks.select("node", "m.*"))
+    members = marks.select("node", "bits", "size", F.explode("bands").alias("band"))
     order = Window.partitionBy("band").orderBy("node")
     here = F.struct("node", "bits")
-    near = marks.select(here.alias("b"), F.first(here).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("first"), F.lag(here).over(order).alias("last"))
+    near = members.select("band", here.alias("b"), F.first(here).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("first"), F.lag(here).over(order).alias("last"), F.row_number().over(order).alias("k"))
     chance = F.bit_count(F.expr("first.bits ^ b.bits")) > CANDIDATE_DISTANCE
-    pairs = near.select("b", F.when(chance, F.col("last")).otherwise(F.col("first")).alias("a")).where("a.node <> b.node").where(F.bit_count(F.expr("a.bits ^ b.bits")) <= CANDIDATE_DISTANCE)
-    pairs = cut(pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct())
-    wanted = cut(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted  # else all texts would be shuffled to find some
-    sets = docs.join(wanted, "node", "left_semi").select("node", shingle_set(docs["text"], words).alias("all")).groupBy("node").agg(F.first("all").alias("all"))
-    sets = stored(sets)
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("all").alias("of_a")), "a").join(sets.select(F.col("node").alias("b"), F.col("all").alias("of_b")), "b")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    return both.where((shared >= similarity * (F.size("of_a") + F.size("of_b") - shared)) | ((F.size("of_a") == 0) & (F.size("of_b") == 0))).select("a", "b")
+    near = near.select("band", "k", "b", F.when(chance, F.col("last")).otherwise(F.col("first")).alias("a"))
+    near = near.select("band", "k", "a.node", F.col("b.node").alias("other"), ((F.col("a.node") != F.col("b.node")) & (F.bit_count(F.expr("a.bits ^ b.bits")) <= CANDIDATE_DISTANCE)).alias("met"))
+    near = stored(near.where("met or k = 3"))
+    pairs = cut(near.where("met").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+    links = cut(alike(docs, pairs, words, similarity))
+    full = cut(near.where("k = 3").select("band"))
+    if full.isEmpty():
+        return links
+    full = F.broadcast(full) if full.count() <= BROADCAST_ROWS else full
+    rest = members.join(full, "band", "left_semi")
+    rest = divided(rest, links)
+    more = cut(across(rest, similarity).join(pairs, ["a", "b"], "left_anti"))
+    return links.unionByName(alike(docs, more, words, similarity))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:

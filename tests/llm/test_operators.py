@@ -267,6 +267,33 @@ def test_near_copies_share_a_band_however_wide(spark, bits):
     assert sum(bool(keys[2 * k] & keys[2 * k + 1]) for k in range(150)) >= 0.83 * 150
 
 
+def test_all_that_share_a_band_are_compared(spark, monkeypatch):
+    one = F.struct(F.lit(0).cast("long").alias("bits"), F.array(F.lit(1).cast("long")).alias("bands"), F.lit(296).alias("size"))
+    monkeypatch.setattr(simhash, "bands", lambda *_: one)
+    rng = random.Random(13)
+    rows = []
+    for f in range(4):  # drifted from a template, below 0.8 to one another but for a pair
+        base = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        family = []
+        for k in range(6):
+            w = list(base)
+            for i in range(6):
+                w[rng.randrange(50 * i, 50 * i + 45)] = f"x{f}-{k}-{i}"
+            family.append(w)
+        near = list(family[5])
+        near[290] = "near"
+        family.append(near)
+        rows += [" ".join(w) for w in family]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, rows)]
+    root = list(range(len(rows)))
+    for b in range(len(rows)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                root = [root[a] if r == root[b] else r for r in root]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert len(set(root)) < len(rows) and simhash.one_of_each(df).count() == len(set(root))
+
+
 # 5
 
 
