@@ -167,8 +167,8 @@ def band_bits(rows: int) -> int:
 
 
 def bands(text="text", words: int = 5, bits: int = LEAST_BAND_BITS, count: int = LEAST_BANDS):
-    """A struct column: bits, the first 64 as a long, bands, count keys of so many bits each with the band's number, and size, the
-    number of different shingles."""
+    """A struct column of the set of a text's shingles, repeats left out: bits, the first 64 as a long, bands, count
+    keys of so many bits each with the band's number, and size, the number of different shingles."""
 
     def make():
         powers = np.int64(1) << np.arange(bits, dtype=np.int64)
@@ -176,10 +176,10 @@ def bands(text="text", words: int = 5, bits: int = LEAST_BAND_BITS, count: int =
         number = np.arange(count, dtype=np.int64) << MOST_BAND_BITS
 
         def of(text):
-            hashes = shingle_hashes(text, words)
+            hashes = np.unique(shingle_hashes(text, words))  # sets decide, so sets are what bands tell apart
             found = wide_bits(hashes, -(-count * bits // 64))
             head = int(first[found[:64]].sum())
-            return head - (1 << 64) if head >> 63 else head, (found[: count * bits].reshape(count, bits) @ powers + number).tolist(), len(np.unique(hashes))
+            return head - (1 << 64) if head >> 63 else head, (found[: count * bits].reshape(count, bits) @ powers + number).tolist(), len(hashes)
 
         return lambda texts: list(zip(*map(of, texts), strict=True))
 

@@ -267,6 +267,16 @@ def test_near_copies_share_a_band_however_wide(spark, bits):
     assert sum(bool(keys[2 * k] & keys[2 * k + 1]) for k in range(150)) >= 0.83 * 150
 
 
+def test_repeats_dont_hide_near_copies(spark):
+    rng = random.Random(14)
+    rows = []
+    for k in range(60):
+        w, line = ([f"w{rng.randrange(10**6)}" for _ in range(n)] for n in (300, 10))
+        rows += [(2 * k, " ".join(w + line)), (2 * k + 1, " ".join(w + line * 7))]
+    out = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sum(r["doc_id"] % 2 for r in out) <= 3
+
+
 def test_all_that_share_a_band_are_compared(spark, monkeypatch):
     one = F.struct(F.lit(0).cast("long").alias("bits"), F.array(F.lit(1).cast("long")).alias("bands"), F.lit(296).alias("size"))
     monkeypatch.setattr(simhash, "bands", lambda *_: one)
