@@ -43,12 +43,13 @@ BASE = (
     Rule("hex", r"[0-9a-f]+", 0, 0, 24),
 )
 MORE = (
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----"),
+    # To the end line, else over the header lines and base64 that follow; a line break may be written as an escape.
+    Rule("pem", r"""-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END (?:[A-Z]+ ){0,3}PRIVATE KEY-----|(?:(?:\s|\\[nr])*(?:(?:Proc-Type|DEK-Info|Comment):[^\r\n\\]*|[A-Za-z0-9+/]{16,}={0,2}(?:(?:\r?\n|\\n)[A-Za-z0-9+/]{1,15}(?=[\x20\t]*(?:[\r\n\\]|\Z)))?|[A-Za-z0-9+/]{2,}={1,2}))*)"""),
     Rule("forge", r"gh[opsu]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("maps", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("login", r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@]{1,64}:[^\s/:@]{3,64}@"),
+    Rule("login", r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@]+:[^\s/:@]{3,}@"),
 )
 RULES = BASE + MORE
 
