@@ -451,6 +451,23 @@ def test_fuzzy_passages_are_found(spark):
     assert all(67 <= r["end"] - r["start"] <= 72 for r in got)
 
 
+def test_passages_at_the_threshold_are_found(spark):
+    rng = random.Random(16)
+    vocab = [f"w{k}" for k in range(3000)]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    rows, planted = [], set()
+    for k in range(80):
+        passage = text(64)
+        edited = list(passage)
+        for i in rng.sample(range(2, 62), 10):  # identity 0.84
+            edited[i] = f"edit{i}"
+        rows += [(2 * k, " ".join(text(40) + passage + text(40))), (2 * k + 1, " ".join(text(40) + edited + text(40)))]
+        planted.add((2 * k + 1, 2 * k))
+    got = {(r["doc_id"], r["other_id"]) for r in chaining.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    print("found", len(got & planted))
+    assert got <= planted and len(got) >= 0.9 * len(planted)
+
+
 def test_chains_are_the_best():
     rng = random.Random(6)
     for _ in range(30):
