@@ -38,28 +38,42 @@ DROPPED_WORDS = frozenset("ad ads adv advert adverts advertisement advertising s
 TOKEN = re.compile(r"""<!--.*?(?:--!?>|\Z)|<[!?][^>]*+>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)(?:>|\Z)""", re.S)
 NAMED = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 WORDS = re.compile(r"[A-Za-z]+")
-
-
-def unwanted(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is none of the article's by its name or its class, id or role."""
-    if tag in DROPPED or tag == "header" and not in_article:
-        return True
+#: A class name with one of these speaks of a page's state or layout, not of what the element is: no-sidebar, comments-open.
+STATES = frozenset("no not has have with without is open opened closed enabled disabled show hide on off allow allowed".split())
+REMARKS = frozenset("comment comments disqus reply replies respond".split())
+#: The share of a page's characters outside links above which an element is its wrapper, whatever its name.
+MOST = 0.5
+#: The density, as a share of the chosen article's, from which its sibling articles are taken too.
+LIKE = 0.5
+KEEP, MAYBE, REMARK, DROP = range(4)
+
+
+def unwanted(tag: str, attributes: str, in_article: bool) -> int:
+    """DROP for an element that is none of the article's; MAYBE if that is so by form, role, class or id alone, which wrappers of
+    the article may have too; REMARK likewise for comments."""
+    form = tag in ("form", "fieldset")
+    if tag in DROPPED and not form or tag == "header" and not in_article:
+        return DROP
+    out = MAYBE if form else KEEP
     if not attributes or tag in ("html", "body", "article", "main") and not re.search("comment|repl", attributes, re.I):
-        return False
+        return out
     for m in NAMED.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in DROPPED_ROLES:
-            return True
-        if name in ("class", "id") and any(w in DROPPED_WORDS for w in WORDS.findall(value)):
-            return True
-    return False
+        if name == "hidden" or name == "aria-hidden" and value == "true":
+            return DROP
+        if name == "role" and value in DROPPED_ROLES:
+            out = max(out, MAYBE)
+        for parts in map(WORDS.findall, value.split() if name in ("class", "id") else ()):
+            if not DROPPED_WORDS.isdisjoint(parts) and STATES.isdisjoint(parts):
+                out = max(out, MAYBE if REMARKS.isdisjoint(parts) else REMARK)
+    return out
 
 
 class Page:
     """A page's tree in document order: tags, parents, and the texts with their nodes; None for a text marks a block's edge."""
 
     def __init__(self, source: str):
-        self.tags, self.parents, self.kept, self.texts = ["#root"], [-1], [True], []
+        self.tags, self.parents, self.kept, self.texts, self.doubts = ["#root"], [-1], [True], [], [KEEP]
         stack, at, n = [0], 0, len(source)
         while at < n:
             m = TOKEN.search(source, at)
@@ -84,13 +98,38 @@ class Page:
             inside = self.kept[up] and any(self.tags[k] in ("article", "main") for k in stack)
             self.tags.append(tag)
             self.parents.append(up)
-            self.kept.append(self.kept[up] and not unwanted(tag, m[3], inside))
+            self.doubts.append(unwanted(tag, m[3], inside))
+            self.kept.append(self.kept[up] and self.doubts[-1] != DROP)
             if tag in RAW and not m[3].endswith("/"):
                 end = re.compile(rf"</{tag}[\s/>]", re.I).search(source, at)
                 at = end.start() if end else n
                 stack.append(len(self.tags) - 1)
             elif tag not in VOID:
                 stack.append(len(self.tags) - 1)
+        self.settle()
+
+    def settle(self) -> None:
+        """Takes doubtful elements out, but for those that hold most of the page, or the article where there is none elsewhere."""
+        n = len(self.tags)
+        if not any(self.kept[k] and self.doubts[k] for k in range(n)):
+            return
+        chars, in_link, clear, holds = [0] * n, [False] * n, [True] * n, [False] * n
+        for k in range(1, n):
+            in_link[k] = in_link[self.parents[k]] or self.tags[k] == "a"
+            clear[k] = clear[self.parents[k]] and not self.doubts[k]
+        for k, t in self.texts:
+            if t and self.kept[k] and not in_link[k]:
+                chars[k] += len(t) - t.count(" ") - t.count("\n")
+        marked = [k for k in range(n) if self.kept[k] and not self.doubts[k] and self.tags[k] in ("article", "main")]
+        alone = not any(clear[k] for k in marked)
+        for k in marked:
+            holds[k] = alone
+        for k in range(n - 1, 0, -1):
+            chars[self.parents[k]] += chars[k]
+            holds[self.parents[k]] |= holds[k]
+        for k in range(1, n):
+            out = self.doubts[k] and not holds[k] and (self.doubts[k] == REMARK or chars[k] <= MOST * chars[0])
+            self.kept[k] = self.kept[k] and self.kept[self.parents[k]] and not out
 
     def pop(self, stack: list[int], tags: tuple[str, ...], scope: frozenset) -> None:
         """Closes the innermost open element of these tags, unless an element of the scope is open inside it."""
@@ -114,13 +153,14 @@ class Page:
 
     def main_text(self) -> str:
         """The article's text: blocks in page order, white space as one space."""
-        top = self.choose()
+        tops = self.choose()
         inside = [False] * len(self.tags)
         for k in range(len(self.tags)):
-            inside[k] = self.kept[k] and (k == top or self.parents[k] >= 0 and inside[self.parents[k]])
+            inside[k] = self.kept[k] and (k in tops or self.parents[k] >= 0 and inside[self.parents[k]])
         return " ".join("".join(" " if t is None else html.unescape(t) for k, t in self.texts if inside[k] or t is None).split())
 
-    def choose(self) -> int:
+    def choose(self) -> set[int]:
+        """The nodes that hold the article: one, or sibling articles of like density."""
         n = len(self.tags)
         chars, links, tags, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
         in_link, scope = [False] * n, [False] * n
@@ -153,7 +193,7 @@ class Page:
                     sums[self.parents[k]] += density[k]
         among = [k for k in range(n) if self.kept[k] and (scope[k] or not marked and body == 0)]
         if not among:
-            return body
+            return {body}
         leaf = max(among, key=lambda k: (density[k], -k))
         path, k = [], leaf
         while k >= 0:
@@ -164,10 +204,11 @@ class Page:
         if marked:
             while self.tags[chosen] not in ("article", "main") or self.parents[chosen] >= 0 and scope[self.parents[chosen]]:
                 chosen = self.parents[chosen]
-            return chosen
+            alike = (k for k in marked if self.tags[k] == self.tags[chosen] and self.parents[k] == self.parents[chosen])
+            return {chosen, *(k for k in alike if density[k] >= LIKE * density[chosen])}
         while chosen != body and self.parents[chosen] > 0 and density[self.parents[chosen]] >= threshold and chars[self.parents[chosen]] > chars[chosen] and self.parents[chosen] != body:
             chosen = self.parents[chosen]
-        return chosen
+        return {chosen}
 
 
 def main_text(page="html"):

@@ -502,6 +502,17 @@ def test_html(spark):
     assert got["no article"][0].startswith("Head Long text") and got["no article"][0].endswith("More of it.") and "side" not in got["no article"][0]
 
 
+def test_wrappers_of_the_article_stay():
+    text = "Body text stands here for all to read. " * 4
+    article, side = f"<article><p>{text}</p></article>", "<div class='sidebar'>side words</div>"
+    pages = [f"<div class='content no-sidebar'>{article}</div>", f"<div class='with-footer'><p>{text}</p></div>", f"<article class='post comments-open'><p>{text}</p></article>", f"<form id=f><div>{article}{side}</div></form>", f"<form><p>{text}</p></form>{side}", f"<div class='sidebar'>{article}</div>"]
+    for p in pages:
+        assert html.Page(f"<body>{p}</body>").main_text() == text.strip(), p
+    two = f"<article><p>{text}</p></article><article><p>{text}Again.</p></article>"
+    assert html.Page(f"<body>{two}</body>").main_text() == text + text + "Again."
+    assert html.Page(f"<body>{article}<div class='comments'><article class='comment'><p>{text * 3}</p></article></div></body>").main_text() == text.strip()
+
+
 # 10
 
 
