@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -161,11 +162,16 @@ def undo(block: bytes, rows: int, columns: int, channels: int, predictor: int) -
 
 def decode(data: bytes) -> list[dict]:
     """The file's pages: width, height, channels, compression, predictor and samples, row by row."""
+    return list(decoded(data))
+
+
+def decoded(data: bytes) -> Iterator[dict]:
+    """The pages of decode(), one by one: those before a bad one come before its error."""
     order = {b"II": "<", b"MM": ">"}[data[:2]]
     magic, at = struct.unpack_from(order + "HI", data, 2)
     if magic != 42:
         raise ValueError(f"version {magic}")
-    pages, seen = [], set()
+    seen = set()
     while at and at not in seen:  # a loop of directories ends
         seen.add(at)
         tags, at = directory(data, at, order)
@@ -187,8 +193,7 @@ def decode(data: bytes) -> list[dict]:
             block = undo(DECODERS[compression](data[place : place + size]), tall, columns, 1 if planar else channels, predictor)
             into = image[y : y + tall, x : x + columns, plane : plane + 1] if planar else image[y : y + tall, x : x + columns]
             into[:] = block[: into.shape[0], : into.shape[1]]
-        pages.append({"width": width, "height": height, "channels": channels, "compression": compression, "predictor": predictor, "pixels": image.tobytes()})
-    return pages
+        yield {"width": width, "height": height, "channels": channels, "compression": compression, "predictor": predictor, "pixels": image.tobytes()}
 
 
 def encode(pages: list[tuple[bytes, int, int]], compression: int = DEFLATE, predictor: int = 2, tile: tuple[int, int] | None = None, rows_per_strip: int = ROWS_PER_STRIP, order: str = "<") -> bytes:
@@ -253,27 +258,31 @@ def stored_texts(text="text"):
 
 
 def pages(media="media"):
-    """A struct column with pages, an array of PAGE, and error: what a column of TIFF files holds. A file that can't be read has
-    no pages and says why in error; null has neither."""
+    """A struct column with pages, an array of PAGE, and error: what a column of TIFF files holds. A file that can't be read
+    says why in error and has the pages before the bad one; null has neither."""
 
     def make():
         def walk(data):
             if data is None:
                 return [], None
+            found, error = [], None
             try:
-                found = decode(data)
+                for page in decoded(data):
+                    found.append(page)
             except (KeyError, ValueError, struct.error, zlib.error, IndexError, OverflowError) as e:
-                return [], f"{type(e).__name__}: {e}"
-            return [{"page": k, **p, "feature": feature(p)} for k, p in enumerate(found)], None
+                error = f"{type(e).__name__}: {e}"
+            return [{"page": k, **p, "feature": feature(p)} for k, p in enumerate(found)], error
 
         return lambda files: list(zip(*map(walk, files), strict=True))
 
     return text_column(make, f"pages array<{PAGE}>, error string")(media)
 
 
-def page_rows(df: DataFrame, media: str = "media") -> DataFrame:
-    """One row for each page of each file: df's other columns, and p, a PAGE."""
-    return df.withColumn(media, pages(df[media])).select(*(c for c in df.columns if c != media), F.explode(F.col(f"{media}.pages")).alias("p"))
+def page_rows(df: DataFrame, media: str = "media", errors: bool = False) -> DataFrame:
+    """One row for each page of each file: df's other columns, and p, a PAGE. With errors, a file without pages has a row too, whose
+    p is null, and error says in each row what of the file couldn't be read."""
+    explode, more = (F.explode_outer, [F.col(f"{media}.error").alias("error")]) if errors else (F.explode, [])
+    return df.withColumn(media, pages(df[media])).select(*(c for c in df.columns if c != media), *more, explode(F.col(f"{media}.pages")).alias("p"))
 
 
 def media_report(docs: DataFrame) -> DataFrame:
@@ -282,7 +291,7 @@ def media_report(docs: DataFrame) -> DataFrame:
     Null and empty texts give a payload of 64 zeros; equal texts give equal values; other columns are left out.
     """
     kept = docs.select("doc_id", stored_texts(docs["text"]).alias("m")).select("doc_id", "m.n_bytes", F.length("m.media").cast("long").alias("media_bytes"), F.sha2("m.media", 256).alias("media_sha256"), F.col("m.media").alias("media"))
-    read = page_rows(kept)
+    read = page_rows(kept, errors=True)
     payload = F.col("p.pixels")
     return read.select(
         "doc_id",

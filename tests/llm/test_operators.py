@@ -187,6 +187,16 @@ def test_bad_files_say_why(spark):
     assert tiff.page_rows(df).count() == 2
 
 
+def test_files_that_cant_be_read_keep_a_row(spark):
+    good = tiff.encode([(b"abcd", 2, 1), (b"xy" * 50, 2, 1)])
+    second = good.rindex(zlib.compress(tiff.undo(b"xy" * 50, 50, 2, 1, 1).astype(np.uint8).tobytes(), 6)[:2])
+    bad = bytearray(good)
+    bad[second : second + 2] = b"\0\0"
+    df = spark.createDataFrame([(1, bytearray(good)), (2, bad), (3, bytearray(b"no image")), (4, None)], "id int, media binary")
+    rows = sorted((r["id"], bytes(r["p"]["pixels"])[:4] if r["p"] else None, bool(r["error"])) for r in tiff.page_rows(df, errors=True).collect())
+    assert rows == [(1, b"abcd", False), (1, b"xyxy", False), (2, b"abcd", True), (3, None, True), (4, None, False)]
+
+
 # 4
 
 
