@@ -1,21 +1,22 @@
-"""Token ids by a public vocabulary file. Its BPE drops white space, so the words between ASCII white space are encoded apart:
-each distinct word once for as long as the cache keeps it. The ids are those of the whole text."""
+"""Tokens by a public vocabulary file. Its BPE drops white space, so a document is encoded word by word (words between ASCII white
+space), each distinct word once for as long as the cache keeps it. Ids and spans are those of the whole text."""
 
 from __future__ import annotations
 
 import os
+import re
 from array import array
-from unicodedata import is_normalized
-
-import numpy as np
+from itertools import chain
 
 VOCABULARY = "word_bpe_49k.json"
 CACHED_WORDS = 400_000
 #: Words encoded in one call; each takes about a kilobyte until its ids are taken out.
 ENCODED_WORDS = 8192
 #: Marks that the vocabulary's rules split from letters before them; a word's letters and its marks are encoded apart.
-MARKS = b".,!?;:%&*#$()\"-"  # not the apostrophe, nor what the names of special tokens are made of
-LATIN_END = "\u0250"
+MARKS = ".,!?;:%&*#$()\"-"  # not the apostrophe, nor what the names of special tokens are made of
+#: Letters of the Latin alphabets, composed, whose lower case is one such letter: the vocabulary's rules leave a run of them in one piece.
+LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and len(c.lower()) == 1 and ord(c.lower()) < 0x250)
+PLAIN = re.compile(f"([{LETTERS}]+)([{re.escape(MARKS)}]*)")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -25,73 +26,72 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-def parts(word: bytes) -> tuple[bytes, bytes, bool]:
-    """A word's letters in lower case, the marks after them, and True, if they are letters of the Latin alphabets, composed: the
-    vocabulary's rules leave such letters as they are, in one piece. Any other word as it is, and False."""
-    letters = word.rstrip(MARKS)
-    if letters.isalpha():  # of bytes: ASCII letters
-        return letters.lower(), word[len(letters) :], True
-    if letters and not letters.isascii():
-        text = letters.decode("utf-8", "replace")
-        if text.isalpha() and max(text) < LATIN_END and is_normalized("NFC", text):
-            low = text.lower()
-            if len(low) == len(text) and max(low) < LATIN_END:
-                return low.encode(), word[len(letters) :], True
-    return word, b"", False
-
-
 class WordTokens:
-    """For each word its ids as little-endian 32-bit numbers."""
+    """For each word its ids as little-endian 32-bit numbers; with spans, its tokens' starts and ends in it (code points) instead."""
 
-    def __init__(self, path: str | None = None):
+    def __init__(self, path: str | None = None, spans: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path or vocabulary_path())
-        # the same vocabulary and merges without the rules that leave plain words alone
-        self.plain = Tokenizer(self.tokenizer.model)
-        self.plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.cache: dict[bytes, object] = {}
-
-    def encode(self, words: list[bytes]):
-        """Pairs of a word and its encoding."""
+        self.bytes_as_letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spans = spans
+        self.cache: dict[bytes, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+
+    def encoded(self, words: list[str]):
+        """The entry of each word, by all the vocabulary's rules."""
+        run = self.tokenizer.encode_batch if self.spans else self.tokenizer.encode_batch_fast
         for at in range(0, len(words), ENCODED_WORDS):
-            part = words[at : at + ENCODED_WORDS]
-            yield from zip(part, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True)
-
-    def offsets(self, word: bytes) -> list[tuple[int, int]]:
-        """The character spans of a word's tokens in it."""
-        return self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).offsets
+            for e in run(words[at : at + ENCODED_WORDS], add_special_tokens=False):
+                yield array("i", chain.from_iterable(e.offsets) if self.spans else e.ids).tobytes()  # four bytes on every platform that Spark runs on
+
+    def merged(self, words: list[str]):
+        """The entry of each word of lower-case LETTERS, by the vocabulary's merges alone."""
+        tokenize = self.tokenizer.model.tokenize
+        written = self.bytes_as_letters.pre_tokenize_str(" ".join(words))[0][0].split("Ġ") if words else []  # as a blank is written
+        for word in written:
+            if not self.spans:
+                yield array("i", [t.id for t in tokenize(word)]).tobytes()
+                continue
+            cuts, end = array("i"), 0
+            for t in tokenize(word):
+                cuts.append(end)
+                end = min(len(word), end + len(t.value))  # the last one has the mark of a word's end too
+                cuts.append(end)
+            yield cuts.tobytes()
 
     def learn(self, new: set[bytes]) -> None:
-        cache = self.cache
-        split = {w: parts(w) for w in new}
-        plain = list({letters for letters, _, ok in split.values() if ok and letters not in cache})
-        other = {w for w, _, ok in split.values() if not ok} | {marks for _, marks, _ in split.values() if marks not in cache}
-        for w, e in self.encode(list(other)):
-            cache[w] = array("I", e.ids).tobytes()  # four bytes on every platform that Spark runs on
-        for at in range(0, len(plain), ENCODED_WORDS):
-            some = plain[at : at + ENCODED_WORDS]
-            e = self.plain.encode(" ".join(w.decode() for w in some), add_special_tokens=False)
-            ids = array("I", e.ids).tobytes()
-            cuts = (4 * np.searchsorted(np.array(e.word_ids), np.arange(len(some) + 1))).tolist()
-            cache.update(zip(some, (ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
-        for w, (letters, marks, _) in split.items():
-            if w != letters:
-                cache[w] = cache[letters] + cache[marks] if marks else cache[letters]
-
-    def of(self, texts: list[str | None]) -> list[list]:
+        cache, letters, spans = self.cache, self.letters, self.spans
+        split, other = [], []
+        for w in new:
+            text = w.decode("utf-8", "replace")
+            m = PLAIN.fullmatch(text)
+            if m and not (spans and not text.isascii()):  # spans of other letters aren't those of their bytes
+                split.append((w, m[1].lower(), m[2]))
+            else:
+                other.append((w, text))
+        marks = dict.fromkeys(m for _, _, m in split)
+        marks.update(zip(marks, self.encoded(list(marks)), strict=True))
+        fresh = list({low for _, low, _ in split}.difference(letters))
+        letters.update(zip(fresh, self.merged(fresh), strict=True))
+        cache.update(zip((w for w, _ in other), self.encoded([t for _, t in other]), strict=True))
+        for w, low, m in split:
+            if not m:
+                cache[w] = letters[low]
+            elif not spans:
+                cache[w] = letters[low] + marks[m]
+            else:
+                cache[w] = letters[low] + array("i", (len(low) + x for x in array("i", marks[m]))).tobytes()
+
+    def of(self, texts: list[str | None]) -> list[list[bytes]]:
         """For each text the entries of its words, in order."""
         if len(self.cache) > CACHED_WORDS:
             self.cache.clear()
+            self.letters.clear()
         many = [(t or "").encode("utf-8", "replace").split() for t in texts]
-        found = [list(map(self.cache.get, words)) for words in many]
-        new = {w for words, entries in zip(many, found, strict=True) if None in entries for w, e in zip(words, entries, strict=True) if e is None}
+        new = set().union(*many).difference(self.cache)
         if new:
             self.learn(new)
-            for words, entries in zip(many, found, strict=True):
-                if None in entries:
-                    for k, e in enumerate(entries):
-                        if e is None:
-                            entries[k] = self.cache[words[k]]
-        return found
+        entry = self.cache.__getitem__
+        return [list(map(entry, words)) for words in many]
