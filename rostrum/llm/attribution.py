@@ -50,13 +50,12 @@ def line_sections(text="text", longest: int = LONGEST):
     return text_column(make, f"spans {SPANS}")(text)["spans"]
 
 
-def word_spans(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends, in code points, of the words between ASCII white space."""
+def word_starts(data: bytes) -> np.ndarray:
+    """Where the words between ASCII white space begin, in code points."""
     raw = np.frombuffer(data, dtype=np.uint8)
-    word = np.concatenate([[False], ~SPACE[raw], [False]])
-    edges = np.flatnonzero(word[1:] != word[:-1])
-    points = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
-    return points[edges[::2]], points[edges[1::2]]
+    space = SPACE[raw]
+    begin = np.flatnonzero(~space & np.concatenate([[True], space])[:-1])
+    return begin if data.isascii() else (np.cumsum((raw & 0xC0) != 0x80) - 1)[begin]
 
 
 def clipped(spans: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,39 +69,42 @@ def clipped(spans: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return starts, np.maximum(ends, starts), order
 
 
-def attribute(data: bytes, tokens: np.ndarray, offsets, spans: list[dict]) -> tuple[int, int, np.ndarray, np.ndarray]:
-    """All tokens, those in no section, and for each section, in the given order, its tokens and those of them that cross a boundary.
-
-    tokens has the number of each word's tokens; offsets(word) gives their spans in it, asked for words that cross a boundary."""
+def attribute(begin: np.ndarray, end: np.ndarray, spans: list[dict]) -> tuple[int, np.ndarray, np.ndarray]:
+    """The interval join of tokens (begin and end of each, in code points, by begin) and sections: the tokens in no section, and for
+    each section, in the given order, its tokens and those of them that cross a boundary."""
     n = len(spans)
     counts, split = np.zeros(n + 1, dtype=np.int64), np.zeros(n + 1, dtype=np.int64)
-    begin, end = word_spans(data)
-    starts, ends, order = clipped(spans)
     if not n:
-        return int(tokens.sum()), int(tokens.sum()), counts[:0], split[:0]
-    # the last section that starts at or before the word; of those that start together the last is the one that isn't empty
+        return len(begin), counts[:0], split[:0]
+    starts, ends, order = clipped(spans)
+    # the last section that starts at or before the token; of those that start together the last is the one that isn't empty
     first = np.searchsorted(starts, begin, side="right") - 1
-    whole = (first >= 0) & (end <= ends[np.maximum(first, 0)])
-    counts[:n] += np.bincount(first[whole], weights=tokens[whole], minlength=n).astype(np.int64)
-    crossing = np.flatnonzero(~whole).tolist()
-    words = data.split() if crossing else []
-    for i in crossing:
-        for a, b in offsets(words[i]):
-            a, b = a + int(begin[i]), b + int(begin[i])
-            k = max(0, int(np.searchsorted(starts, a, side="right")) - 1)
-            best, most, held, touched = n, 0, 0, 0
-            while k < n and starts[k] < max(b, a + 1):
-                shared = int(min(b, ends[k]) - max(a, starts[k])) if b > a else int(starts[k] <= a < ends[k])
-                if shared > 0:
-                    held, touched = held + shared, touched + 1
-                    if shared > most:
-                        best, most = k, shared
-                k += 1
-            counts[best] += 1
-            split[best] += touched > 1 or 0 < held < b - a
+    whole = (first >= 0) & (end <= ends[np.maximum(first, 0)]) & (end > begin)
+    counts[:n] += np.bincount(first[whole], minlength=n)
+    for i in np.flatnonzero(~whole).tolist():
+        a, b = int(begin[i]), int(end[i])
+        k = max(0, int(first[i]))
+        best, most, held, touched = n, 0, 0, 0
+        while k < n and starts[k] < max(b, a + 1):
+            shared = int(min(b, ends[k]) - max(a, starts[k])) if b > a else int(starts[k] <= a < ends[k])
+            if shared > 0:
+                held, touched = held + shared, touched + 1
+                if shared > most:
+                    best, most = k, shared
+            k += 1
+        counts[best] += 1
+        split[best] += touched > 1 or 0 < held < b - a
     back = np.empty(n, dtype=np.int64)
     back[order] = np.arange(n)
-    return int(tokens.sum()), int(counts[n]), counts[back], split[back]
+    return int(counts[n]), counts[back], split[back]
+
+
+def token_spans(data: bytes, entries: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of each of a document's tokens, from its bytes and its words' entries (WordTokens with spans)."""
+    inside = np.frombuffer(b"".join(entries), dtype=np.int32).reshape(-1, 2)
+    tokens = np.fromiter(map(len, entries), dtype=np.int64, count=len(entries)) >> 3
+    at = np.repeat(word_starts(data), tokens)
+    return at + inside[:, 0], at + inside[:, 1]
 
 
 def token_counts(text, spans, path: str | None = None):
@@ -111,7 +113,7 @@ def token_counts(text, spans, path: str | None = None):
     fields = [pa.field(f.name, to_arrow_type(f.dataType)) for f in kind.fields]
 
     def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        words = WordTokens(path)
+        words = WordTokens(path, spans=True)
         for texts, sections in batches:
             at, parts = 0, []
             for part in slices(texts):
@@ -120,9 +122,9 @@ def token_counts(text, spans, path: str | None = None):
                 rows = []
                 for text, entries, spans in zip(values, words.of(values), own, strict=True):
                     spans = spans or []
-                    tokens = np.fromiter(map(len, entries), dtype=np.int64, count=len(entries)) >> 2
-                    total, rest, counts, split = attribute((text or "").encode("utf-8", "replace"), tokens, words.offsets, spans)
-                    rows.append((total, rest, [(k, s["start"], s["end"], c, x) for k, (s, c, x) in enumerate(zip(spans, counts.tolist(), split.tolist(), strict=True))]))
+                    begin, end = token_spans((text or "").encode("utf-8", "replace"), entries)
+                    rest, counts, split = attribute(begin, end, spans)
+                    rows.append((len(begin), rest, [(k, s["start"], s["end"], c, x) for k, (s, c, x) in enumerate(zip(spans, counts.tolist(), split.tolist(), strict=True))]))
                 columns = list(zip(*rows, strict=True))
                 parts.append(pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], fields=fields))
             yield pa.concat_arrays(parts) if parts else pa.array([], pa.struct(fields))
@@ -133,7 +135,10 @@ def token_counts(text, spans, path: str | None = None):
 def section_report(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
     """One row for each section of each document: doc_id, section, start, end, n_tokens, n_split, doc_tokens.
 
-    Null and empty texts have one empty section; repeated rows are reported alike; other columns are left out.
+    Null and empty texts have one empty section; repeated rows are reported alike; a token that lies half in one section and half in
+    the next belongs to the earlier; a long text is held whole by one task, as one token list; an empty table gives no rows; other
+    columns are left out.
     """
+    # inline_outer, as no array is empty: for inline the optimizer would add a filter on the arrays and run both functions twice
     found = docs.select("doc_id", token_counts(docs["text"], line_sections(docs["text"], longest)).alias("t"))
-    return found.select("doc_id", "t.doc_tokens", F.inline("t.counts")).select("doc_id", "section", "start", "end", "n_tokens", "n_split", "doc_tokens")
+    return found.select("doc_id", "t.doc_tokens", F.inline_outer("t.counts")).select("doc_id", "section", "start", "end", "n_tokens", "n_split", "doc_tokens")

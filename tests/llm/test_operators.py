@@ -70,14 +70,28 @@ def test_attribution(docs):
 
 def test_attribution_rules():
     def of(tokens, *spans):
-        return attribution.attribute(b"abcdef", np.array([len(tokens)]), lambda _: tokens, [{"start": a, "end": b} for a, b in spans])
-
-    total, rest, counts, split = of([(0, 3), (3, 6)], (0, 2), (2, 6))
-    assert (total, rest, counts.tolist(), split.tolist()) == (2, 0, [1, 1], [1, 0])
-    assert of([(0, 6)], (0, 3), (3, 6))[2].tolist() == [1, 0]  # a tie goes to the earlier
-    assert of([(0, 6)], (0, 4), (0, 6))[2].tolist() == [1, 0]  # overlap: the earlier holds it
-    assert of([(0, 3), (3, 6)], (10, 12))[1] == 2
-    assert of([(0, 3), (3, 6)])[:2] == (2, 2)
+        return attribution.attribute(np.array([a for a, _ in tokens]), np.array([b for _, b in tokens]), [{"start": a, "end": b} for a, b in spans])
+
+    rest, counts, split = of([(0, 3), (3, 6)], (0, 2), (2, 6))
+    assert (rest, counts.tolist(), split.tolist()) == (0, [1, 1], [1, 0])
+    assert of([(0, 6)], (0, 3), (3, 6))[1].tolist() == [1, 0]  # a tie goes to the earlier
+    assert of([(0, 6)], (0, 4), (0, 6))[1].tolist() == [1, 0]  # overlap: the earlier holds it
+    assert of([(0, 3), (3, 6)], (10, 12))[0] == 2
+    assert of([(0, 3), (3, 6)])[0] == 2
+    assert of([(2, 2), (6, 6)], (0, 2), (2, 6))[1].tolist() == [0, 1]  # no characters: where it starts, or nowhere
+
+
+def test_functions_run_once(docs):
+    for report, runs in ((attribution.section_report, 2), (tiff.media_report, 2), (packing.packed, 0), (secrets.secret_report, 1)):
+        plan = report(docs)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == runs, report.__name__
+
+
+def test_token_spans_equal_whole_texts():
+    t = WordTokens(spans=True)
+    for text in ["Don't stop., x. ..", "ÉTÉ, été. Straße.", "a b c", "İstanbul. ǅ ΣΑΣ.", "<|endoftext|>. 12.5, a,b", " \t\n", "ﬁn. ｆｕｌｌ,", "Internationalisation, über-lang. 😀😀 ok", *[x[1] or "" for x in corpus()]]:
+        begin, end = attribution.token_spans(text.encode(), t.of([text])[0])
+        assert list(zip(begin.tolist(), end.tolist(), strict=True)) == t.tokenizer.encode(text, add_special_tokens=False).offsets
 
 
 # 2
