@@ -492,6 +492,54 @@ def test_passages_at_the_threshold_are_found(spark):
     assert got <= planted and len(got) >= 0.9 * len(planted)
 
 
+def test_recall_against_all_pairs(spark):
+    """Passages of 50 to 100 words at identity 0.8 to 0.9, substitutions, insertions and deletions, against alignment of all pairs."""
+    rng = random.Random(17)
+    vocab = [f"w{k}" for k in range(3000)]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    rows = []
+    for k in range(150):
+        n = rng.choice([50, 60, 80, 100])
+        passage, edited = text(n), []
+        gone = set(rng.sample(range(1, n - 1), int(n * rng.uniform(0.1, 0.19))))
+        for i, w in enumerate(passage):
+            kind = rng.choice(["other", "other", "none", "more"]) if i in gone else "same"
+            edited += {"same": [w], "other": [f"e{i}"], "none": [], "more": [w, f"e{i}"]}[kind]
+        rows += [text(30) + passage + text(30), text(30) + edited + text(30)]
+    truth = set()
+    for k in range(0, len(rows), 2):  # no others are alike: words are drawn apart
+        a, b = rows[k][30:-30], rows[k + 1][30:-30]
+        if min(len(a), len(b)) >= 50 and chaining.common_words(a, b) >= 0.8 * max(len(a), len(b)):
+            truth.add((k + 1, k))
+    got = {(r["doc_id"], r["other_id"]) for r in chaining.repeated_passages(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string")).collect()}
+    print("recall", len(got & truth) / len(truth))
+    assert len(got & truth) >= 0.9 * len(truth) and got <= {(k + 1, k) for k in range(0, len(rows), 2)}
+
+
+def test_passage_of_a_later_holder_is_found(spark):
+    rng = random.Random(18)
+    vocab = [f"w{k}" for k in range(3000)]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    rows = []
+    for k in range(10):  # the first holds a part, too short to be a passage; the others hold all of it
+        passage = text(60)
+        rows += [text(40) + passage[:40] + text(40), text(40) + passage + text(40), text(20) + passage + text(60)]
+    got = {(r["doc_id"], r["other_id"]) for r in chaining.repeated_passages(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string")).collect()}
+    assert {(3 * k + 2, 3 * k + 1) for k in range(10)} <= got
+
+
+@pytest.mark.parametrize("hot", [5_000, 3])
+def test_passages_within_a_document_and_held_by_many(spark, monkeypatch, hot):
+    monkeypatch.setattr(chaining, "HOT", hot)
+    rng = random.Random(19)
+    vocab = [f"w{k}" for k in range(3000)]
+    text = lambda n: [rng.choice(vocab) for _ in range(n)]
+    passage = text(70)
+    rows = [text(30) + passage + text(10 + k) for k in range(20)] + [text(30) + (own := text(60)) + text(20) + own]
+    got = {(r["doc_id"], r["other_id"]) for r in chaining.repeated_passages(spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string")).collect()}
+    assert {(k, 0) for k in range(1, 20)} | {(20, 20)} <= got
+
+
 def test_chains_are_the_best():
     rng = random.Random(6)
     for _ in range(30):
