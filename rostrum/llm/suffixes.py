@@ -1,15 +1,17 @@
-"""Exact substring dedup: suffixes are sorted to a depth of LENGTH bytes by refining buckets of q-grams.
+"""Exact substring dedup: suffixes are sorted to a depth of LENGTH bytes by bucket-pointer refinement.
 
-A suffix's first bucket is its q-gram. A bucket is refined by sorting its suffixes on the bucket identifiers at later offsets,
-q, 2q and so on up to LENGTH: the identifiers are computed once, by doubling, and reused at every offset; suffixes alone in
-their bucket drop out at each step. What remains together after the last step shares LENGTH bytes; all but the earliest of
-such a class are repeats.
+A suffix's first bucket is its q-gram, and its bucket pointer that bucket's number. A bucket is refined by sorting its suffixes on
+the pointers at a later offset, and the numbers of the new buckets become its suffixes' pointers, so that the next step reads at
+its offset what the one before has refined: pointers of 32 bytes give pointers of 64, and these of 100. Suffixes alone in
+their bucket are done. What remains together after the last step is compared byte by byte; all but the earliest of such a
+class are repeats.
 
 To let machines sort apart from each other, suffixes are grouped by content. Of the q-grams in a window of LENGTH bytes the
 one with the least hash is the window's anchor, so equal windows have equal anchors at equal places. Only anchors whose q-gram
-occurs twice are sorted; each brings the stretch of text whose windows it anchors. The sort runs in groups of anchors,
-some CHUNK_BYTES at a time. An anchor that occurs over HOT times would make one unbounded group, so its windows go one by one
-under hashes of their own, and are told from the earliest of each as they stream by.
+occurs twice are sorted; each brings the stretch of text whose windows it anchors. Where stretches are cut from texts, of equal
+ones only the earliest goes on with its bytes; the others are repeats as a whole. An anchor that occurs over HOT times brings
+its stretch in CUTS parts, each named by all the bytes that its windows share, so that its group is many. The sort runs in
+groups of anchors, some CHUNK_BYTES at a time.
 
 Equal texts are one node: all rows but that of the least doc_id are repeats as a whole.
 """
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_column
+from .common import cut, slices, text_column
 
 LENGTH = 100
 Q = 32
@@ -33,8 +35,9 @@ Q = 32
 PIECE = 1 << 19
 PLACE = np.uint64((1 << 20) - 1)
 CHUNK_BYTES = 2 << 20
-#: Occurrences up to which an anchor's stretches (some 200 bytes each) are sorted in one group.
+#: Occurrences up to which an anchor's stretches (some 200 bytes each) are named by the anchor alone; beyond it, they come in parts.
 HOT = 20_000
+CUTS = 4
 MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 
@@ -52,11 +55,11 @@ def identifiers(data: np.ndarray, q: int = Q) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def anchors(data: np.ndarray, length: int = LENGTH, q: int = Q) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each anchor of the windows in data, in order: its q-gram's identifier, the first and the last window that it anchors."""
+def anchors(data: np.ndarray, length: int = LENGTH, q: int = Q) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each anchor of the windows in data, in order: its q-gram's identifier, its place, the first and the last window that it anchors."""
     n, wide = len(data) - length + 1, length - q + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64), *(np.zeros(0, np.int64) for _ in range(3))
     ids = identifiers(data, q)
     least = (ids & ~PLACE) | np.arange(len(ids), dtype=np.uint64)  # of equal ones the first
     size = 1
@@ -66,7 +69,7 @@ def anchors(data: np.ndarray, length: int = LENGTH, q: int = Q) -> tuple[np.ndar
         size += step
     at = (least[:n] & PLACE).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    return ids[at[first]], first, np.append(first[1:], n) - 1
+    return ids[at[first]], at[first], first, np.append(first[1:], n) - 1
 
 
 def pieces(data: bytes, length: int = LENGTH):
@@ -94,78 +97,127 @@ def text_anchors(text="text"):
     return text_column(make, "ids array<long>")(text)["ids"]
 
 
-STRETCHES = "array<struct<anchor: long, start: long, bytes: binary>>"
+STRETCHES = "array<struct<anchor: long, start: long, end: long, bytes: binary>>"
 
 
-def stretches(text, chosen):
-    """An array column: for each chosen anchor its identifier, and place and bytes of its stretch.
+def parts_of(raw: bytes, anchor: int, place: int, first: int, last: int, hot: bool) -> Iterator[tuple[int, int, int]]:
+    """(name, start, end) of the stretch of windows first to last around an anchor's place; of a hot one, of its parts, cut at equal
+    distances from the anchor whatever windows there are."""
+    if not hot:
+        yield anchor, first, last + LENGTH
+        return
+    width = -(-(LENGTH - Q + 1) // CUTS)
+    for k in range(CUTS):
+        low, high = place - min((k + 1) * width - 1, LENGTH - Q), place - k * width
+        a, b = max(first, low), min(last, high)
+        if a <= b:  # the anchor and what lies around it in every window of this part, whether here or not
+            yield xxhash.xxh64_intdigest(raw[high : low + LENGTH], k) - (1 << 63), a, b + LENGTH
 
-    chosen has the anchors' numbers in the order of text_anchors, doubled, plus one for a hot anchor. That gives its windows
-    instead, each with its own hash for identifier and no bytes.
-    """
-    fields = pa.list_(pa.struct([("anchor", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary())]))
 
-    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, numbers in batches:
+def stretches(text, chosen, node, id):
+    """An array column: for each chosen anchor its name, and place and bytes of its stretch, or of its parts.
+
+    chosen has the anchors' numbers in the order of text_anchors, doubled, plus one for a hot anchor. Of equal stretches in
+    a slice of rows the earliest alone has bytes; the others, repeats as a whole, have a name that spreads them.
+    """
+    fields = pa.list_(pa.struct([("anchor", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("bytes", pa.binary())]))
+
+    def of(text, which, doc, earliest):
+        wanted, before, found = np.unique(np.array(which or [], dtype=np.int64)), 0, []
+        wanted, hot = wanted >> 1, wanted & 1 == 1
+        for at, data in pieces((text or "").encode("utf-8", "surrogatepass")) if len(wanted) else ():
+            ids, places, first, last = anchors(data)
+            among = (wanted >= before) & (wanted < before + len(ids))
+            here = wanted[among] - before
+            before += len(ids)
+            raw = data.tobytes()
+            for row in zip(*(x[here].tolist() for x in (ids.view(np.int64), places, first, last)), hot[among].tolist(), strict=True):
+                for name, a, b in parts_of(raw, *row):
+                    item = [name, at + a, at + b, raw[a:b]]
+                    key, mine = (name, item[3]), (doc, item[1])
+                    other = earliest.get(key)
+                    if other and other[0] == mine:  # a document given twice
+                        continue
+                    found.append(item)
+                    if other is None or mine < other[0]:
+                        earliest[key] = (mine, item)
+                        item, mine = (other[1], other[0]) if other else (None, None)
+                    if item:
+                        item[0], item[3] = xxhash.xxh64_intdigest(repr(mine)) - (1 << 63), None
+        return found
+
+    def run(batches: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for texts, *columns in batches:
             at, parts = 0, []
             for part in slices(texts):
-                own = numbers.slice(at, len(part)).to_pylist()
+                numbers, nodes, ids = (c.slice(at, len(part)).to_pylist() for c in columns)
                 at += len(part)
-                out = []
-                for text, which in zip(part.to_pylist(), own, strict=True):
-                    wanted, before, found = np.unique(np.array(which or [], dtype=np.int64)), 0, []
-                    wanted, hot = wanted >> 1, wanted & 1 == 1
-                    for place, data in pieces((text or "").encode("utf-8", "surrogatepass")) if len(wanted) else ():
-                        ids, first, last = anchors(data)
-                        among = (wanted >= before) & (wanted < before + len(ids))
-                        here = wanted[among] - before
-                        before += len(ids)
-                        raw = data.tobytes()
-                        for i, a, b, single in zip(ids[here].view(np.int64).tolist(), first[here].tolist(), last[here].tolist(), hot[among].tolist(), strict=True):
-                            found += [(xxhash.xxh64_intdigest(raw[k : k + LENGTH]) - (1 << 63), place + k, None) for k in range(a, b + 1)] if single else [(i, place + a, raw[a : b + LENGTH])]
-                    out.append(found)
-                parts.append(pa.array(out, fields))
+                earliest: dict = {}
+                rows = [of(text, which, doc, earliest) for text, which, doc in zip(part.to_pylist(), numbers, zip(ids, nodes, strict=True), strict=True)]
+                parts.append(pa.array([[dict(zip(("anchor", "start", "end", "bytes"), x, strict=True)) for x in found] for found in rows], fields))
             yield pa.concat_arrays(parts) if parts else pa.array([], fields)
 
-    return F.arrow_udf(run, returnType=STRETCHES)(text, chosen)
+    return F.arrow_udf(run, returnType=STRETCHES)(text, chosen, node, id)
+
 
+def refined(pointers: np.ndarray, active: np.ndarray, offset: int) -> tuple[np.ndarray, np.ndarray]:
+    """One step: the suffixes at the active places, those together in a bucket, are sorted on their own pointer and that at
+    offset. Gives all pointers anew, and the places that are still not alone in their bucket."""
+    own, later = pointers[active], pointers[active + offset]
+    order = np.lexsort((later, own))
+    ranked, after = own[order], later[order]
+    number = np.cumsum(np.concatenate([[True], (ranked[1:] != ranked[:-1]) | (after[1:] != after[:-1])])) - 1 if len(order) else order
+    now = pointers.copy()
+    now[active[order]] = number + pointers.max(initial=0) + 1  # numbers that no other suffix has
+    together = np.bincount(number, minlength=1)[number] > 1
+    return now, np.sort(active[order[together]])
 
-def refine(buckets: np.ndarray, members: np.ndarray, later: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Members of buckets sorted on later bucket identifiers: new bucket numbers, and the members that aren't alone, in their order."""
-    key = later if not len(buckets) else (buckets.astype(np.uint64) * MIX[0] ^ later) * MIX[1] + buckets.astype(np.uint64)
-    order = np.argsort(key, kind="stable")
-    ranked = key[order]
-    fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, bool)
-    number = np.cumsum(fresh) - 1
-    sizes = np.bincount(number, minlength=1)
-    together = sizes[number] > 1
-    bucket = np.full(len(key), -1, dtype=np.int64)
-    bucket[order[together]] = number[together]
-    stay = bucket >= 0
-    return bucket[stay], members[stay]
+
+def same_windows(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
+    """Whether the windows at places a equal those at b, byte by byte."""
+    span = np.arange(length)
+    out = [(data[a[k : k + 8192, None] + span] == data[b[k : k + 8192, None] + span]).all(axis=1) for k in range(0, len(a), 8192)]
+    return np.concatenate(out) if out else np.zeros(0, dtype=bool)
 
 
 def repeats(stretches: list[bytes], length: int = LENGTH, q: int = Q) -> list[tuple[int, int, int]]:
     """(stretch, first, end) of the runs of bytes covered by windows that an earlier stretch, or an earlier place in it, holds too.
 
-    Stretches come in the order that says which is earlier; no place is in two.
+    Stretches come in the order that says which is earlier; no place is in two. q is a power of two and over a quarter of length.
     """
     sizes = np.array([len(s) for s in stretches], dtype=np.int64)
     data = np.frombuffer(b"".join(stretches), dtype=np.uint8)
     begin = np.cumsum(sizes) - sizes
+    room = np.repeat(begin + sizes, sizes) - np.arange(len(data))  # bytes from each place to its stretch's end
     ids = identifiers(data, q)
-    windows = sizes - length + 1
-    owner = np.repeat(np.arange(len(sizes)), windows)
-    members = np.arange(len(owner)) - np.repeat(np.cumsum(windows) - windows, windows) + begin[owner]
-    buckets = np.zeros(0, dtype=np.int64)
-    for offset in sorted({*range(0, length - q, q), length - q}):
-        buckets, members = refine(buckets, members, ids[members + offset])
-    if not len(members):
+    pointers = np.unique(ids, return_inverse=True)[1].astype(np.int64)
+    pointers = np.concatenate([pointers, np.full(len(data) - len(pointers), -1)])
+    known = q
+    places = np.flatnonzero(room >= q)
+    active = places[np.bincount(pointers[places], minlength=1)[pointers[places]] > 1]
+    while known < length:
+        offset = min(known, length - known)
+        here = active[room[active] >= known + offset]
+        pointers, active = refined(pointers, here, offset)
+        known += offset
+    if not len(active):
         return []
-    order = np.argsort(buckets, kind="stable")  # members are in order, so the first of a bucket is the earliest
-    ranked = buckets[order]
-    later = np.concatenate([[False], ranked[1:] == ranked[:-1]])
-    found = np.sort(members[order[later]])
+    order = np.argsort(pointers[active], kind="stable")  # places are in order, so the first of a bucket is the earliest
+    ranked, members = pointers[active][order], active[order]
+    fresh = np.concatenate([[True], ranked[1:] != ranked[:-1]])
+    head = members[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+    later, head, bucket = members[~fresh], head[~fresh], ranked[~fresh]
+    same = same_windows(data, later, head, length)
+    found = later[same]
+    if not same.all():  # two q-grams with one identifier: such buckets are told apart by their bytes
+        seen, raw = set(), data.tobytes()
+        for p in np.sort(members[np.isin(ranked, bucket[~same])]).tolist():
+            window = raw[p : p + length]
+            if window in seen:
+                found = np.append(found, p)
+            seen.add(window)
+        found = np.unique(found)
+    found = np.sort(found)
     if not len(found):
         return []
     owner = np.searchsorted(begin, found, side="right") - 1
@@ -175,9 +227,10 @@ def repeats(stretches: list[bytes], length: int = LENGTH, q: int = Q) -> list[tu
 
 
 def sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """mapInArrow over rows (anchor, id, node, start, bytes) sorted by these: rows (node, id, start, end) of repeats."""
+    """mapInArrow over rows (anchor, id, node, start, bytes, end) sorted by the first four: rows (node, id, start, end) of
+    repeats. A row without bytes is one."""
     held: list[tuple] = []
-    size, last, last_single = 0, None, None
+    size, last = 0, None
 
     def result(found: list[tuple[tuple, int, int]]) -> pa.RecordBatch:
         columns = [[r[2] for r, _, _ in found], [r[1] for r, _, _ in found], [r[3] + a for r, a, _ in found], [r[3] + b for r, _, b in found]]
@@ -192,10 +245,7 @@ def sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         later = []
         for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if row[4] is None:
-                if last_single and row[0] == last_single[0] and row[1:4] != last_single[1:4]:
-                    later.append((row, 0, LENGTH))
-                else:
-                    last_single = row
+                later.append((row, 0, row[5] - row[3]))
                 continue
             if row[0] != last and size >= CHUNK_BYTES:
                 yield flush()
@@ -255,9 +305,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     own = rows.join(firsts, on)
     found = own.select(*on, F.posexplode(text_anchors(F.col("text"))).alias("number", "anchor"))
     twice = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor", (F.col("n") > HOT).cast("int").alias("hot"))
+    twice = cut(twice)  # read anew, so that a hot anchor's rows can be split in the join
     chosen = found.join(twice, "anchor").groupBy(on).agg(F.collect_list(F.col("number") * 2 + F.col("hot")).alias("chosen"))
     source = rows.join(chosen, on)
-    parts = source.select(*on, F.explode(stretches(F.col("text"), F.col("chosen"))).alias("s")).select("s.anchor", "id", "node", "s.start", "s.bytes")
+    parts = source.select(*on, F.explode_outer(stretches(F.col("text"), F.col("chosen"), F.col("node"), F.col("id"))).alias("s")).select("s.anchor", "id", "node", "s.start", "s.bytes", "s.end").where("anchor is not null")
     order = ["anchor", "id", "node", "start"]
     repeated = parts.repartition("anchor").sortWithinPartitions(*order).mapInArrow(sort_groups, "node long, id long, start long, end long")
     runs = repeated.groupBy(on).agg(F.collect_list(F.struct("start", "end")).alias("runs"))
