@@ -133,6 +133,9 @@ RECALL = 0.91
 LEAST_BAND_BITS, MOST_BAND_BITS = 20, 32
 #: Of 64 bits, so many differ at most in candidates: at similarity 0.8 the mean is 9.7 with a deviation of 2.9, by chance 32 with 4.
 CANDIDATE_DISTANCE = 18
+#: Longs of the fingerprint that tell apart what a full band's classes hold, and by how many deviations of the distance more than the
+#: mean at the similarity a pair may differ in them: of pairs at the similarity, 1 in 160 differs by more.
+WIDE, DEVIATIONS = LEAST_BANDS * LEAST_BAND_BITS // 64, 2.5
 #: Nodes or rows (16 bytes each) up to which a counted list is broadcast to spare a shuffle of texts; longer ones are joined by a shuffle.
 BROADCAST_ROWS = 400_000
 
@@ -167,23 +170,22 @@ def band_bits(rows: int) -> int:
 
 
 def bands(text="text", words: int = 5, bits: int = LEAST_BAND_BITS, count: int = LEAST_BANDS):
-    """A struct column of the set of a text's shingles, repeats left out: bits, the first 64 as a long, bands, count
+    """A struct column of the set of a text's shingles, repeats left out: wide, the first 64 * WIDE bits as longs, bands, count
     keys of so many bits each with the band's number, and size, the number of different shingles."""
 
     def make():
         powers = np.int64(1) << np.arange(bits, dtype=np.int64)
-        first = np.uint64(1) << np.arange(64, dtype=np.uint64)
         number = np.arange(count, dtype=np.int64) << MOST_BAND_BITS
 
         def of(text):
             hashes = np.unique(shingle_hashes(text, words))  # sets decide, so sets are what bands tell apart
             found = wide_bits(hashes, -(-count * bits // 64))
-            head = int(first[found[:64]].sum())
-            return head - (1 << 64) if head >> 63 else head, (found[: count * bits].reshape(count, bits) @ powers + number).tolist(), len(hashes)
+            wide = np.packbits(found[: 64 * WIDE], bitorder="little").view(np.int64)
+            return wide.tolist(), (found[: count * bits].reshape(count, bits) @ powers + number).tolist(), len(hashes)
 
         return lambda texts: list(zip(*map(of, texts), strict=True))
 
-    return text_column(make, "bits long, bands array<long>, size int")(text)
+    return text_column(make, "wide array<long>, bands array<long>, size int")(text)
 
 
 def shingle_set(text="text", words: int = 5):
@@ -219,14 +221,21 @@ def across(here: DataFrame, similarity: float) -> DataFrame:
     """Pairs (a, b) of nodes of different classes in a band of divided() that bits and sizes allow to be similar.
 
     Nodes outside a band's largest class meet those of all classes but their own: what a large class holds isn't paired with
-    itself.
+    itself. The distance of wide fingerprints is judged within the join, so that few pairs leave it.
     """
-    names = ["node", "bits", "root", "size"]
+    names = ["node", "wide", "root", "size"]
     met = here.select("band", *names).join(here.where("root <> most").select("band", *(F.col(c).alias(f"few_{c}") for c in names)), "band")
-    near = (F.bit_count(F.expr("bits ^ few_bits")) <= CANDIDATE_DISTANCE) & (F.least("size", "few_size") >= similarity * F.greatest("size", "few_size"))
+    differ = sum((F.bit_count(F.expr(f"wide[{k}] ^ few_wide[{k}]")) for k in range(1, WIDE)), F.bit_count(F.expr("wide[0] ^ few_wide[0]")))
+    near = (F.least("size", "few_size") >= similarity * F.greatest("size", "few_size")) & (differ <= widest_distance(similarity))
     return met.where((F.col("root") != F.col("few_root")) & near).select(F.least("node", "few_node").alias("a"), F.greatest("node", "few_node").alias("b")).distinct()
 
 
+def widest_distance(similarity: float) -> int:
+    """Of 64 * WIDE bits, so many differ at most in candidates."""
+    n, p = 64 * WIDE, 1 - agreement(similarity)
+    return math.ceil(n * p + DEVIATIONS * math.sqrt(n * p * (1 - p)))
+
+
 def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """Links (a, b) between the nodes (hashes) of different texts whose shingle sets are that similar by Jaccard; enough of them
     to join all that share a band, are near by their bits and are that similar.
@@ -237,8 +246,8 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> D
     """
     bits = band_bits(docs.count())
     marks = docs.select("node", bands(docs["text"], words, bits, band_count(bits, similarity)).alias("m")).groupBy("node").agg(F.first("m").alias("m"))  # of copies one goes on
-    marks = stored(marks.select("node", "m.*"))
-    members = marks.select("node", "bits", "size", F.explode("bands").alias("band"))
+    marks = stored(marks.select("node", F.expr("m.wide[0]").alias("bits"), "m.*"))
+    members = marks.select("node", "bits", F.explode("bands").alias("band"))
     order = Window.partitionBy("band").orderBy("node")
     here = F.struct("node", "bits")
     near = members.select("band", here.alias("b"), F.first(here).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("first"), F.lag(here).over(order).alias("last"), F.row_number().over(order).alias("k"))
@@ -252,7 +261,7 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> D
     if full.isEmpty():
         return links
     full = F.broadcast(full) if full.count() <= BROADCAST_ROWS else full
-    rest = members.join(full, "band", "left_semi")
+    rest = marks.select("node", "wide", "size", F.explode("bands").alias("band")).join(full, "band", "left_semi")
     rest = divided(rest, links)
     more = cut(across(rest, similarity).join(pairs, ["a", "b"], "left_anti"))
     return links.unionByName(alike(docs, more, words, similarity))

@@ -318,9 +318,25 @@ def test_repeats_dont_hide_near_copies(spark):
     assert sum(r["doc_id"] % 2 for r in out) <= 3
 
 
+def test_near_dedup_against_all_pairs(spark):
+    rng = random.Random(21)
+    rows = []
+    for _ in range(150):
+        w = [f"w{rng.randrange(10**6)}" for _ in range(300)]
+        rows.append(" ".join(w))
+        for i in rng.sample(range(6, 294, 8), rng.randrange(3, 7)):  # 15 to 30 of 296 shingles: similarity 0.81 to 0.9
+            w[i] = "changed"
+        rows.append(" ".join(w))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, rows)]
+    pairs = {(a, b) for b in range(len(rows)) for a in range(b) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    left = {r["doc_id"] for r in simhash.one_of_each(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    gone = set(range(len(rows))) - left
+    assert gone <= {b for _, b in pairs} and len(gone) >= 0.9 * len({b for _, b in pairs})
+
+
 def test_all_that_share_a_band_are_compared(spark, monkeypatch):
-    one = F.struct(F.lit(0).cast("long").alias("bits"), F.array(F.lit(1).cast("long")).alias("bands"), F.lit(296).alias("size"))
-    monkeypatch.setattr(simhash, "bands", lambda *_: one)
+    real = simhash.bands
+    monkeypatch.setattr(simhash, "bands", lambda *x: real(*x).withField("bands", F.array(F.lit(1).cast("long"))))
     rng = random.Random(13)
     rows = []
     for f in range(4):  # drifted from a template, below 0.8 to one another but for a pair
@@ -625,6 +641,37 @@ def test_repeated_words_at_random():
 # all
 
 
+def test_pipeline(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rng = random.Random(22)
+    vocab = [f"w{k}" for k in range(4000)]
+    text = lambda n: " ".join(rng.choice(vocab) for _ in range(n))
+    texts = [text(rng.randrange(60, 300)) for _ in range(40)]
+    texts += [texts[0], texts[0], texts[1].replace(texts[1].split()[20], "other"), texts[2] + " password: hunter2345", None, "", "few words", "a b c d e f g h i j " * 9]
+    rows = [(k, t, None if k % 5 == 0 else f"s{k % 3}", None if t is None else len(t), "x", "y") for k, t in enumerate(texts)] + [(0, texts[0], None, 1, "x", "y"), (None, texts[3], "s1", 1, None, None)]
+    schema = "doc_id long, text string, source string, n_chars long, kept string, found string"
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs, seen = spark.read.parquet(f"{tmp_path}/documents.parquet"), []
+    for name, stage in cp.STAGES[:4]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == schema.replace(" long", "").replace(" string", "").split(", ")
+        seen.append((name, [(r["doc_id"], r["text"]) for r in docs.collect()]))
+    good = {(k, t) for k, t, *_ in rows if not brute_rules(t)[-1]}
+    assert set(seen[0][1]) == good and len(seen[0][1]) == sum(not brute_rules(t)[-1] for _, t, *_ in rows)
+    sets = [(k, t, {tuple(w[i : i + 5]) for w in [t.lower().split()] for i in range(len(w) - 4)}) for k, t in good]
+    least = [min((-1 if j is None else j, u) for j, u, y in sets if len(x & y) >= 0.8 * len(x | y)) for _, _, x in sets]
+    assert sorted((-1 if k is None else k, t) for k, t in seen[1][1]) == sorted(set(least))
+    assert not any("hunter" in t for _, t in seen[2][1]) and len(seen[2][1]) == len(seen[1][1])
+    assert set(seen[3][1]) <= set(seen[2][1])
+    packed = cp.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in packed if r["start"] == 0) == sorted((k is None, k or 0) for k, _ in seen[3][1])
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/none/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/none/labels.parquet")
+    assert cp.run(spark, f"{tmp_path}/none").count() == 0
+
+
 @pytest.mark.parametrize("report", [attribution.section_report, secrets.secret_report, tiff.media_report, simhash.near_duplicate_report, packing.packed, mixing.mix_report, suffixes.substring_report, chaining.repeated_passages, simhash.one_of_each, secrets.redacted, mixing.mixed], ids=lambda f: f.__name__)
 def test_empty_tables(none, report):
     assert report(none).count() == 0
