@@ -1,7 +1,8 @@
 """TIFF columns: image directories are walked, strips or tiles decoded (none, PackBits, LZW, deflate), predictors undone, and
 each page gives one row.
 
-Pages have 8 bits a sample, chunky or planar. The writer stores bytes as greyscale pages of 64 columns, deflated with the
+Pages have 1, 2, 4, 8 or 16 bits a sample, alike in all channels, chunky or planar; pixels are one byte a sample, of 16 bits two, low
+byte first. What a file's header claims is held against its size before anything is allocated. The writer stores bytes as greyscale pages of 64 columns, deflated with the
 horizontal predictor, so that any payload can be kept losslessly as an image and read back.
 """
 
@@ -20,18 +21,18 @@ from .common import text_column
 # Fixed values of the TIFF 6.0 specification.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, SAMPLES, STRIP_ROWS, STRIP_SIZE, PLANAR, PREDICTOR, TILE_W, TILE_H, TILE_AT, TILE_SIZE = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317, 322, 323, 324, 325
 NONE, LZW, DEFLATE, PACKBITS, OLD_DEFLATE = 1, 5, 8, 32773, 32946
-TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
+TYPES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 LZW_CLEAR, LZW_END, LZW_MOST_BITS = 256, 257, 12
 
 COLUMNS = 64
 ROWS_PER_STRIP = 1024
-PAGE = "struct<page: int, width: int, height: int, channels: int, compression: int, predictor: int, pixels: binary, feature: string>"
+PAGE = "struct<page: int, width: int, height: int, channels: int, bits: int, compression: int, predictor: int, pixels: binary, feature: string>"
 
 
-def unpack_bits(data: bytes) -> bytes:
+def unpack_bits(data: bytes, most: int | None = None) -> bytes:
     """PackBits: a head below 128 brings so many literals and one, above 128 the next byte 257 - head times; 128 is skipped."""
     out, at = bytearray(), 0
-    while at < len(data):
+    while at < len(data) and (most is None or len(out) < most):
         head = data[at]
         if head < 128:
             out += data[at + 1 : at + 2 + head]
@@ -66,9 +67,9 @@ def pack_bits(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, high bits first, that widen one code early."""
-    out, table, width = [], [], 9
+def lzw_decode(data: bytes, most: int | None = None) -> bytes:
+    """Codes of 9 to 12 bits, high bits first, that widen one code early; not much beyond so many bytes."""
+    out, table, width, size = [], [], 9, 0
     pool = bits = 0
     last: bytes | None = None
     first = [bytes([k]) for k in range(256)] + [b"", b""]
@@ -92,7 +93,9 @@ def lzw_decode(data: bytes) -> bytes:
             if len(table) + 1 >= 1 << width and width < LZW_MOST_BITS:
                 width += 1
         out.append(entry)
-        last = entry
+        last, size = entry, size + len(entry)
+        if most is not None and size >= most:
+            break
     return b"".join(out)
 
 
@@ -131,7 +134,19 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-DECODERS = {NONE: bytes, LZW: lzw_decode, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpack_bits}
+def inflate(data: bytes, most: int) -> bytes:
+    """What is deflated in data, so many bytes at most; an error if that isn't all there."""
+    stream = zlib.decompressobj()
+    out = stream.decompress(data, max(1, most))
+    if len(out) < most and not stream.eof:
+        raise ValueError("deflated data ends early")
+    return out
+
+
+DECODERS = {NONE: lambda data, most: data[:most], LZW: lzw_decode, DEFLATE: inflate, OLD_DEFLATE: inflate, PACKBITS: unpack_bits}
+#: Bytes that one byte of stored data can stand for, at most.
+GROWTH = {NONE: 1, LZW: 4096, DEFLATE: 1040, OLD_DEFLATE: 1040, PACKBITS: 128}
+DEPTHS = (1, 2, 4, 8, 16)
 ENCODERS = {NONE: bytes, LZW: lzw_encode, DEFLATE: lambda x: zlib.compress(x, 6), PACKBITS: pack_bits}
 
 
@@ -149,15 +164,22 @@ def directory(data: bytes, at: int, order: str) -> tuple[dict[int, tuple], int]:
     return entries, struct.unpack_from(order + "I", data, at + 2 + 12 * count)[0]
 
 
-def undo(block: bytes, rows: int, columns: int, channels: int, predictor: int) -> np.ndarray:
-    """A decoded strip or tile as rows of samples. Predictor 2 holds differences from the sample of the pixel to the left."""
-    full = rows * columns * channels
-    samples = np.frombuffer(block[:full].ljust(full, b"\0"), dtype=np.uint8).reshape(rows, columns, channels)
-    if predictor == 2:
-        return np.cumsum(samples, axis=1, dtype=np.uint8)
-    if predictor != 1:
-        raise ValueError(f"predictor {predictor}")
-    return samples
+def undo(block: bytes, rows: int, columns: int, channels: int, predictor: int, bits: int = 8, order: str = "<") -> np.ndarray:
+    """A decoded strip or tile as rows of samples; each row begins a byte. Predictor 2 holds differences from the sample of the pixel
+    to the left. What is missing at the end is zero."""
+    if predictor not in (1, 2) or predictor == 2 and bits < 8:
+        raise ValueError(f"predictor {predictor} at {bits} bits")
+    width = -(-columns * channels * bits // 8)
+    raw = np.frombuffer(block[: rows * width].ljust(rows * width, b"\0"), dtype=np.uint8).reshape(rows, width)
+    if bits == 16:
+        samples = raw.view(f"{order}u2").astype(np.uint16)
+    elif bits < 8:
+        single = np.unpackbits(raw, axis=1)[:, : columns * channels * bits].reshape(rows, -1, bits)
+        samples = (single << np.arange(bits - 1, -1, -1, dtype=np.uint8)).sum(axis=2, dtype=np.uint8)
+    else:
+        samples = raw
+    samples = samples.reshape(rows, columns, channels)
+    return np.cumsum(samples, axis=1, dtype=samples.dtype) if predictor == 2 else samples
 
 
 def decode(data: bytes) -> list[dict]:
@@ -178,22 +200,37 @@ def decoded(data: bytes) -> Iterator[dict]:
         one = lambda tag, default: tags.get(tag, (default,))[0]  # noqa: B023, E731
         width, height, channels = one(WIDTH, 0), one(HEIGHT, 0), one(SAMPLES, 1)
         compression, predictor, planar = one(COMPRESSION, NONE), one(PREDICTOR, 1), one(PLANAR, 1) == 2
-        if any(b != 8 for b in tags.get(BITS, (1,))):
-            raise ValueError("8 bits a sample only")
+        depths = set(tags.get(BITS, (1,)))
+        bits = min(depths)
+        if len(depths) > 1 or bits not in DEPTHS:
+            raise ValueError(f"bits a sample {sorted(depths)}")
+        if compression not in DECODERS:
+            raise ValueError(f"compression {compression}")
         tiled = TILE_AT in tags
         columns, rows = (one(TILE_W, width), one(TILE_H, height)) if tiled else (width, min(height, one(STRIP_ROWS, height)))
+        if min(width, height, channels, columns, rows) < 1:
+            raise ValueError(f"size {width} x {height} x {channels} in parts of {columns} x {rows}")
         places, sizes = (tags[TILE_AT], tags[TILE_SIZE]) if tiled else (tags[STRIP_AT], tags[STRIP_SIZE])
         across, down = -(-width // columns), -(-height // rows)
         planes = channels if planar else 1
-        image = np.zeros((height, width, channels), dtype=np.uint8)
+        here = 1 if planar else channels
+        part_bytes = rows * -(-columns * here * bits // 8)
+        # in bytes of samples, an image of what these parts can stand for, or a part of one, is no larger than this
+        if max(height * width * channels * bits // 8, part_bytes) > len(data) * GROWTH[compression] + 64:
+            raise ValueError(f"size {width} x {height} x {channels} is beyond the data")
+        if min(len(places), len(sizes)) < across * down * planes:
+            raise ValueError(f"{min(len(places), len(sizes))} of {across * down * planes} parts")
+        image = np.zeros((height, width, channels), dtype=np.uint16 if bits == 16 else np.uint8)
         for k, (place, size) in enumerate(zip(places[: across * down * planes], sizes, strict=False)):
             plane, cell = divmod(k, across * down)
             y, x = cell // across * rows, cell % across * columns
             tall = rows if tiled else min(rows, height - y)
-            block = undo(DECODERS[compression](data[place : place + size]), tall, columns, 1 if planar else channels, predictor)
+            need = tall * -(-columns * here * bits // 8)
+            block = undo(DECODERS[compression](data[place : place + size], need), tall, columns, here, predictor, bits, order)
             into = image[y : y + tall, x : x + columns, plane : plane + 1] if planar else image[y : y + tall, x : x + columns]
             into[:] = block[: into.shape[0], : into.shape[1]]
-        yield {"width": width, "height": height, "channels": channels, "compression": compression, "predictor": predictor, "pixels": image.tobytes()}
+        pixels = image.astype("<u2").tobytes() if bits == 16 else image.tobytes()
+        yield {"width": width, "height": height, "channels": channels, "bits": bits, "compression": compression, "predictor": predictor, "pixels": pixels}
 
 
 def encode(pages: list[tuple[bytes, int, int]], compression: int = DEFLATE, predictor: int = 2, tile: tuple[int, int] | None = None, rows_per_strip: int = ROWS_PER_STRIP, order: str = "<") -> bytes:
@@ -235,9 +272,7 @@ def encode(pages: list[tuple[bytes, int, int]], compression: int = DEFLATE, pred
 
 def feature(page: dict) -> str:
     """What is computed from a page's samples: size, least, greatest and mean sample, and the share of left-right changes."""
-    samples = np.frombuffer(page["pixels"], dtype=np.uint8)
-    if not len(samples):
-        return f"{page['width']}x{page['height']} empty"
+    samples = np.frombuffer(page["pixels"], dtype="<u2" if page["bits"] == 16 else np.uint8)
     lines = samples.reshape(page["height"], -1)
     changes = int((lines[:, 1:] != lines[:, :-1]).sum())
     return f"{page['width']}x{page['height']} min={samples.min()} max={samples.max()} mean={int(samples.sum(dtype=np.int64)) * 1000 // len(samples)}m changes={changes}"
@@ -269,7 +304,7 @@ def pages(media="media"):
             try:
                 for page in decoded(data):
                     found.append(page)
-            except (KeyError, ValueError, struct.error, zlib.error, IndexError, OverflowError) as e:
+            except (KeyError, ValueError, TypeError, ArithmeticError, IndexError, MemoryError, struct.error, zlib.error) as e:
                 error = f"{type(e).__name__}: {e}"
             return [{"page": k, **p, "feature": feature(p)} for k, p in enumerate(found)], error
 
@@ -278,20 +313,23 @@ def pages(media="media"):
     return text_column(make, f"pages array<{PAGE}>, error string")(media)
 
 
-def page_rows(df: DataFrame, media: str = "media", errors: bool = False) -> DataFrame:
-    """One row for each page of each file: df's other columns, and p, a PAGE. With errors, a file without pages has a row too, whose
-    p is null, and error says in each row what of the file couldn't be read."""
-    explode, more = (F.explode_outer, [F.col(f"{media}.error").alias("error")]) if errors else (F.explode, [])
-    return df.withColumn(media, pages(df[media])).select(*(c for c in df.columns if c != media), *more, explode(F.col(f"{media}.pages")).alias("p"))
+def page_rows(df: DataFrame, media: str = "media") -> DataFrame:
+    """One row for each page of each file: df's other columns, p, a PAGE, and error, what of the file couldn't be read (p_ and error_
+    where df has such columns). A file without pages, a null one too, has a row whose p is null."""
+    others = [c for c in df.columns if c != media]
+    taken = {c.lower() for c in others}
+    p, error = (f"{n}_" if n in taken else n for n in ("p", "error"))
+    return df.withColumn(media, pages(df[media])).select(*others, F.col(f"{media}.error").alias(error), F.explode_outer(F.col(f"{media}.pages")).alias(p))
 
 
 def media_report(docs: DataFrame) -> DataFrame:
     """Texts as stored in images and read back: sizes and digests for every row of docs, which is one page each.
 
-    Null and empty texts give a payload of 64 zeros; equal texts give equal values; other columns are left out.
+    Null and empty texts give a payload of 64 zeros; equal texts and repeated rows give equal values; a very long text is one page,
+    held whole by one task; an empty table gives no rows; other columns are left out.
     """
     kept = docs.select("doc_id", stored_texts(docs["text"]).alias("m")).select("doc_id", "m.n_bytes", F.length("m.media").cast("long").alias("media_bytes"), F.sha2("m.media", 256).alias("media_sha256"), F.col("m.media").alias("media"))
-    read = page_rows(kept, errors=True)
+    read = page_rows(kept)
     payload = F.col("p.pixels")
     return read.select(
         "doc_id",
