@@ -7,8 +7,8 @@ sum holds the article. The least density on the path from the body to the denses
 the parent of the chosen node reaches it by its own direct children, the choice moves up.
 
 Elements that never hold article text (menus, headers, footers, sidebars, forms, scripts, notices, adverts, comments) are
-taken out first, by their tags and by the words of their class, id and role. Where a page marks its article (article, main), the
-choice is made inside it and then widened to it: density decides between several, and can't cut off a short title.
+taken out first, by their tags and by the words of their class, id and role. Where density's choice lies in what the page marks
+as its article (article, main), all of that is taken, so that a short title isn't cut off.
 """
 
 from __future__ import annotations
@@ -45,6 +45,8 @@ REMARKS = frozenset("comment comments disqus reply replies respond".split())
 MOST = 0.5
 #: The density, as a share of the chosen article's, from which its sibling articles are taken too.
 LIKE = 0.5
+#: The share of the chosen element's characters from which a marked article inside it is taken for the whole.
+MARKED = 0.2
 KEEP, MAYBE, REMARK, DROP = range(4)
 
 
@@ -74,11 +76,14 @@ class Page:
 
     def __init__(self, source: str):
         self.tags, self.parents, self.kept, self.texts, self.doubts = ["#root"], [-1], [True], [], [KEEP]
-        stack, at, n = [0], 0, len(source)
+        self.stack = [0]
+        self.open: dict[str, list[int]] = {"#block": []}  # depths in the stack at which a tag is open, so that no search walks it
+        within = [False]  # whether a node is in an article
+        at, n = 0, len(source)
         while at < n:
             m = TOKEN.search(source, at)
             if not m or m.start() > at:
-                self.texts.append((stack[-1], source[at : m.start() if m else n]))
+                self.texts.append((self.stack[-1], source[at : m.start() if m else n]))
             if not m:
                 break
             at = m.end()
@@ -86,28 +91,46 @@ class Page:
                 continue
             tag = m[2].lower()
             if tag in BLOCK:
-                self.texts.append((stack[-1], None))
+                self.texts.append((self.stack[-1], None))
             if m[1]:
-                self.close(stack, tag)
+                self.close(tag)
                 continue
             if tag in CLOSES_P:
-                self.pop(stack, ("p",), P_SCOPE)
+                self.pop(("p",), P_SCOPE)
             if tag in SIBLINGS:
-                self.pop(stack, SIBLINGS[tag], SCOPE - set(SIBLINGS[tag]))
-            up = stack[-1]
-            inside = self.kept[up] and any(self.tags[k] in ("article", "main") for k in stack)
+                self.pop(SIBLINGS[tag], SCOPE - set(SIBLINGS[tag]))
+            up = self.stack[-1]
             self.tags.append(tag)
             self.parents.append(up)
-            self.doubts.append(unwanted(tag, m[3], inside))
+            within.append(within[up] or tag in ("article", "main"))
+            self.doubts.append(unwanted(tag, m[3], self.kept[up] and within[up]))
             self.kept.append(self.kept[up] and self.doubts[-1] != DROP)
             if tag in RAW and not m[3].endswith("/"):
                 end = re.compile(rf"</{tag}[\s/>]", re.I).search(source, at)
                 at = end.start() if end else n
-                stack.append(len(self.tags) - 1)
+                self.push(tag)
             elif tag not in VOID:
-                stack.append(len(self.tags) - 1)
+                self.push(tag)
         self.settle()
 
+    def push(self, tag: str) -> None:
+        for name in (tag, "#block") if tag in BLOCK else (tag,):
+            self.open.setdefault(name, []).append(len(self.stack))
+        self.stack.append(len(self.tags) - 1)
+
+    def cut(self, depth: int) -> None:
+        """Closes what is open from this depth on."""
+        for k in self.stack[depth:]:
+            tag = self.tags[k]
+            self.open[tag].pop()
+            if tag in BLOCK:
+                self.open["#block"].pop()
+        del self.stack[depth:]
+
+    def innermost(self, tags) -> int:
+        """The depth of the innermost open element of these tags, 0 if there is none."""
+        return max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
+
     def settle(self) -> None:
         """Takes doubtful elements out, but for those that hold most of the page, or the article where there is none elsewhere."""
         n = len(self.tags)
@@ -131,25 +154,17 @@ class Page:
             out = self.doubts[k] and not holds[k] and (self.doubts[k] == REMARK or chars[k] <= MOST * chars[0])
             self.kept[k] = self.kept[k] and self.kept[self.parents[k]] and not out
 
-    def pop(self, stack: list[int], tags: tuple[str, ...], scope: frozenset) -> None:
+    def pop(self, tags: tuple[str, ...], scope: frozenset) -> None:
         """Closes the innermost open element of these tags, unless an element of the scope is open inside it."""
-        for k in range(len(stack) - 1, 0, -1):
-            tag = self.tags[stack[k]]
-            if tag in tags:
-                del stack[k:]
-                return
-            if tag in scope:
-                return
-
-    def close(self, stack: list[int], tag: str) -> None:
+        depth = self.innermost(tags)
+        if depth and depth >= self.innermost(scope):
+            self.cut(depth)
+
+    def close(self, tag: str) -> None:
         """An end tag: closes down to its element; one that is open nowhere, or lies beyond a block if it is inline, does nothing."""
-        for k in range(len(stack) - 1, 0, -1):
-            here = self.tags[stack[k]]
-            if here == tag:
-                del stack[k:]
-                return
-            if tag in INLINE_FORMAT and here in BLOCK:
-                return
+        depth = self.innermost((tag,))
+        if depth and (tag not in INLINE_FORMAT or depth > self.innermost(("#block",))):
+            self.cut(depth)
 
     def main_text(self) -> str:
         """The article's text: blocks in page order, white space as one space."""
@@ -168,7 +183,7 @@ class Page:
         for k in range(1, n):
             up = self.parents[k]
             in_link[k] = in_link[up] or self.tags[k] == "a"
-            scope[k] = scope[up] or self.tags[k] in ("article", "main") or not marked and self.tags[k] == "body"
+            scope[k] = scope[up] or self.tags[k] in ("article", "main")
         for k, t in self.texts:
             if t and self.kept[k]:
                 size = len(t) - t.count(" ") - t.count("\n")
@@ -191,7 +206,10 @@ class Page:
                 density[k] = max(0.0, c / t * (math.log(max(1.0, c / lc * t / lt)) / math.log(base) if base > 1 + 1e-9 else math.log(max(1.0, c / lc * t / lt) + 1)))
                 if self.parents[k] >= 0:
                     sums[self.parents[k]] += density[k]
-        among = [k for k in range(n) if self.kept[k] and (scope[k] or not marked and body == 0)]
+        in_body = [body == 0] * n
+        for k in range(1, n):
+            in_body[k] = in_body[k] or k == body or in_body[self.parents[k]]
+        among = [k for k in range(n) if self.kept[k] and in_body[k]]
         if not among:
             return {body}
         leaf = max(among, key=lambda k: (density[k], -k))
@@ -201,14 +219,25 @@ class Page:
             k = self.parents[k] if k != body else -1
         threshold = min(path)
         chosen = max(among, key=lambda k: (max(sums[k], density[k] if k == leaf else 0.0), -k))
-        if marked:
-            while self.tags[chosen] not in ("article", "main") or self.parents[chosen] >= 0 and scope[self.parents[chosen]]:
-                chosen = self.parents[chosen]
-            alike = (k for k in marked if self.tags[k] == self.tags[chosen] and self.parents[k] == self.parents[chosen])
-            return {chosen, *(k for k in alike if density[k] >= LIKE * density[chosen])}
         while chosen != body and self.parents[chosen] > 0 and density[self.parents[chosen]] >= threshold and chars[self.parents[chosen]] > chars[chosen] and self.parents[chosen] != body:
             chosen = self.parents[chosen]
-        return {chosen}
+        return self.widened(chosen, marked, scope, density, chars)
+
+    def widened(self, chosen: int, marked: list[int], scope: list[bool], density: list[float], chars: list[int]) -> set[int]:
+        """The choice of density, held against what the page marks as article: a choice in an article becomes all of it and of its
+        siblings of like density; one around articles becomes the largest of these if it holds a fair share of the choice; others stay."""
+        if not scope[chosen] or not marked:
+            inside = [False] * len(self.tags)
+            for k in range(chosen, len(self.tags)):
+                inside[k] = k == chosen or self.parents[k] >= chosen and inside[self.parents[k]]
+            largest = max((k for k in marked if inside[k]), key=lambda k: (chars[k], -k), default=None)
+            if largest is None or chars[largest] < MARKED * chars[chosen]:
+                return {chosen}
+            chosen = largest
+        while self.tags[chosen] not in ("article", "main") or self.parents[chosen] >= 0 and scope[self.parents[chosen]]:
+            chosen = self.parents[chosen]
+        alike = (k for k in marked if self.tags[k] == self.tags[chosen] and self.parents[k] == self.parents[chosen])
+        return {chosen, *(k for k in alike if density[k] >= LIKE * density[chosen])}
 
 
 def main_text(page="html"):
