@@ -198,7 +198,42 @@ def test_bad_files_say_why(spark):
     rows = {r["id"]: r["p"] for r in df.select("id", tiff.pages(df["media"]).alias("p")).collect()}
     assert [bytes(p["pixels"]) for p in rows[1]["pages"]] == [b"abcd", b"xy"] and rows[1]["error"] is None
     assert rows[2]["pages"] == [] and rows[2]["error"] and rows[3]["error"] and rows[4]["error"] is None
-    assert tiff.page_rows(df).count() == 2
+    assert tiff.page_rows(df).count() == 5
+
+
+def test_hostile_headers_say_why():
+    good = tiff.encode([(b"abcd" * 64, 16, 1)])
+    at = int.from_bytes(good[4:8], "little") + 2
+
+    def with_tag(tag, kind, value):
+        out = bytearray(good)
+        for k in range(int.from_bytes(good[at - 2 : at], "little")):
+            if int.from_bytes(out[at + 12 * k : at + 12 * k + 2], "little") == tag:
+                out[at + 12 * k + 2 : at + 12 * k + 12] = kind.to_bytes(2, "little") + (1).to_bytes(4, "little") + value.to_bytes(4, "little")
+        return bytes(out)
+
+    assert tiff.decode(with_tag(tiff.HEIGHT, 4, 16))[0]["pixels"] == b"abcd" * 64
+    for tag, kind, value in ((tiff.WIDTH, 4, 0), (tiff.HEIGHT, 4, 0), (tiff.HEIGHT, 4, 4_000_000_000), (tiff.WIDTH, 4, 200_000), (tiff.WIDTH, 2, 65), (tiff.BITS, 3, 7), (tiff.SAMPLES, 3, 0), (tiff.COMPRESSION, 3, 99), (tiff.STRIP_ROWS, 4, 0), (tiff.STRIP_ROWS, 4, 1)):
+        with pytest.raises((ValueError, KeyError)):
+            tiff.decode(with_tag(tag, kind, value))
+    bomb = tiff.encode([(bytes(1 << 20), 1024, 1)], rows_per_strip=1 << 20)
+    assert tiff.decode(bomb)[0]["pixels"] == bytes(1 << 20)
+
+
+@pytest.mark.parametrize("bits", [1, 2, 4, 16])
+def test_other_depths(bits):
+    rng = np.random.default_rng(bits)
+    samples = rng.integers(0, 1 << bits, (5, 7), dtype=np.uint16)
+    if bits == 16:
+        rows = samples.astype(">u2").tobytes()
+    else:
+        rows = b"".join(np.packbits(((row[:, None] >> np.arange(bits - 1, -1, -1)) & 1).astype(np.uint8)).tobytes() for row in samples)
+    head = b"MM" + (42).to_bytes(2, "big") + (8 + len(rows)).to_bytes(4, "big") + rows
+    entries = [(256, 7), (257, 5), (258, bits), (259, 1), (273, 8), (277, 1), (278, 5), (279, len(rows))]
+    data = head + len(entries).to_bytes(2, "big") + b"".join(t.to_bytes(2, "big") + (4).to_bytes(2, "big") + (1).to_bytes(4, "big") + v.to_bytes(4, "big") for t, v in entries) + bytes(4)
+    page = tiff.decode(data)[0]
+    assert page["bits"] == bits and np.array_equal(np.frombuffer(page["pixels"], "<u2" if bits == 16 else np.uint8).reshape(5, 7), samples)
+    assert "7x5" in tiff.feature(page)
 
 
 def test_files_that_cant_be_read_keep_a_row(spark):
@@ -207,7 +242,7 @@ def test_files_that_cant_be_read_keep_a_row(spark):
     bad = bytearray(good)
     bad[second : second + 2] = b"\0\0"
     df = spark.createDataFrame([(1, bytearray(good)), (2, bad), (3, bytearray(b"no image")), (4, None)], "id int, media binary")
-    rows = sorted((r["id"], bytes(r["p"]["pixels"])[:4] if r["p"] else None, bool(r["error"])) for r in tiff.page_rows(df, errors=True).collect())
+    rows = sorted((r["id"], bytes(r["p"]["pixels"])[:4] if r["p"] else None, bool(r["error"])) for r in tiff.page_rows(df).collect())
     assert rows == [(1, b"abcd", False), (1, b"xyxy", False), (2, b"abcd", True), (3, None, True), (4, None, False)]
 
 
@@ -590,6 +625,63 @@ def test_html(spark):
     assert got["no article"][0].startswith("Head Long text") and got["no article"][0].endswith("More of it.") and "side" not in got["no article"][0]
 
 
+def test_density_chooses_where_marks_are_elsewhere():
+    text = "Body text stands here for all to read. " * 12
+    teaser = "<article><a href=x>See this</a></article>"
+    page = f"<body><div><div>{teaser}{teaser}</div></div><div class=story><p>{text}</p><p>{text}</p></div></body>"
+    assert html.Page(page).main_text() == (text * 2).strip()
+
+
+def test_densities_equal_a_plain_tree(monkeypatch):
+    """The node that is chosen on random trees against sums that are taken anew for every node."""
+    import math
+
+    rng = random.Random(23)
+    for _ in range(40):
+        parents, tags, texts = [-1, 0], ["#root", "body"], []
+        for k in range(2, 30):
+            parents.append(rng.randrange(1, k))
+            tags.append(rng.choice(["div", "p", "a", "section"]))
+        for _ in range(40):
+            texts.append((rng.randrange(1, 30), "x" * rng.randrange(1, 60)))
+        page = html.Page("")
+        page.tags, page.parents, page.texts, page.kept = tags, parents, texts, [True] * 30
+        below = {k: {j for j in range(30) if k in ancestors(parents, j)} for k in range(30)}
+        linked = {j for j in range(30) if any(tags[i] == "a" for i in ancestors(parents, j))}
+        size = lambda nodes: sum(len(t) for k, t in texts if k in nodes)
+        share, density = size(below[1] & linked) / max(1, size(below[1])), {}
+        for k in range(30):
+            c, lc = size(below[k]), size(below[k] & linked)
+            t, lt = max(1, len(below[k]) - 1), max(1, sum(tags[j] == "a" for j in below[k] - {k}))
+            base = math.log(c / max(1, c - lc) * lc + share * c + math.e) if c else 0
+            ratio = max(1.0, c / max(1, lc) * t / lt)
+            density[k] = max(0.0, c / t * (math.log(ratio) / math.log(base) if base > 1 + 1e-9 else math.log(ratio + 1))) if c else 0.0
+        sums = {k: sum(density[j] for j in range(30) if parents[j] == k) for k in range(30)}
+        leaf = max(range(1, 30), key=lambda k: (density[k], -k))
+        best = max(range(1, 30), key=lambda k: (max(sums[k], density[k] if k == leaf else 0.0), -k))
+        threshold = min(density[k] for k in ancestors(parents, leaf) if k)
+        while best != 1 and parents[best] != 1 and density[parents[best]] >= threshold and size(below[parents[best]]) > size(below[best]):
+            best = parents[best]
+        assert page.choose() == {best}
+
+
+def ancestors(parents, k):
+    out = set()
+    while k >= 0:
+        out.add(k)
+        k = parents[k]
+    return out
+
+
+def test_deep_pages_are_read_in_time():
+    import time
+
+    began = time.process_time()
+    assert html.Page("<div>" * 100_000 + "text").main_text() == "text"
+    html.Page("<p><b><i>" * 20_000 + "<li>x" * 20_000).main_text()
+    assert time.process_time() - began < 20
+
+
 def test_wrappers_of_the_article_stay():
     text = "Body text stands here for all to read. " * 4
     article, side = f"<article><p>{text}</p></article>", "<div class='sidebar'>side words</div>"
