@@ -208,10 +208,10 @@ def alike(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> D
     return both.where((shared >= similarity * (F.size("of_a") + F.size("of_b") - shared)) | ((F.size("of_a") == 0) & (F.size("of_b") == 0))).select("a", "b")
 
 
-def divided(rest: DataFrame, links: DataFrame) -> DataFrame:
-    """Rows of rest (band, node, ...) in bands that hold more than one class of linked nodes, with root, the class, and most, the
-    band's largest class."""
-    here = rest.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+def divided(rest: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows of rest (band, node, ...) in bands that hold more than one class of linked nodes (node, root), with root, the class,
+    and most, the band's largest class."""
+    here = rest.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     classes = here.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
     largest = classes.groupBy("band").agg(F.max(F.struct("n", "root"))["root"].alias("most"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "most")
     return stored(here.join(largest, "band"))
@@ -236,9 +236,18 @@ def widest_distance(similarity: float) -> int:
     return math.ceil(n * p + DEVIATIONS * math.sqrt(n * p * (1 - p)))
 
 
-def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """Links (a, b) between the nodes (hashes) of different texts whose shingle sets are that similar by Jaccard; enough of them
-    to join all that share a band, are near by their bits and are that similar.
+def joined_classes(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, root) after more links (a, b): only the classes that these touch are looked at again."""
+    end = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    between = links.join(end("a"), "a", "left").join(end("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    tops = cut(components(between)).withColumnRenamed("root", "top")
+    known = roots.join(tops.withColumnRenamed("node", "root"), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return known.unionByName(tops.join(roots, "node", "left_anti").select("node", F.col("top").alias("root")))
+
+
+def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(node, root) for the nodes (hashes) of texts that are linked: their shingle sets are that similar by Jaccard, they share a
+    band and are near by their bits. root names the class of all that are linked, through others too.
 
     docs has node and text. First, in each band's group, ordered by node, a text is compared with the first, or, where that one
     only met it by chance, with the one before it: as the order is the same everywhere, large groups share few first texts, and
@@ -256,15 +265,15 @@ def similar_links(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> D
     near = near.select("band", "k", "a.node", F.col("b.node").alias("other"), ((F.col("a.node") != F.col("b.node")) & (F.bit_count(F.expr("a.bits ^ b.bits")) <= CANDIDATE_DISTANCE)).alias("met"))
     near = stored(near.where("met or k = 3"))
     pairs = cut(near.where("met").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
-    links = cut(alike(docs, pairs, words, similarity))
+    roots = cut(components(alike(docs, pairs, words, similarity)))
     full = cut(near.where("k = 3").select("band"))
     if full.isEmpty():
-        return links
+        return roots
     full = F.broadcast(full) if full.count() <= BROADCAST_ROWS else full
     rest = marks.select("node", "wide", "size", F.explode("bands").alias("band")).join(full, "band", "left_semi")
-    rest = divided(rest, links)
+    rest = divided(rest, roots)
     more = cut(across(rest, similarity).join(pairs, ["a", "b"], "left_anti"))
-    return links.unionByName(alike(docs, more, words, similarity))
+    return joined_classes(roots, alike(docs, more, words, similarity))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -279,7 +288,7 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     texts = rows.select(F.col(node).alias("node"), "text")
     counted = cut(rows.groupBy(on).agg(F.count(F.lit(1)).alias("n")))
     nodes = counted.groupBy(F.col(node).alias("node")).agg(F.min(key).alias("least"))
-    roots = components(similar_links(texts, words, similarity))
+    roots = similar_classes(texts, words, similarity)
     classes = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     keep = classes.groupBy("root").agg(F.min(F.struct("least", "node")).alias("k")).select(F.col("k.node").alias(node), F.col("k.least").alias(key))
     keep = cut(counted.join(keep, on, "left_semi"))
