@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -113,3 +115,10 @@ def question_title(html) -> Column:
     """First line of the first h3, p or span that has text."""
     found = [F.nullif(strip_ws(F.split(F.regexp_replace(F.regexp_extract(col(html), rf"(?is)<{tag}[^>]*>(.*?)</{tag}>", 1), r"<[^>]*>", ""), "\n")[0]), F.lit("")) for tag in ("h3", "p", "span")]
     return F.coalesce(*found)
+
+
+def names_year(*columns, years: tuple[str, ...]) -> Column:
+    """Whether one of the years stands in any of a link's columns (address, file name, text), not as part of a longer number."""
+    pattern = "(^|[^0-9])(" + "|".join(years) + ")([^0-9]|$)"
+    found = [F.coalesce((F.col(c) if isinstance(c, str) else c).rlike(pattern), F.lit(False)) for c in columns]
+    return reduce(lambda a, b: a | b, found)

@@ -84,10 +84,23 @@ def batch_summary(files: DataFrame) -> DataFrame:
 
 def best_worst(files: DataFrame, measure: str, key: str) -> DataFrame:
     """The first row with the greatest and with the least measure, by key where they tie."""
-    value = F.col(measure)
-    best = F.max(F.struct(value.alias("v"), (-F.col(key)).alias("k")))
-    worst = F.min(F.struct(value.alias("v"), F.col(key).alias("k")))
-    return files.agg((-best["k"]).alias("best"), best["v"].alias("most"), worst["k"].alias("worst"), worst["v"].alias("least"))
+    best = F.min(F.struct((-F.col(measure)).alias("v"), F.col(key).alias("k")))
+    worst = F.min(F.struct(F.col(measure).alias("v"), F.col(key).alias("k")))
+    return files.agg(best["k"].alias("best"), (-best["v"]).alias("most"), worst["k"].alias("worst"), worst["v"].alias("least"))
+
+
+def summary_lines(summary: DataFrame) -> DataFrame:
+    """(n, line): batch_summary as the lines of a Markdown report."""
+    said = [("Files", "files"), ("Speakers", "speakers"), ("Questions", "questions"), ("Average speakers", "mean_speakers"), ("Average questions", "mean_questions"), ("With questions", "with_questions")]
+    lines = [F.lit("# Processing summary"), F.lit(""), *(F.concat(F.lit(f"- {label}: "), F.coalesce(F.col(c).cast("string"), F.lit("0"))) for label, c in said)]
+    return summary.select(F.posexplode(F.array(*lines)).alias("n", "line"))
+
+
+def output_keys(parts: DataFrame, sitting: str, part: str, is_question) -> DataFrame:
+    """parts with output_key: partN, or for a question partN_oral_question_M, M running within the sitting."""
+    number = F.sum(is_question.cast("long")).over(Window.partitionBy(sitting).orderBy(part))  # parts of one number count together
+    name = F.concat(F.lit("part"), F.col(part).cast("string"))
+    return parts.withColumn("output_key", F.when(is_question, F.concat(name, F.lit("_oral_question_"), number.cast("string"))).otherwise(name))
 
 
 def status_tally(rows: DataFrame, status: str) -> DataFrame:

@@ -67,18 +67,28 @@ def save_state(state: DataFrame, folder: str) -> None:
     state.write.parquet(f"{folder.rstrip('/')}/v{time.time_ns():020d}")
 
 
-def ingest(spark: SparkSession, folder: str, table: str, state: str, when: str, html_sources: tuple[str, ...] = ()) -> dict[str, int]:
-    """One incremental run: new and changed files are parsed and added, the others skipped. Returns how many of each."""
+def ingest(spark: SparkSession, folder: str, table: str, state: str, when: str, html_sources: tuple[str, ...] = (), pages: DataFrame | None = None) -> dict[str, int]:
+    """One incremental run over the folder's pages, or over those given: new and changed files are parsed and added, the others skipped.
+
+    Returns how many are new, added (processed), without their metadata (failed), skipped, and all (total). A document's key comes
+    from path and content, and keys that the table has are left out, so a run that is repeated after a failure between
+    its two writes adds nothing twice.
+    """
     known = load_state(spark, state)
-    pages = hashed(files.pages(spark, folder))
-    fresh = new_or_changed(pages, known).select(*files.pages(spark, folder).columns)
-    rows = documents(fresh, files.metadata(spark, folder), files.contents(spark, folder), html_sources)
-    rows = rows.withColumn("created_at", F.lit(when).cast("timestamp"))
-    tally = {r["is_new"]: r["n"] for r in counts(pages.select("file_path", "file_hash"), known).collect()}  # two rows at most
-    if tally.get(True):
+    own = files.pages(spark, folder) if pages is None else pages
+    now = hashed(own)
+    fresh = new_or_changed(now, known).select(*own.columns)
+    meta = files.metadata(spark, folder)
+    tally = {r["is_new"]: r["n"] for r in counts(now.select("file_path", "file_hash"), known).collect()}  # two rows at most
+    new, skipped = tally.get(True, 0), tally.get(False, 0)
+    failed = fresh.join(meta, "stem", "left_anti").count() if new else 0
+    if new:
+        rows = documents(fresh, meta, files.contents(spark, folder), html_sources).withColumn("created_at", F.lit(when).cast("timestamp"))
+        if files.exists(spark, table):
+            rows = rows.join(spark.read.parquet(table).select("doc_key"), "doc_key", "left_anti").select(rows.columns)
         files.append_documents(rows, table)
         save_state(upserted(known, hashed(fresh).select("file_path", "file_hash", F.lit(when).cast("timestamp").alias("indexed_at"))), state)
-    return {"processed": tally.get(True, 0), "skipped": tally.get(False, 0)}
+    return {"new": new, "processed": new - failed, "failed": failed, "skipped": skipped, "total": new + skipped}
 
 
 def newest(docs: DataFrame) -> DataFrame:

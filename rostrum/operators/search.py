@@ -1,10 +1,12 @@
 """Search: a request's filters, ranking, highlights, facets and page, over a table of documents.
 
-Predicates on fields go to the scan; texts never pass a shuffle but for the rows of the page.
+Predicates on fields go to the scan; texts never pass a shuffle but for the rows of the page. With an index (postings and lengths, as
+written by files.rebuild_index) no text but those of the page is read to find or rank by terms.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from datetime import date
 from functools import reduce
@@ -27,6 +29,8 @@ class SearchRequest:
 
     terms: tuple[str, ...] = ()
     mode: str = "and"  # or: any term
+    phrase: str = ""
+    prefix: str = ""
     source: str | None = None
     document_type: str | None = None
     speaker: str | None = None
@@ -53,22 +57,37 @@ def all_of(predicates: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, predicates, F.lit(True))
 
 
+def words_of(texts) -> tuple[str, ...]:
+    """What a user typed as the tokens that texts are cut into: letters and digits, in lower case."""
+    return tuple(w for t in texts for w in re.findall(r"[^\W_]+", t.lower()))
+
+
+def terms_of(r: SearchRequest) -> tuple[str, ...]:
+    """The request's different terms."""
+    return tuple(dict.fromkeys(words_of(r.terms)))
+
+
 def has_terms(content, terms: tuple[str, ...], mode: str = "and") -> Column:
-    """Documents with all (or any) of these terms; of no terms, documents with content."""
+    """Documents with all (or any) of these terms, however written; of no terms, documents with content."""
+    terms = sorted(set(words_of(terms)))
     if not terms:
         return F.col(content).isNotNull()
-    wanted = F.array(*(F.lit(t.lower()) for t in terms))
+    wanted = F.array(*map(F.lit, terms))
     found = F.array_distinct(tokens(content))
-    return F.arrays_overlap(found, wanted) if mode == "or" else F.size(F.array_intersect(found, wanted)) == len(set(terms))
+    return F.arrays_overlap(found, wanted) if mode == "or" else F.size(F.array_intersect(found, wanted)) == len(terms)
 
 
 def has_phrase(content, words: tuple[str, ...]) -> Column:
-    """Consecutive tokens, told by the text of all tokens with a separator on both sides of each."""
+    """Consecutive tokens, told by the text of all tokens with a separator on both sides of each; of no words, as has_terms."""
+    words = words_of(words)
+    if not words:
+        return F.col(content).isNotNull()
     return F.concat(F.lit(" "), F.array_join(tokens(content), " "), F.lit(" ")).contains(f" {' '.join(words)} ")
 
 
 def has_prefix(content, prefix: str) -> Column:
-    return F.exists(tokens(content), lambda t: t.startswith(prefix))
+    """Documents with a token that begins so; of an empty prefix, those with any token."""
+    return F.exists(tokens(content), lambda t: t.startswith(prefix.lower()))
 
 
 def filters(r: SearchRequest) -> list[Column]:
@@ -92,13 +111,39 @@ def filters(r: SearchRequest) -> list[Column]:
     return out
 
 
-def matched(docs: DataFrame, r: SearchRequest) -> DataFrame:
-    return docs.where(all_of(filters(r))).where(has_terms("content", r.terms, r.mode))
+@dataclass(frozen=True)
+class Index:
+    """postings (term, doc_id, tf) and stats (doc_id, length) of a table of documents."""
+
+    postings: DataFrame
+    stats: DataFrame
+
+
+def term_lookup(index_rows: DataFrame, terms: tuple[str, ...], mode: str = "and", key: str = "doc_id") -> DataFrame:
+    """(key) of documents with all (or any) of the terms, from postings alone."""
+    terms = sorted(set(words_of(terms)))
+    found = index_rows.where(F.col("term").isin(terms))
+    if mode == "or" or len(terms) < 2:
+        return found.select(key).distinct()
+    return found.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(terms)).select(key)
+
+
+def matched(docs: DataFrame, r: SearchRequest, index: Index | None = None) -> DataFrame:
+    out, terms = docs.where(all_of(filters(r))), terms_of(r)
+    if index and terms:
+        out = out.join(term_lookup(index.postings, terms, r.mode), "doc_id", "left_semi")
+    else:
+        out = out.where(has_terms("content", terms, r.mode))
+    out = out.where(has_phrase("content", (r.phrase,))) if r.phrase else out
+    return out.where(has_prefix("content", r.prefix)) if r.prefix else out
 
 
 def highlights(content, terms: tuple[str, ...], size: int = FRAGMENT, most: int = FRAGMENTS) -> Column:
-    """The first windows of a text that hold a term, terms marked: windows of fixed size, so a long text is one pass."""
-    pattern = r"(?i)\b(" + "|".join(terms) + r")\b"
+    """The first windows of a text that hold a term, terms marked: windows of fixed size, so a long text is one pass. None of no terms."""
+    terms = words_of(terms)
+    if not terms:
+        return F.array().cast("array<string>")
+    pattern = r"(?i)\b(" + "|".join(terms) + r")\b"  # letters and digits alone, so nothing to escape
     starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length(content) / size).cast("int") - 1))
     windows = F.transform(starts, lambda k: F.substring(content, k * size + 1, F.lit(size)))
     return F.transform(F.slice(F.filter(windows, lambda w: w.rlike(pattern)), 1, most), lambda w: F.regexp_replace(w, pattern, "<em>$1</em>"))
@@ -134,12 +179,15 @@ def bm25(docs: DataFrame, terms: tuple[str, ...], key: str = "doc_id", content:
 
     Term counts are taken where each text lies; what is shuffled is one row of sums. Statistics cover all documents.
     """
+    terms = tuple(dict.fromkeys(words_of(terms)))
+    if not terms:
+        raise ValueError("ranking needs a term")
     found = tokens(content)
 
     def times(word: str) -> Column:
         return F.size(F.filter(found, lambda t: t == F.lit(word))).cast("double")
 
-    counted = docs.select(key, F.size(found).cast("double").alias("length"), *(times(w.lower()).alias(f"tf{k}") for k, w in enumerate(terms)))
+    counted = docs.select(key, F.size(found).cast("double").alias("length"), *(times(w).alias(f"tf{k}") for k, w in enumerate(terms)))
     totals = counted.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{k}") > 0).cast("double").alias(f"df{k}") for k in range(len(terms))))
     score = F.lit(0.0)
     for k in range(len(terms)):
@@ -150,6 +198,20 @@ def bm25(docs: DataFrame, terms: tuple[str, ...], key: str = "doc_id", content:
     return counted.where(any_term).join(F.broadcast(totals)).select(key, F.round(score, 6).alias("score"))
 
 
+def bm25_by_index(index: Index, terms: tuple[str, ...], key: str = "doc_id", k1: float = K1, b: float = B) -> DataFrame:
+    """bm25 from postings and lengths: what is read of the postings is the terms' own rows."""
+    terms = tuple(dict.fromkeys(words_of(terms)))
+    if not terms:
+        raise ValueError("ranking needs a term")
+    totals = index.stats.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("length").alias("mean"))
+    found = index.postings.where(F.col("term").isin(*terms))
+    df = found.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))  # a row for each term
+    rows = found.join(F.broadcast(df), "term").join(index.stats, key).join(F.broadcast(totals))
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
+    return rows.groupBy(key).agg(F.round(F.sum(part), 6).alias("score"))
+
+
 def field_facets(docs: DataFrame, fields: tuple[str, ...] = FACETS, most: int = 100) -> DataFrame:
     """(field, value, n): the commonest values of several fields in one pass, ties by value."""
     pairs = docs.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))).alias("p")).select("p.*").where("value is not null")
@@ -175,26 +237,53 @@ def month_facets(dates: DataFrame, day: str, first: date, last: date) -> DataFra
 
 @dataclass(frozen=True)
 class SearchResult:
-    """page, facets and total of a search, each a query of its own over the same matched documents."""
+    """page, facets and total of a search; counted has the last two in one pass, the total as the empty field."""
 
     page: DataFrame
-    facets: DataFrame
-    total: DataFrame
+    counted: DataFrame
+
+    @property
+    def facets(self) -> DataFrame:
+        return self.counted.where("field <> ''")
+
+    @property
+    def total(self) -> DataFrame:
+        return self.counted.where("field = ''").select("n")
+
+
+def counted(hits: DataFrame, fields: tuple[str, ...] = FACETS, most: int = 100) -> DataFrame:
+    """field_facets of the hits, and their number as a row without field and value, 0 where there are none."""
+    none = F.lit(None).cast("string")
+    marks = F.array(F.struct(F.lit("").alias("field"), none.alias("value")), *(F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("value")) for f in fields))
+    pairs = hits.select(F.explode(marks).alias("p")).select("p.*").where("value is not null or field = ''").withColumn("one", F.lit(1).cast("long"))
+    zero = hits.sparkSession.range(1).select(F.lit("").alias("field"), none.alias("value"), F.lit(0).cast("long").alias("one"))
+    counts = pairs.unionByName(zero).groupBy("field", "value").agg(F.sum("one").alias("n"))
+    rank = F.row_number().over(Window.partitionBy("field").orderBy(F.desc("n"), "value"))
+    return counts.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
 
 
-def search(docs: DataFrame, r: SearchRequest) -> SearchResult:
-    hits = matched(docs, r)
-    shown = page(hits, r.offset, r.rows)
-    marked = F.array_join(highlights(F.col("content"), r.terms), " … ") if r.terms else F.lit("")
+def search(docs: DataFrame, r: SearchRequest, index: Index | None = None) -> SearchResult:
+    """A page of the documents that meet the request, newest first, or best first where it asks for relevance and has terms; and
+    facets and total of them all."""
+    hits, terms = matched(docs, r, index), terms_of(r)
+    if r.sort == "relevance" and terms:
+        scores = bm25_by_index(index, terms) if index else bm25(docs, terms, content="content")
+        best = hits.select("doc_id").join(scores, "doc_id").orderBy(F.desc("score"), "doc_id").offset(r.offset).limit(r.rows)
+        shown = docs.join(F.broadcast(best), "doc_id")  # a page of ids
+    elif r.sort in ("date", "relevance"):
+        shown = page(hits, r.offset, r.rows)
+    else:
+        raise ValueError(f"no sort by {r.sort}")
+    marked = F.array_join(highlights(F.col("content"), terms), " … ") if terms else F.lit("")
     columns = ["doc_id", "title", "sitting_date", "source", "speaker", "speaker2", "document_type"]
-    return SearchResult(shown.select(*columns, marked.alias("highlight")), field_facets(hits.select(*r.facets), r.facets), hits.agg(F.count(F.lit(1)).alias("n")))
+    return SearchResult(shown.select(*columns, marked.alias("highlight")), counted(hits.select(*r.facets), r.facets))
 
 
-def search_rows(docs: DataFrame, r: SearchRequest) -> DataFrame:
+def search_rows(docs: DataFrame, r: SearchRequest, index: Index | None = None) -> DataFrame:
     """A search's page, facets and total as one table: part, name, value, n, text."""
-    s = search(docs, r)
+    s = search(docs, r, index)
     none = F.lit(None).cast("string")
     rows = s.page.select(F.lit("page").alias("part"), F.col("doc_id").cast("string").alias("name"), "title", F.lit(None).cast("long").alias("n"), F.col("highlight").alias("text"))
-    facets = s.facets.select(F.lit("facet").alias("part"), F.col("field").alias("name"), F.col("value").alias("title"), "n", none.alias("text"))
-    total = s.total.select(F.lit("total").alias("part"), none.alias("name"), none.alias("title"), "n", none.alias("text"))
-    return rows.unionByName(facets).unionByName(total)
+    part = F.when(F.col("field") == "", "total").otherwise("facet").alias("part")
+    counts = s.counted.select(part, F.nullif("field", F.lit("")).alias("name"), F.col("value").alias("title"), "n", none.alias("text"))
+    return rows.unionByName(counts)

@@ -78,10 +78,10 @@ def speech_blocks(lines: DataFrame, doc: str, line: str = "line") -> DataFrame:
     return out.where("speaker is not null and n_lines > 0")
 
 
-def question_boundaries(lines: DataFrame, doc: str, line: str = "line", ahead: int = 4) -> DataFrame:
+def question_boundaries(lines: DataFrame, doc: str, line: str = "line", ahead: int = 4, asking: str = P.ASKING) -> DataFrame:
     """(doc, question_no, first_pos, n_lines): a speaker in whose next lines someone asks opens a question."""
     near = Window.partitionBy(doc).orderBy("pos").rowsBetween(0, ahead)
-    opens = strip_ws(line).rlike(P.QUESTION_SPEAKER) & F.array_join(F.collect_list(line).over(near), " ").rlike(P.ASKING)
+    opens = strip_ws(line).rlike(P.QUESTION_SPEAKER) & F.array_join(F.collect_list(line).over(near), " ").rlike(asking)
     numbered = lines.withColumn("opens", opens).withColumn("question_no", running(F.col("opens"), upto(doc)))
     return numbered.where("question_no > 0").groupBy(doc, "question_no").agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n_lines"))
 

@@ -178,7 +178,7 @@ def cohort_averages(spark, sf_dir):
 
 @query(f"SELECT o_orderkey, CAST(questions AS VARCHAR) || '/' || CAST(speakers AS VARCHAR) || ' (' || CAST(coalesce(CASE WHEN speakers > 0 THEN round(100.0::DOUBLE * questions / speakers, 1) END, 0.0::DOUBLE) AS VARCHAR) || '%)' AS coverage FROM ({FILES_SQL}) f")
 def coverage_ratio(spark, sf_dir):
-    return sitting_files(spark, sf_dir).select("o_orderkey", C.coverage(F.col("questions"), F.col("speakers")).alias("coverage"))
+    return sitting_files(spark, sf_dir).select("o_orderkey", C.coverage(F.col("questions"), F.col("speakers")).alias("coverage")).orderBy("o_orderkey")
 
 
 @query(f"SELECT arg_min(o_orderkey, (-questions, o_orderkey)) AS best, max(questions) AS most, arg_min(o_orderkey, (questions, o_orderkey)) AS worst, min(questions) AS least FROM ({FILES_SQL}) f")
@@ -205,6 +205,18 @@ def sitting_report(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").cast("long").alias("parts"), F.count_if(F.col("l_returnflag") == "R").alias("questions"))
 
 
+@query("SELECT l_orderkey, l_linenumber, 'part' || l_linenumber || CASE WHEN l_returnflag = 'R' THEN '_oral_question_' || CAST(sum(CAST(l_returnflag = 'R' AS INT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS BIGINT) ELSE '' END AS output_key FROM lineitem")
+def output_keys(spark, sf_dir):
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag")
+    return C.output_keys(rows, "l_orderkey", "l_linenumber", F.col("l_returnflag") == "R").drop("l_returnflag")
+
+
+@query(f"""SELECT CAST(i - 1 AS INT) AS n, l[i] AS line FROM (SELECT ['# Processing summary', '', '- Files: ' || count(*), '- Speakers: ' || CAST(sum(speakers) AS BIGINT), '- Questions: ' || CAST(sum(questions) AS BIGINT),
+    '- Average speakers: ' || round(avg(speakers), 1), '- Average questions: ' || round(avg(questions), 1), '- With questions: ' || count(*) FILTER (questions > 0)] AS l FROM ({FILES_SQL}) f) x, (SELECT unnest(range(1, 9)) AS i) y""")
+def summary_report(spark, sf_dir):
+    return C.summary_lines(C.batch_summary(sitting_files(spark, sf_dir)))
+
+
 # Exports
 
 LONG_DATE = "coalesce(strftime(sitting_date, '%A, %B %-d, %Y'), 'Unknown date')"
@@ -269,7 +281,7 @@ def monthly_exports(spark, sf_dir):
     return usage.monthly(table(spark, sf_dir, "events"), "purchase")
 
 
-@query()
+@query("SELECT event_id, user_id, ts, event_type FROM events")
 def stream_ingest(spark, sf_dir):
     """Events through a file stream into a table: what comes out is what went in."""
     sink, checkpoint = streams.scratch(spark, "events"), streams.scratch(spark, "stream")

@@ -30,9 +30,9 @@ def found(spark, sf_dir, **request):
     return S.matched(docs_v(spark, sf_dir), S.SearchRequest(now=NOW, **request)).select(*ROWS)
 
 
-@query(D(f"SELECT {COLS} FROM docs_v WHERE doc_key = '42'"))
+@query(D(f"SELECT {COLS}, strftime(sitting_date, '%Y-%m-%d') AS iso_date FROM docs_v WHERE doc_key = '42'"))
 def lookup_by_id(spark, sf_dir):
-    return docs_v(spark, sf_dir).where(F.col("doc_key") == "42").select(*ROWS)
+    return docs_v(spark, sf_dir).where(F.col("doc_key") == "42").select(*ROWS, F.date_format("sitting_date", "yyyy-MM-dd").alias("iso_date"))
 
 
 @query(D(f"SELECT {COLS} FROM docs_v WHERE source = 'src3' AND document_type = 'Oral Question'"))
@@ -142,6 +142,12 @@ def search_or(spark, sf_dir):
     return text_hits(spark, sf_dir, S.has_terms("text", TERMS, "or"))
 
 
+@query(text_check("list_contains(t, 'that') AND list_contains(t, 'with')"))
+def term_lookup(spark, sf_dir):
+    """Terms as a user may type them, joined to postings."""
+    return S.term_lookup(S.postings(table(spark, sf_dir, "documents")), ("That,", "WITH", "that"))
+
+
 @query("SELECT doc_id FROM documents WHERE text IS NOT NULL")
 def search_all(spark, sf_dir):
     return text_hits(spark, sf_dir, S.has_terms("text", ()))
@@ -149,12 +155,12 @@ def search_all(spark, sf_dir):
 
 @query(text_check("contains(' ' || array_to_string(t, ' ') || ' ', ' of the ')"))
 def search_phrase(spark, sf_dir):
-    return text_hits(spark, sf_dir, S.has_phrase("text", ("of", "the")))
+    return text_hits(spark, sf_dir, S.has_phrase("text", ("Of", "the")))
 
 
 @query(text_check("len(list_filter(t, lambda w: starts_with(w, 'nicht'))) > 0"))
 def search_prefix(spark, sf_dir):
-    return text_hits(spark, sf_dir, S.has_prefix("text", "nicht"))
+    return text_hits(spark, sf_dir, S.has_prefix("text", "Nicht"))
 
 
 @query(
@@ -168,6 +174,20 @@ def search_bm25(spark, sf_dir):
     return S.bm25(table(spark, sf_dir, "documents"), TERMS)
 
 
+SCORE = """round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))), 6)"""
+RANKED = f"""WITH t AS (SELECT doc_id, {TOKENS.format('content')} AS w FROM docs_v), s AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(w)) AS mean FROM t),
+    p AS (SELECT doc_id, term, CAST(len(list_filter(w, lambda x: x = term)) AS DOUBLE) AS tf, CAST(len(w) AS DOUBLE) AS length FROM t, (SELECT unnest(['that', 'with']) AS term) x),
+    d AS (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM p WHERE tf > 0 GROUP BY term), r AS (SELECT doc_id, {SCORE} AS score, count(*) AS k FROM p JOIN d USING (term), s WHERE tf > 0 GROUP BY doc_id)"""
+
+
+@query(D("SELECT 1")[: -len("SELECT 1")].rstrip() + ", " + RANKED.removeprefix("WITH ") + f" SELECT doc_id, title, sitting_date, source, speaker, speaker2, document_type FROM docs_v JOIN r USING (doc_id) WHERE k = 2 AND document_type = 'Oral Question' ORDER BY score DESC, doc_id LIMIT 20")
+def search_relevance(spark, sf_dir):
+    """The page of a search by relevance over an index of the same table."""
+    docs = docs_v(spark, sf_dir)
+    index = S.Index(S.postings(docs, content="content"), S.doc_stats(docs, content="content"))
+    return S.search(docs, S.SearchRequest(terms=("With", "that!"), document_type="Oral Question", sort="relevance"), index).page.drop("highlight")
+
+
 HIGHLIGHT = r"""array_to_string(list_transform(list_filter(list_transform(range(0, greatest(1, CAST(ceil(length({0}) / 250.0) AS BIGINT))), lambda k: substring({0}, k * 250 + 1, 250)),
     lambda f: regexp_matches(f, '(?i)\b(that|with)\b'))[1:3], lambda f: regexp_replace(f, '(?i)\b(that|with)\b', '<em>\1</em>', 'g')), ' … ')"""
 

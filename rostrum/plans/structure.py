@@ -196,7 +196,7 @@ def anchors(spark, sf_dir):
 
 @query(V(f"SELECT page_id, pos, ({LINK_NAME} LIKE '%DAY-%' OR regexp_matches({LINK_NAME}, {q(P.LINK_NAME)}) OR regexp_matches(label, {q(P.LINK_TEXT)})) AND NOT regexp_matches(lower({LINK_NAME}), '{'|'.join(P.LINK_SKIPPED)}') AS wanted FROM ({LINKS}) x"))
 def link_classify(spark, sf_dir):
-    return links(spark, sf_dir).select("page_id", "pos", html.is_transcript_link("name", "label", F.lit("")).alias("wanted"))
+    return links(spark, sf_dir).select("page_id", "pos", "name", html.is_transcript_link("name", "label", F.lit("")).alias("wanted")).orderBy(F.desc("name"), "page_id", "pos").drop("name")
 
 
 @query(V(f"SELECT page_id, pos, coalesce(CASE WHEN nullif({strip('label')}, '') <> {LINK_NAME} THEN {strip('label')} END, CASE WHEN regexp_matches({LINK_NAME}, {q(P.LINK_DATE)}) THEN concat_ws(' ', {', '.join(f'regexp_extract({LINK_NAME}, {q(P.LINK_DATE)}, {k})' for k in (1, 2, 3, 4))}) END, nullif({strip('label')}, ''), {LINK_NAME}) AS day FROM ({LINKS}) x"))
@@ -204,11 +204,14 @@ def link_date_label(spark, sf_dir):
     return links(spark, sf_dir).select("page_id", "pos", html.link_date_label("name", "label", F.lit("")).alias("day"))
 
 
-@query("SELECT page_id, url FROM pages WHERE regexp_matches(url, '[0-9]{3}') AND regexp_extract(url, '(\\d{3})', 1) IN ('101', '202', '303', '404', '505', '606', '707', '808', '825')")
+YEARS = ("1", "2", "10", "12", "20", "101", "202", "303")
+YEAR = "(^|[^0-9])(" + "|".join(YEARS) + ")([^0-9]|$)"
+
+
+@query(V(f"SELECT page_id, pos FROM ({LINKS}) x WHERE regexp_matches({HREF_ABS}, {q(YEAR)}) OR regexp_matches({LINK_NAME}, {q(YEAR)}) OR regexp_matches(label, {q(YEAR)})"))
 def filter_link_year(spark, sf_dir):
-    """The pages' addresses hold numbers of three digits; they play the years."""
-    years = ("101", "202", "303", "404", "505", "606", "707", "808", "825")
-    return table(spark, sf_dir, "pages").where(F.regexp_extract("url", r"(\d{3})", 1).isin(*years)).select("page_id", "url")
+    """Links with one of the years in address, file name or text; the links' short numbers play the years."""
+    return links(spark, sf_dir).where(html.names_year(html.absolute("href", "url"), "name", "label", years=YEARS)).select("page_id", "pos")
 
 
 @query(V(f"SELECT address, page_id, pos FROM (SELECT *, row_number() OVER (PARTITION BY address ORDER BY page_id, pos) AS k FROM (SELECT page_id, pos, {HREF_ABS} AS address FROM ({LINKS}) x) y) z WHERE k = 1"))
@@ -291,18 +294,18 @@ def question_section(spark, sf_dir):
     return docs_v(spark, sf_dir).select("doc_id", text.question_section("title").alias("section"), text.has_questions("title").alias("found"))
 
 
-@query("SELECT c_custkey, lower(regexp_replace(c_name, '\\s+', '', 'g')) AS name FROM customer")
+@query("SELECT c_custkey, upper(regexp_replace(c_name, '\\s+', '', 'g')) AS name FROM customer")
 def normalize_name(spark, sf_dir):
-    return table(spark, sf_dir, "customer").select("c_custkey", F.lower(text.normalize_name("c_name")).alias("name"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.normalize_name("c_name").alias("name"))
 
 
 SPLIT = r"string_split(regexp_replace({0}, '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1))"
 
 
-@query(f"SELECT doc_id, array_to_string({SPLIT.format('text')}, '|') AS sentences FROM documents WHERE lang = 'en'")
+@query(f"SELECT doc_id, array_to_string({SPLIT.format('text')}, '|') AS sentences FROM documents")
 def sentence_split(spark, sf_dir):
     """The texts hold no abbreviation, so the check needs no joining of pieces; tests cover it."""
-    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.array_join(text.sentences("text"), "|").alias("sentences"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.sentences("text"), "|").alias("sentences"))
 
 
 @query()
@@ -492,11 +495,7 @@ def speech_blocks(spark, sf_dir):
 )
 def question_boundaries(spark, sf_dir):
     """The invented prose asks nothing, so the commonest word plays "question"."""
-    lines = speech_lines(spark, sf_dir)
-    near = Window.partitionBy("conv_id").orderBy("pos").rowsBetween(0, 4)
-    opens = text.strip_ws("line").rlike(P.QUESTION_SPEAKER) & F.array_join(F.collect_list("line").over(near), " ").rlike(P.ASKING.replace("question", "the"))
-    numbered = lines.withColumn("opens", opens).withColumn("question_no", sections.running(F.col("opens"), sections.upto("conv_id")))
-    return numbered.where("question_no > 0").groupBy("conv_id", "question_no").agg(F.min("pos").alias("first_pos"), F.count(F.lit(1)).alias("n_lines"))
+    return sections.question_boundaries(speech_lines(spark, sf_dir), "conv_id", asking=P.ASKING.replace("question", "the"))
 
 
 @query(L("SELECT doc_id, number, CASE WHEN max(CAST(contains(lower(line), 'oral') AS INT)) = 1 THEN 'oral' ELSE 'written' END AS kind, count(*) AS n_lines FROM (SELECT *, CAST(sum(CAST(line = 'Question put.' AS INT)) OVER (PARTITION BY doc_id ORDER BY pos) AS BIGINT) AS number FROM (SELECT doc_id, pos, line FROM doc_lines) a) b GROUP BY doc_id, number"))

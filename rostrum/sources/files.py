@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from urllib.parse import parse_qsl, unquote, urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,14 +15,22 @@ from ..schema import REGISTRY_ITEM, REPORT, SITTING
 
 def whole_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
     """(path, text) of every file below a folder whose name fits; one file is one row and must fit in a task."""
-    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder, wholetext=True)
+    return as_files(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(folder, wholetext=True))
+
+
+def as_files(rows: DataFrame) -> DataFrame:
+    """(path, text) of whole files as Spark reads them, at once or as a stream."""
     return rows.select(F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"), F.col("value").alias("text"))
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
     """(path, text, stem) of the transcript pages: all HTML files but the contents lists and what lies in skipped folders."""
-    found = whole_files(spark, folder, "*.html").where(~F.col("path").rlike(P.SKIPPED_PATHS))
-    return found.withColumn("stem", F.regexp_replace("path", r"\.html$", ""))
+    return as_pages(whole_files(spark, folder, "*.html"))
+
+
+def as_pages(rows: DataFrame) -> DataFrame:
+    """(path, text, stem) of those HTML files (path, text) that are pages."""
+    return rows.where(~F.col("path").rlike(P.SKIPPED_PATHS)).withColumn("stem", F.regexp_replace("path", r"\.html$", ""))
 
 
 def metadata(spark: SparkSession, folder: str) -> DataFrame:
@@ -87,6 +96,11 @@ def described(spark: SparkSession, df: DataFrame) -> DataFrame:
     return spark.createDataFrame([(f.name, f.dataType.simpleString()) for f in df.schema.fields], "name string, type string")
 
 
+def table_exists(spark: SparkSession, name: str) -> bool:
+    """Whether the catalog has a table or view of this name, which may have a database before a dot."""
+    return spark.catalog.tableExists(name)
+
+
 def append_documents(docs: DataFrame, path: str) -> None:
     """Adds rows to the document table, laid out by source so that a search of one source reads only its files."""
     docs.write.mode("append").partitionBy("source").parquet(path)
@@ -98,11 +112,33 @@ def evolved(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def rebuild_index(docs: DataFrame, path: str, key: str = "doc_key", content: str = "content") -> None:
-    """Writes postings and document lengths anew."""
+    """Writes postings, in order of terms, and document lengths anew, as a version beside the old ones: readers keep theirs, and a
+    lost run leaves one without its last mark, which isn't read."""
     from ..operators.search import doc_stats, postings
 
-    postings(docs, key, content).write.mode("overwrite").parquet(f"{path}/postings")
-    doc_stats(docs, key, content).write.mode("overwrite").parquet(f"{path}/doc_stats")
+    at = f"{path.rstrip('/')}/v{time.time_ns():020d}"
+    postings(docs, key, content).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/postings")  # so a term's rows are few row groups
+    doc_stats(docs, key, content).write.parquet(f"{at}/doc_stats")
+
+
+def index(spark: SparkSession, path: str):
+    """The newest whole version of the index."""
+    from ..operators.search import Index
+
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = sorted(s.getPath().toString() for s in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at))
+    whole = [p for p in found if exists(spark, f"{p}/doc_stats/_SUCCESS")]
+    if not whole:
+        raise FileNotFoundError(f"no whole index in {path}")
+    return Index(spark.read.parquet(f"{whole[-1]}/postings"), spark.read.parquet(f"{whole[-1]}/doc_stats"))
+
+
+def write_summary(summary: DataFrame, path: str) -> None:
+    """A batch's summary as Markdown and as JSON, below one folder."""
+    from ..operators.corpus import summary_lines
+
+    summary_lines(summary).orderBy("n").coalesce(1).select("line").write.mode("overwrite").text(f"{path}/markdown")
+    summary.coalesce(1).write.mode("overwrite").json(f"{path}/json")
 
 
 def quarantined(rows: DataFrame, valid) -> tuple[DataFrame, DataFrame]:

@@ -11,14 +11,17 @@ from ..operators import ingest
 from ..sources import files
 
 
-def watch(spark: SparkSession, folder: str, table: str, state: str, checkpoint: str, when: str, html_sources: tuple[str, ...] = ()) -> StreamingQuery:
-    """Processes the files that have come since the last call and ends. Each batch is one incremental run, so a batch that is
-    repeated after a failure adds nothing twice."""
+def watch(spark: SparkSession, folder: str, table: str, state: str, checkpoint: str, when: str, html_sources: tuple[str, ...] = (), report=None) -> StreamingQuery:
+    """Processes the files that have come since the last call and ends. Each batch is one incremental run over its own files, so
+    a batch that is repeated after a failure adds nothing twice; report, if given, gets each run's counts."""
     found = spark.readStream.format("text").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").load(folder)
+    found = files.as_pages(files.as_files(found))
 
     def run(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            ingest.ingest(spark, folder, table, state, when, html_sources)
+            counts = ingest.ingest(spark, folder, table, state, when, html_sources, batch)
+            if report:
+                report(counts)
 
     return found.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -35,8 +38,11 @@ def copied(spark: SparkSession, source: str, sink: str, checkpoint: str, transfo
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the cluster shares, or in a temporary one where it names none (tests)."""
+    """A new path in the folder that the cluster shares; where it names none, in a temporary one, on a local master alone (tests)."""
     import tempfile
 
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="streams-")
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    root = root or tempfile.mkdtemp(prefix="streams-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

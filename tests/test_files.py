@@ -59,14 +59,57 @@ def test_incremental_runs(spark, tree, tmp_path):
     def run(when):
         return ingest.ingest(spark, str(tree / "collections"), str(tmp_path / "t"), str(tmp_path / "s"), when)
 
-    assert run("2024-01-01") == {"processed": 4, "skipped": 0}
-    assert run("2024-01-02") == {"processed": 0, "skipped": 4}
+    assert run("2024-01-01") == {"new": 4, "processed": 3, "failed": 1, "skipped": 0, "total": 4}
+    assert run("2024-01-02") == {"new": 0, "processed": 0, "failed": 0, "skipped": 4, "total": 4}
     (tree / "collections/South/2023/March/5/part1.html").write_text(PAGE.format("MOTIONS"))
-    assert run("2024-01-03") == {"processed": 1, "skipped": 3}
+    assert run("2024-01-03") == {"new": 1, "processed": 1, "failed": 0, "skipped": 3, "total": 4}
     docs = spark.read.parquet(str(tmp_path / "t"))
     assert docs.count() == 4 and ingest.newest(docs).count() == 3
     files.rebuild_index(ingest.newest(docs).withColumn("doc_key", F.col("doc_key")), str(tmp_path / "i"))
-    assert spark.read.parquet(str(tmp_path / "i/postings")).where("term = 'motions'").count() == 1
+    files.rebuild_index(ingest.newest(docs).limit(0), str(tmp_path / "half"))
+    (next((tmp_path / "i").iterdir()).parent / "v9").mkdir()  # a lost run
+    assert files.index(spark, str(tmp_path / "i")).postings.where("term = 'motions'").count() == 1
+
+
+def test_a_run_that_fails_between_its_writes_is_repeated(spark, tree, tmp_path, monkeypatch):
+    where = [str(tree / "collections"), str(tmp_path / "t"), str(tmp_path / "s")]
+    save = ingest.save_state
+    monkeypatch.setattr(ingest, "save_state", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        ingest.ingest(spark, *where, "2024-01-01")
+    monkeypatch.setattr(ingest, "save_state", save)
+    assert ingest.ingest(spark, *where, "2024-01-02")["processed"] == 3
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 3
+
+
+def test_summary_and_catalog(spark, tmp_path):
+    from rostrum.operators import corpus
+
+    summary = corpus.batch_summary(spark.createDataFrame([("a", 3, 0), ("b", 2, 4)], "name string, speakers long, questions long"))
+    files.write_summary(summary, str(tmp_path / "r"))
+    text = "".join(p.read_text() for p in (tmp_path / "r/markdown").glob("*.txt"))
+    assert text.startswith("# Processing summary\n\n- Files: 2\n- Speakers: 5\n- Questions: 4\n")
+    assert spark.read.json(str(tmp_path / "r/json")).first()["files"] == 2
+    best = corpus.best_worst(spark.createDataFrame([("b.html", 3), ("a.html", 3), ("c.html", 1)], "name string, n long"), "n", "name").first()
+    assert (best["best"], best["most"], best["worst"], best["least"]) == ("a.html", 3, "c.html", 1)
+    spark.range(1).createOrReplaceTempView("some_table")
+    assert files.table_exists(spark, "some_table") and not files.table_exists(spark, "no_table")
+
+
+def test_searches_as_users_type_them(spark, tmp_path):
+    from rostrum.operators import search as S
+
+    docs = spark.createDataFrame([(1, "That water, c(3)."), (2, "water that axb"), (3, None), (4, "")], "doc_id long, content string")
+    docs = docs.selectExpr("*", "'t' title", "date'2024-01-01' sitting_date", "'s' source", "'p' speaker", "null speaker2", "'d' document_type", "1 ord")
+    files.rebuild_index(docs, str(tmp_path / "i"), "doc_id")
+    index = files.index(spark, str(tmp_path / "i"))
+    for request, want in ((S.SearchRequest(terms=("That", "that")), {1, 2}), (S.SearchRequest(terms=("c(", "water")), {1}), (S.SearchRequest(phrase="That Water"), {1}), (S.SearchRequest(prefix="WAT"), {1, 2}), (S.SearchRequest(terms=("a.b",)), set()), (S.SearchRequest(terms=("nothing",), sort="relevance"), set())):
+        for by in (None, index):
+            found = S.search(docs, request, by)
+            assert {r["doc_id"] for r in found.page.collect()} == want and found.total.first()["n"] == len(want), request
+    best = S.search(docs, S.SearchRequest(terms=("c", "water"), mode="or", sort="relevance"), index).page.collect()
+    assert [r["doc_id"] for r in best] == [1, 2] and "<em>c</em>(3)" in best[0]["highlight"]
+    assert S.bm25_by_index(index, ("water",)).count() == S.bm25(docs, ("water",), content="content").count() == 2
 
 
 def test_stream_equals_batch(spark, tree, tmp_path):
