@@ -764,6 +764,27 @@ def test_pipeline(spark, tmp_path):
     assert cp.run(spark, f"{tmp_path}/none").count() == 0
 
 
+def test_texts_beyond_a_slice(spark):
+    """Texts longer than what Python steps hold at once (1 MB) and than a piece that is searched for anchors (524,288 bytes)."""
+    rng = random.Random(24)
+    own = lambda n: " ".join(f"{rng.choice(VOCAB)}{rng.randrange(500)}" for _ in range(n))
+    long = own(150_000)
+    texts = [long, long[:600_000] + own(100), "short one", None]
+    assert len(long) > 1 << 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in suffixes.substring_report(df).collect()}
+    n, body = len(texts[1].encode()), texts[1].encode()
+    assert got[0]["n_removed"] == 0 and 600_000 <= got[1]["n_removed"] <= 600_100 and got[1]["n_bytes"] == n
+    assert got[1]["kept_sha256"] == hashlib.sha256(body[got[1]["n_removed"] :]).hexdigest()
+    assert {r["doc_id"] for r in chaining.repeated_passages(df).collect()} == {1}
+    media = {r["doc_id"]: r for r in tiff.media_report(df).collect()}
+    assert media[0]["payload_sha256"] == hashlib.sha256(long.encode().ljust(-(-len(long) // 64) * 64, b"\0")).hexdigest()
+    words_of = {r["doc_id"]: r["n_words"] for r in quality.quality_report(df, spark.createDataFrame([], "doc_id long, quality int, toxic int")).collect()}
+    assert words_of == {0: 150_000, 1: len(texts[1].split()), 2: 2, 3: 0}
+    for r in packing.packed(df).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).collect():
+        assert r["n"] == r["t"]
+
+
 @pytest.mark.parametrize("report", [attribution.section_report, secrets.secret_report, tiff.media_report, simhash.near_duplicate_report, packing.packed, mixing.mix_report, suffixes.substring_report, chaining.repeated_passages, simhash.one_of_each, secrets.redacted, mixing.mixed], ids=lambda f: f.__name__)
 def test_empty_tables(none, report):
     assert report(none).count() == 0
