@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -35,17 +36,32 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return here
 
 
+@contextmanager
+def shuffles_freed(spark: SparkSession):
+    """Queries made inside free their shuffle files when they end, instead of whenever the driver collects garbage: what they
+    wrote is read from the shared folder from then on."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if was is None else spark.conf.set(name, was)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df with its lineage cut by a reliable checkpoint, for small rows that loops or several readers use."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_freed(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # df itself was made outside
 
 
 def stored(df: DataFrame) -> DataFrame:
     """df written as Parquet to the shared folder and read back, for wide rows that several readers use."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/{uuid.uuid4().hex}.parquet"
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_freed(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

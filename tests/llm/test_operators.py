@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from rostrum.llm import attribution, chaining, html, mixing, packing, quality, secrets, simhash, suffixes, tiff
-from rostrum.llm.common import components
+from rostrum.llm.common import components, cut, shuffles_freed, stored
 from rostrum.llm.tokens import WordTokens, vocabulary_path
 
 DOC = "doc_id long, text string, source string, n_chars long, kept string, found string, found_of string, node string, bits string"
@@ -799,3 +799,18 @@ def test_empty_tables_of_two(spark, none):
 def test_nothing_trusted_keeps_what_passes_the_rules(spark, docs):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.quality_report(docs, labels).where("kept = base_failed").count() == 0
+
+
+@pytest.mark.parametrize("keep", [cut, stored])
+def test_kept_rows_outlive_their_shuffles(spark, keep):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name, None)
+    sums = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.sum("id").alias("s"))
+    kept = keep(sums)
+    assert spark.conf.get(name, None) == was
+    want = sorted((k, sum(range(k, 1000, 7))) for k in range(7))
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, kept.collect())) == want
+    assert sorted(map(tuple, sums.collect())) == want
+    with pytest.raises(ValueError), shuffles_freed(spark):
+        raise ValueError
+    assert spark.conf.get(name, None) == was
