@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import long_date
 from ..functions.speakers import is_named
 from ..schema import NO_SPEAKER, UNDATED, UNLISTED
+from .numbering import numbered_within
 
 CSV_FIELDS = ("title", "date", "source", "speaker", "speaker2", "document_type", "url")
 URL = "/article?id="
@@ -139,9 +140,8 @@ def json_export(page: DataFrame, query: str, exported: str) -> DataFrame:
 
 
 def batches(rows: DataFrame, part: str, order: str, size: int) -> DataFrame:
-    """rows with batch, in groups of so many within each part: no numbering runs over the whole table."""
-    k = F.row_number().over(Window.partitionBy(part).orderBy(order))
-    return rows.withColumn("batch", F.floor((k - 1) / size).cast("long"))
+    """rows with batch, in groups of so many within each part, by an integer column."""
+    return numbered_within(rows, [part], order, "batch").withColumn("batch", F.floor((F.col("batch") - 1) / size).cast("long"))
 
 
 def contents_list(parts: DataFrame, sitting: str, rank: str, title: str) -> DataFrame:

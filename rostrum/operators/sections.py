@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions import patterns as P
 from ..functions.html import blocks, is_styled_heading
 from ..functions.text import is_caps, is_part_header, is_procedural, is_section_heading, speaker_dialogue, strip_ws
+from .numbering import numbered_within
 
 
 def upto(doc: str, pos: str = "pos") -> WindowSpec:
@@ -110,8 +111,8 @@ def question_items(lines: DataFrame, doc: str, line: str = "line") -> DataFrame:
 
 
 def number_by_type(docs: DataFrame, sitting: str, kind: str, order: str) -> DataFrame:
-    """A running number of each kind of question in a sitting."""
-    return docs.withColumn("number", F.row_number().over(Window.partitionBy(sitting, kind).orderBy(order)))
+    """A running number of each kind of question in a sitting, by an integer column."""
+    return numbered_within(docs, [sitting, kind], order, "number")
 
 
 def contents_ordinal(pages: DataFrame, key: str = "page_id") -> DataFrame:

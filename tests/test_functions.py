@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rostrum.functions import dates, html, speakers, text
-from rostrum.operators import corpus, search, sections
+from rostrum.operators import corpus, numbering, search, sections
 
 
 def one(spark, value, column):
@@ -241,3 +241,15 @@ def test_facets_add_up(spark):
 
 def test_highlight_marks_terms(spark):
     assert one(spark, "x" * 300 + " that is THAT", search.highlights(F.col("x"), ("that",))) == ["x" * 50 + " <em>that</em> is <em>THAT</em>"]
+
+
+def test_numbers_over_ranges(spark):
+    rows = [(s, i) for s in ("a", "b", None) for i in (-7, -1, 0, 3, 4, 9, 40)] + [("a", None), ("a", 41)]
+    df = spark.createDataFrame(rows, "Range_Of string, i int")
+    found = numbering.numbered_within(df, ["Range_Of"], "i", "k", width=4)
+    want = {}
+    for s in ("a", "b", None):
+        values = sorted((i for t, i in rows if t == s), key=lambda i: (i is not None, i or 0))
+        want |= {(s, i): k for k, i in enumerate(values, 1)}
+    assert {(s, i): k for s, i, k in found.collect()} == want and found.columns == ["Range_Of", "i", "k"]
+    assert numbering.numbered_within(df.limit(0), ["Range_Of"], "i", "k").count() == 0
