@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attribution, chaining, html, mixing, packing, quality, secrets, simhash, suffixes, tiff
+from . import attribution, chaining, html, mixing, packing, quality, secrets, simhash, suffixes, tiff, tries
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,11 +51,15 @@ def op10_quality(spark, sf_dir):
     return quality.quality_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return tries.shared_opening_trie(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_media, op4_simhash, op5_packing, op6_mixing, op7_suffix_dedup, op8_chaining, op9_html, op10_quality, pipeline)}
-ORACLES = {"op6_mixing": mixing.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_media, op4_simhash, op5_packing, op6_mixing, op7_suffix_dedup, op8_chaining, op9_html, op10_quality, op11_prefix_trie, pipeline)}
+ORACLES = {"op6_mixing": mixing.ORACLE, "op11_prefix_trie": tries.ORACLE}
