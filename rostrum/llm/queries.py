@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import attribution, chaining, html, mixing, packing, quality, runs, secrets, simhash, suffixes, tiff, tries
+from . import attribution, chaining, gam, html, mixing, packing, quality, runs, secrets, simhash, suffixes, tiff, tries
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op11_prefix_trie(spark, sf_dir):
     return tries.shared_opening_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_quality_gam(spark, sf_dir):
+    return gam.score_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_periodic_runs(spark, sf_dir):
     return runs.run_report(table(spark, sf_dir, "documents"))
 
@@ -65,5 +69,5 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_media, op4_simhash, op5_packing, op6_mixing, op7_suffix_dedup, op8_chaining, op9_html, op10_quality, op11_prefix_trie, op13_periodic_runs, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_secret_scan, op3_media, op4_simhash, op5_packing, op6_mixing, op7_suffix_dedup, op8_chaining, op9_html, op10_quality, op11_prefix_trie, op12_quality_gam, op13_periodic_runs, pipeline)}
 ORACLES = {"op6_mixing": mixing.ORACLE, "op11_prefix_trie": tries.ORACLE}
