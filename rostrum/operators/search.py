@@ -1,13 +1,12 @@
 """Search: a request's filters, ranking, highlights, facets and page, over a table of documents.
 
 Predicates on fields go to the scan; texts never pass a shuffle but for the rows of the page. With an index (postings and lengths, as
-written by files.rebuild_index) no text but those of the page is read to find or rank by terms.
+written by operators.index) no text but those of the page is read to find by terms, phrases and patterns, or to rank.
 """
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import date
 from functools import reduce
 
@@ -16,7 +15,10 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import range_start
 from ..functions.text import tokens
+from ..sources.files import kept
+from .index import Index, Pattern, doc_stats, pattern_lookup, phrase_lookup, postings, term_lookup, words_of
 
+__all__ = ["Index", "SearchRequest", "doc_stats", "postings", "search", "term_lookup", "words_of"]
 K1, B = 1.2, 0.75
 FRAGMENT, FRAGMENTS = 250, 3
 PAGE_ROWS = 20
@@ -31,6 +33,7 @@ class SearchRequest:
     mode: str = "and"  # or: any term
     phrase: str = ""
     prefix: str = ""
+    wildcard: str = ""  # a term with * and ?
     source: str | None = None
     document_type: str | None = None
     speaker: str | None = None
@@ -57,11 +60,6 @@ def all_of(predicates: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, predicates, F.lit(True))
 
 
-def words_of(texts) -> tuple[str, ...]:
-    """What a user typed as the tokens that texts are cut into: letters and digits, in lower case."""
-    return tuple(w for t in texts for w in re.findall(r"[^\W_]+", t.lower()))
-
-
 def terms_of(r: SearchRequest) -> tuple[str, ...]:
     """The request's different terms."""
     return tuple(dict.fromkeys(words_of(r.terms)))
@@ -90,6 +88,12 @@ def has_prefix(content, prefix: str) -> Column:
     return F.exists(tokens(content), lambda t: t.startswith(prefix.lower()))
 
 
+def has_wildcard(content, typed: str) -> Column:
+    """Documents with a token that fits a pattern of * and ?."""
+    pattern = Pattern.of(typed)
+    return F.exists(tokens(content), pattern.fits)
+
+
 def filters(r: SearchRequest) -> list[Column]:
     """The request's predicates on fields; all hold."""
     out = []
@@ -111,31 +115,35 @@ def filters(r: SearchRequest) -> list[Column]:
     return out
 
 
-@dataclass(frozen=True)
-class Index:
-    """postings (term, doc_id, tf) and stats (doc_id, length) of a table of documents."""
-
-    postings: DataFrame
-    stats: DataFrame
+def by_template(name: str, now: date, member: str | None = None) -> SearchRequest:
+    """A saved template as a request of this day; by_member takes the member's name."""
+    if name == "by_member" and not member:
+        raise ValueError("by_member needs a member")
+    return replace(TEMPLATES[name], now=now, **({"speaker": member} if member else {}))
 
 
-def term_lookup(index_rows: DataFrame, terms: tuple[str, ...], mode: str = "and", key: str = "doc_id") -> DataFrame:
-    """(key) of documents with all (or any) of the terms, from postings alone."""
-    terms = sorted(set(words_of(terms)))
-    found = index_rows.where(F.col("term").isin(terms))
-    if mode == "or" or len(terms) < 2:
-        return found.select(key).distinct()
-    return found.groupBy(key).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == len(terms)).select(key)
+def reads_texts(r: SearchRequest, index: Index | None) -> bool:
+    """Whether finding the request's documents takes a pass over texts."""
+    return index is None and bool(terms_of(r) or r.phrase or r.prefix or r.wildcard)
 
 
 def matched(docs: DataFrame, r: SearchRequest, index: Index | None = None) -> DataFrame:
+    """The documents that meet the request. With an index its key's column tells them, and no text is read."""
     out, terms = docs.where(all_of(filters(r))), terms_of(r)
-    if index and terms:
-        out = out.join(term_lookup(index.postings, terms, r.mode), "doc_id", "left_semi")
-    else:
+    if index is None:
         out = out.where(has_terms("content", terms, r.mode))
-    out = out.where(has_phrase("content", (r.phrase,))) if r.phrase else out
-    return out.where(has_prefix("content", r.prefix)) if r.prefix else out
+        out = out.where(has_phrase("content", (r.phrase,))) if r.phrase else out
+        out = out.where(has_prefix("content", r.prefix)) if r.prefix else out
+        return out.where(has_wildcard("content", r.wildcard)) if r.wildcard else out
+    if terms:
+        out = out.join(term_lookup(index.postings, terms, r.mode, index.key), index.key, "left_semi")
+    elif not (r.phrase or r.prefix or r.wildcard):
+        out = out.where("content is not null")
+    if words_of((r.phrase,)):
+        out = out.join(phrase_lookup(index, r.phrase), index.key, "left_semi")
+    for typed in ([f"{r.prefix}*"] if r.prefix else []) + ([r.wildcard] if r.wildcard else []):
+        out = out.join(pattern_lookup(index, typed), index.key, "left_semi")
+    return out
 
 
 def highlights(content, terms: tuple[str, ...], size: int = FRAGMENT, most: int = FRAGMENTS) -> Column:
@@ -149,35 +157,26 @@ def highlights(content, terms: tuple[str, ...], size: int = FRAGMENT, most: int
     return F.transform(F.slice(F.filter(windows, lambda w: w.rlike(pattern)), 1, most), lambda w: F.regexp_replace(w, pattern, "<em>$1</em>"))
 
 
-def ordered(docs: DataFrame) -> DataFrame:
-    return docs.orderBy(F.col("sitting_date").desc_nulls_last(), "ord", F.col("doc_id"))
+def ordered(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    return docs.orderBy(F.col("sitting_date").desc_nulls_last(), "ord", F.col(key))
 
 
-def page(docs: DataFrame, offset: int = 0, rows: int = PAGE_ROWS) -> DataFrame:
+def page(docs: DataFrame, offset: int = 0, rows: int = PAGE_ROWS, key: str = "doc_id") -> DataFrame:
     """Rows of one page, newest first; a top-k, not a full sort."""
-    return ordered(docs).offset(offset).limit(rows)
+    return ordered(docs, key).offset(offset).limit(rows)
 
 
-def page_after(docs: DataFrame, last_date: date, last_ord: int, last_id: int, rows: int = PAGE_ROWS) -> DataFrame:
+def page_after(docs: DataFrame, last_date: date, last_ord: int, last_id, rows: int = PAGE_ROWS, key: str = "doc_id") -> DataFrame:
     """The page after a given row: deep pages cost what the first one does."""
     d = F.col("sitting_date")
-    after = (d < F.lit(last_date)) | d.isNull() | ((d == F.lit(last_date)) & ((F.col("ord") > last_ord) | ((F.col("ord") == last_ord) & (F.col("doc_id") > last_id))))
-    return ordered(docs.where(after)).limit(rows)
-
-
-def postings(docs: DataFrame, key: str = "doc_id", content: str = "text") -> DataFrame:
-    """(term, key, tf): the inverted index."""
-    return docs.select(key, F.explode(tokens(content)).alias("term")).groupBy("term", key).agg(F.count(F.lit(1)).alias("tf"))
-
-
-def doc_stats(docs: DataFrame, key: str = "doc_id", content: str = "text") -> DataFrame:
-    return docs.select(key, F.size(tokens(content)).cast("long").alias("length"))
+    after = (d < F.lit(last_date)) | d.isNull() | ((d == F.lit(last_date)) & ((F.col("ord") > last_ord) | ((F.col("ord") == last_ord) & (F.col(key) > last_id))))
+    return ordered(docs.where(after), key).limit(rows)
 
 
 def bm25(docs: DataFrame, terms: tuple[str, ...], key: str = "doc_id", content: str = "text", k1: float = K1, b: float = B) -> DataFrame:
     """(key, score) of documents with any of the terms.
 
-    Term counts are taken where each text lies; what is shuffled is one row of sums. Statistics cover all documents.
+    Term counts are taken where each text lies, once: they are kept, as sums and scores both need them. Statistics cover all documents.
     """
     terms = tuple(dict.fromkeys(words_of(terms)))
     if not terms:
@@ -188,6 +187,7 @@ def bm25(docs: DataFrame, terms: tuple[str, ...], key: str = "doc_id", content:
         return F.size(F.filter(found, lambda t: t == F.lit(word))).cast("double")
 
     counted = docs.select(key, F.size(found).cast("double").alias("length"), *(times(w).alias(f"tf{k}") for k, w in enumerate(terms)))
+    counted = kept(counted)
     totals = counted.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("length").alias("mean"), *(F.count_if(F.col(f"tf{k}") > 0).cast("double").alias(f"df{k}") for k in range(len(terms))))
     score = F.lit(0.0)
     for k in range(len(terms)):
@@ -198,8 +198,9 @@ def bm25(docs: DataFrame, terms: tuple[str, ...], key: str = "doc_id", content:
     return counted.where(any_term).join(F.broadcast(totals)).select(key, F.round(score, 6).alias("score"))
 
 
-def bm25_by_index(index: Index, terms: tuple[str, ...], key: str = "doc_id", k1: float = K1, b: float = B) -> DataFrame:
+def bm25_by_index(index: Index, terms: tuple[str, ...], k1: float = K1, b: float = B) -> DataFrame:
     """bm25 from postings and lengths: what is read of the postings is the terms' own rows."""
+    key = index.key
     terms = tuple(dict.fromkeys(words_of(terms)))
     if not terms:
         raise ValueError("ranking needs a term")
@@ -262,28 +263,43 @@ def counted(hits: DataFrame, fields: tuple[str, ...] = FACETS, most: int = 100)
     return counts.withColumn("rank", rank).where(F.col("rank") <= most).drop("rank")
 
 
-def search(docs: DataFrame, r: SearchRequest, index: Index | None = None) -> SearchResult:
+SHOWN = ("title", "sitting_date", "source", "speaker", "speaker2", "document_type")
+
+
+def search(docs: DataFrame, r: SearchRequest, index: Index | None = None, key: str | None = None) -> SearchResult:
     """A page of the documents that meet the request, newest first, or best first where it asks for relevance and has terms; and
-    facets and total of them all."""
+    facets and total of them all.
+
+    key names the column that tells documents apart: the index's own, or doc_id. The page has rank, from 1 over all pages, and score,
+    null where rows aren't ranked by it. Where texts have to be read to find documents, that is done once: what page and facets need of
+    the hits is kept.
+    """
+    key = key or (index.key if index else "doc_id")
+    if index and index.key != key:
+        raise ValueError(f"the index tells documents by {index.key}, not by {key}")
+    if r.sort not in ("date", "relevance"):
+        raise ValueError(f"no sort by {r.sort}")
     hits, terms = matched(docs, r, index), terms_of(r)
+    hits = hits.select(*dict.fromkeys((key, "sitting_date", "ord", *r.facets)))
+    hits = kept(hits) if reads_texts(r, index) else hits
     if r.sort == "relevance" and terms:
-        scores = bm25_by_index(index, terms) if index else bm25(docs, terms, content="content")
-        best = hits.select("doc_id").join(scores, "doc_id").orderBy(F.desc("score"), "doc_id").offset(r.offset).limit(r.rows)
-        shown = docs.join(F.broadcast(best), "doc_id")  # a page of ids
-    elif r.sort in ("date", "relevance"):
-        shown = page(hits, r.offset, r.rows)
+        scores = bm25_by_index(index, terms) if index else bm25(docs, terms, key, "content")
+        best, order = hits.select(key).join(scores, key), (F.desc("score"), F.col(key))
     else:
-        raise ValueError(f"no sort by {r.sort}")
+        best, order = hits.select(key, "sitting_date", "ord", F.lit(None).cast("double").alias("score")), (F.col("sitting_date").desc_nulls_last(), F.col("ord"), F.col(key))
+    rank = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*order))
+    top = best.orderBy(*order).limit(r.offset + r.rows).withColumn("rank", rank).where(F.col("rank") > r.offset)  # a page, or those up to it
     marked = F.array_join(highlights(F.col("content"), terms), " … ") if terms else F.lit("")
-    columns = ["doc_id", "title", "sitting_date", "source", "speaker", "speaker2", "document_type"]
-    return SearchResult(shown.select(*columns, marked.alias("highlight")), counted(hits.select(*r.facets), r.facets))
+    shown = docs.join(F.broadcast(top.select(key, "score", "rank")), key).select(key, *SHOWN, marked.alias("highlight"), "score", "rank")
+    return SearchResult(shown.orderBy("rank"), counted(hits.select(*r.facets), r.facets))
 
 
-def search_rows(docs: DataFrame, r: SearchRequest, index: Index | None = None) -> DataFrame:
+def search_rows(docs: DataFrame, r: SearchRequest, index: Index | None = None, key: str | None = None) -> DataFrame:
     """A search's page, facets and total as one table: part, name, value, n, text."""
-    s = search(docs, r, index)
+    key = key or (index.key if index else "doc_id")
+    s = search(docs, r, index, key)
     none = F.lit(None).cast("string")
-    rows = s.page.select(F.lit("page").alias("part"), F.col("doc_id").cast("string").alias("name"), "title", F.lit(None).cast("long").alias("n"), F.col("highlight").alias("text"))
+    rows = s.page.select(F.lit("page").alias("part"), F.col(key).cast("string").alias("name"), "title", F.lit(None).cast("long").alias("n"), F.col("highlight").alias("text"))
     part = F.when(F.col("field") == "", "total").otherwise("facet").alias("part")
     counts = s.counted.select(part, F.nullif("field", F.lit("")).alias("name"), F.col("value").alias("title"), "n", none.alias("text"))
     return rows.unionByName(counts)

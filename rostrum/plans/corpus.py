@@ -284,6 +284,6 @@ def monthly_exports(spark, sf_dir):
 @query("SELECT event_id, user_id, ts, event_type FROM events")
 def stream_ingest(spark, sf_dir):
     """Events through a file stream into a table: what comes out is what went in."""
-    sink, checkpoint = streams.scratch(spark, "events"), streams.scratch(spark, "stream")
+    sink, checkpoint = files.scratch(spark, "events"), files.scratch(spark, "stream")
     streams.copied(spark, f"{sf_dir}/events.parquet", sink, checkpoint, lambda rows: rows.select("event_id", "user_id", "ts", "event_type")).awaitTermination()
     return spark.read.parquet(sink)

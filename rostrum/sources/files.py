@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import time
+import tempfile
+import uuid
 from urllib.parse import parse_qsl, unquote, urlsplit
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +21,7 @@ def whole_files(spark: SparkSession, folder: str, pattern: str) -> DataFrame:
 
 def as_files(rows: DataFrame) -> DataFrame:
     """(path, text) of whole files as Spark reads them, at once or as a stream."""
-    return rows.select(F.try_url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("path"), F.col("value").alias("text"))
+    return rows.select(decoded(F.col("_metadata.file_path")).alias("path"), F.col("value").alias("text"))
 
 
 def pages(spark: SparkSession, folder: str) -> DataFrame:
@@ -28,6 +29,17 @@ def pages(spark: SparkSession, folder: str) -> DataFrame:
     return as_pages(whole_files(spark, folder, "*.html"))
 
 
+def page_paths(spark: SparkSession, folder: str) -> DataFrame:
+    """(path) of the transcript pages, from a listing alone."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.html").load(folder)
+    return rows.select(decoded(F.col("path")).alias("path")).where(~F.col("path").rlike(P.SKIPPED_PATHS))
+
+
+def decoded(path) -> Column:
+    """A file's path as it is on disk, of the form that Spark gives, with its escapes."""
+    return F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+
+
 def as_pages(rows: DataFrame) -> DataFrame:
     """(path, text, stem) of those HTML files (path, text) that are pages."""
     return rows.where(~F.col("path").rlike(P.SKIPPED_PATHS)).withColumn("stem", F.regexp_replace("path", r"\.html$", ""))
@@ -111,26 +123,20 @@ def evolved(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new, allowMissingColumns=True)
 
 
-def rebuild_index(docs: DataFrame, path: str, key: str = "doc_key", content: str = "content") -> None:
-    """Writes postings, in order of terms, and document lengths anew, as a version beside the old ones: readers keep theirs, and a
-    lost run leaves one without its last mark, which isn't read."""
-    from ..operators.search import doc_stats, postings
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the cluster shares; where it names none, in a temporary one, on a local master alone (tests)."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
+    root = root or tempfile.mkdtemp(prefix="scratch-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
-    at = f"{path.rstrip('/')}/v{time.time_ns():020d}"
-    postings(docs, key, content).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{at}/postings")  # so a term's rows are few row groups
-    doc_stats(docs, key, content).write.parquet(f"{at}/doc_stats")
 
-
-def index(spark: SparkSession, path: str):
-    """The newest whole version of the index."""
-    from ..operators.search import Index
-
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    found = sorted(s.getPath().toString() for s in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at))
-    whole = [p for p in found if exists(spark, f"{p}/doc_stats/_SUCCESS")]
-    if not whole:
-        raise FileNotFoundError(f"no whole index in {path}")
-    return Index(spark.read.parquet(f"{whole[-1]}/postings"), spark.read.parquet(f"{whole[-1]}/doc_stats"))
+def kept(rows: DataFrame) -> DataFrame:
+    """Rows that several readers use, written once to the shared folder and read back."""
+    path = scratch(rows.sparkSession, "kept")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def write_summary(summary: DataFrame, path: str) -> None:

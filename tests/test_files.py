@@ -1,13 +1,15 @@
 """Files: a tree with two sources, short and full months, a deep question, all forms of metadata, a page without any, and a space."""
 
 import json
+import os
+import time
 
 import pytest
-from pyspark.sql import functions as F
 
-from rostrum.operators import ingest
+from rostrum.operators import index, ingest
+from rostrum.operators import search as S
 from rostrum.sources import files
-from rostrum.streaming.ingest import watch
+from rostrum.streaming.ingest import retried, watch
 
 PAGE = "<html><head><title>{0}</title></head><body><h3>{0}</h3><p>Text of {0}</p></body></html>"
 
@@ -59,16 +61,114 @@ def test_incremental_runs(spark, tree, tmp_path):
     def run(when):
         return ingest.ingest(spark, str(tree / "collections"), str(tmp_path / "t"), str(tmp_path / "s"), when)
 
-    assert run("2024-01-01") == {"new": 4, "processed": 3, "failed": 1, "skipped": 0, "total": 4}
-    assert run("2024-01-02") == {"new": 0, "processed": 0, "failed": 0, "skipped": 4, "total": 4}
+    assert run("2024-01-01") == {"new": 4, "processed": 3, "failed": 1, "skipped": 0, "gone": 0, "total": 4}
+    assert run("2024-01-02") == {"new": 1, "processed": 0, "failed": 1, "skipped": 3, "gone": 0, "total": 4}
     (tree / "collections/South/2023/March/5/part1.html").write_text(PAGE.format("MOTIONS"))
-    assert run("2024-01-03") == {"new": 1, "processed": 1, "failed": 0, "skipped": 3, "total": 4}
+    assert run("2024-01-03") == {"new": 2, "processed": 1, "failed": 1, "skipped": 2, "gone": 0, "total": 4}
     docs = spark.read.parquet(str(tmp_path / "t"))
     assert docs.count() == 4 and ingest.newest(docs).count() == 3
-    files.rebuild_index(ingest.newest(docs).withColumn("doc_key", F.col("doc_key")), str(tmp_path / "i"))
-    files.rebuild_index(ingest.newest(docs).limit(0), str(tmp_path / "half"))
-    (next((tmp_path / "i").iterdir()).parent / "v9").mkdir()  # a lost run
-    assert files.index(spark, str(tmp_path / "i")).postings.where("term = 'motions'").count() == 1
+    late = tree / "collections/North Isles/2025/Feb/24/part1_metadata.txt"  # what failed is tried again
+    late.write_text("Part 1 Speakers:\nSpeaker 1: HON. L\n")
+    assert run("2024-01-04") == {"new": 1, "processed": 1, "failed": 0, "skipped": 3, "gone": 0, "total": 4}
+    assert run("2024-01-05")["skipped"] == 4
+    index.rebuild(ingest.newest(spark.read.parquet(str(tmp_path / "t"))), str(tmp_path / "i"))
+    (tmp_path / "i/whole-9").mkdir()  # a lost run
+    assert index.read(spark, str(tmp_path / "i")).postings.where("term = 'motions'").count() == 1
+
+
+def test_a_run_reads_its_pages_once(spark, tree, tmp_path, monkeypatch):
+    plans = []
+    kept = files.kept
+    monkeypatch.setattr(files, "kept", lambda rows: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or kept(rows))
+    ingest.ingest(spark, str(tree / "collections"), str(tmp_path / "t"), str(tmp_path / "s"), "2024-01-01")
+    scans = [line for line in plans[0].splitlines() if "FileScan text" in line and "html" in line and "contents" not in line]
+    assert len(plans) == 1 and plans[0].count("pathGlobFilter=*.html") <= 1 and len(scans) <= 1 and "CollectMetrics" in plans[0]
+
+
+def test_parts_of_the_state_are_folded(spark, tmp_path, monkeypatch):
+    from rostrum.schema import STATE
+    from rostrum.sources import versions
+
+    monkeypatch.setattr(ingest, "FOLD", 2)
+    at = str(tmp_path / "s")
+    for k in range(7):
+        ingest.save_state(spark.createDataFrame([("a", f"h{k}"), (f"p{k}", "h")], "file_path string, file_hash string").selectExpr("*", f"timestamp'2024-01-0{k + 1}' indexed_at"), at)
+    rows = {r["file_path"]: r["file_hash"] for r in ingest.load_state(spark, at).collect()}
+    assert rows == {"a": "h6"} | {f"p{k}": "h" for k in range(7)} and ingest.load_state(spark, at).schema.names == STATE.names
+    assert len(versions.finished(spark, at)) < 7 and len(versions.current(spark, at)) <= 2
+
+
+def found_in(spark, docs, by, **request):
+    result = S.search(docs, S.SearchRequest(**request), by, "doc_key")
+    return [r["path"] for r in result.page.join(docs.select("doc_key", "path"), "doc_key").orderBy("rank").collect()], result.total.first()["n"]
+
+
+def test_search_runs_on_what_ingest_writes(spark, tree, tmp_path):
+    ingest.ingest(spark, str(tree / "collections"), str(tmp_path / "t"), str(tmp_path / "s"), "2024-01-01")
+    docs = spark.read.parquet(str(tmp_path / "t"))
+    index.rebuild(docs, str(tmp_path / "i"))
+    by = index.read(spark, str(tmp_path / "i"))
+    for request, most in (({"terms": ("text", "of")}, 3), ({"terms": ("prayer", "bills"), "mode": "or", "sort": "relevance"}, 2), ({"phrase": "Text of"}, 3), ({"prefix": "pray"}, 1), ({"wildcard": "*ills"}, 1), ({"wildcard": "q?estion"}, 1), ({}, 3)):
+        one, other = found_in(spark, docs, None, **request), found_in(spark, docs, by, **request)
+        assert one == other and one[1] == len(one[0]) == most, request
+    assert found_in(spark, docs, by, terms=("prayer", "text"), mode="or", sort="relevance")[0][0].endswith("part0.html")
+    with pytest.raises(ValueError):
+        S.search(docs, S.SearchRequest(terms=("text",)), by, "path")
+
+
+def test_segments_equal_a_rebuild(spark, tree, tmp_path):
+    folder, where = tree / "collections", [str(tree / "collections"), str(tmp_path / "t"), str(tmp_path / "s")]
+    at = str(tmp_path / "i")
+    run = lambda day: ingest.ingest(spark, *where, f"2024-01-0{day}", index=at, deletions=True)
+    run(1)
+    (folder / "South/2023/March/5/part1.html").write_text(PAGE.format("MOTIONS"))
+    (folder / "North Isles/2025/Feb/24/part1_metadata.txt").write_text("Part 1 Speakers:\nSpeaker 1: HON. L\n")
+    assert run(2)["processed"] == 2
+    (folder / "North Isles/2025/Feb/24/part0.html").unlink()
+    (folder / "South/2023/March/5/part7.html").write_text(PAGE.format("BILLS again"))
+    (folder / "South/2023/March/5/part7_metadata.txt").write_text("Part 7 Speakers:\nSpeaker 1: HON. M\n")
+    assert run(3) == {"new": 1, "processed": 1, "failed": 0, "skipped": 3, "gone": 1, "total": 4}
+    assert run(4)["gone"] == 0
+
+    docs = ingest.present(spark.read.parquet(where[1]), ingest.load_state(spark, where[2]))
+    index.rebuild(docs, str(tmp_path / "whole"))
+    rows = lambda x: sorted((r["term"], r["doc_key"], r["tf"], tuple(r["positions"])) for r in x.postings.collect())
+    lengths = lambda x: sorted(tuple(r) for r in x.stats.select("doc_key", "length").collect())
+    whole, live = index.read(spark, str(tmp_path / "whole")), index.read(spark, at)
+    assert rows(live) == rows(whole) and lengths(live) == lengths(whole) and docs.count() == 4
+    for request in ({"terms": ("bills", "motions"), "mode": "or", "sort": "relevance"}, {"terms": ("prayer",)}, {"phrase": "bills again"}, {"prefix": "mot"}, {"wildcard": "*ills"}):
+        assert found_in(spark, docs, live, **request) == found_in(spark, docs, whole, **request)
+    assert index.merge(spark, at) == 3 and index.merge(spark, at) == 0
+    merged = index.read(spark, at)
+    assert rows(merged) == rows(whole) and lengths(merged) == lengths(whole)
+    assert sorted(tuple(r) for r in merged.terms.collect()) == sorted(tuple(r) for r in whole.terms.collect())
+    (folder / "South/2023/March/5/part7.html").write_text(PAGE.format("GONE over"))
+    run(5)
+    assert index.read(spark, at).postings.where("term = 'again'").count() == 0
+    assert index.merge(spark, at) == 2 and len(list((tmp_path / "i").iterdir())) < 5
+
+
+def test_a_segment_that_is_added_twice_counts_once(spark, tree, tmp_path, monkeypatch):
+    where = [str(tree / "collections"), str(tmp_path / "t"), str(tmp_path / "s")]
+    save = ingest.save_state
+    monkeypatch.setattr(ingest, "save_state", lambda *_: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        ingest.ingest(spark, *where, "2024-01-01", index=str(tmp_path / "i"))
+    monkeypatch.setattr(ingest, "save_state", save)
+    ingest.ingest(spark, *where, "2024-01-02", index=str(tmp_path / "i"))
+    assert index.read(spark, str(tmp_path / "i")).stats.count() == 3
+
+
+def test_a_range_of_terms_reaches_the_scan(spark, tmp_path):
+    docs = spark.createDataFrame([("a", "water waters later"), ("b", "watch the letter"), ("c", None)], "doc_key string, content string")
+    index.rebuild(docs, str(tmp_path / "i"))
+    by = index.read(spark, str(tmp_path / "i"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(index.pattern_lookup(by, "wat*")).count("GreaterThanOrEqual(term,wat)") == 2
+    assert "GreaterThanOrEqual(reversed,ret)" in plan(index.terms_like(by, "*ter"))
+    for typed, want in (("wat*", "ab"), ("*ter", "ab"), ("w?ter", "a"), ("WATER", "a"), ("*at*", "ab"), ("*", "ab"), ("w.ter", ""), ("???", "b"), ("lat?r", "a")):
+        assert "".join(sorted(r["doc_key"] for r in index.pattern_lookup(by, typed).collect())) == want, typed
+        assert "".join(sorted(r["doc_key"] for r in docs.where(S.has_wildcard("content", typed)).collect())) == want, typed
 
 
 def test_a_run_that_fails_between_its_writes_is_repeated(spark, tree, tmp_path, monkeypatch):
@@ -97,19 +197,17 @@ def test_summary_and_catalog(spark, tmp_path):
 
 
 def test_searches_as_users_type_them(spark, tmp_path):
-    from rostrum.operators import search as S
-
     docs = spark.createDataFrame([(1, "That water, c(3)."), (2, "water that axb"), (3, None), (4, "")], "doc_id long, content string")
     docs = docs.selectExpr("*", "'t' title", "date'2024-01-01' sitting_date", "'s' source", "'p' speaker", "null speaker2", "'d' document_type", "1 ord")
-    files.rebuild_index(docs, str(tmp_path / "i"), "doc_id")
-    index = files.index(spark, str(tmp_path / "i"))
+    index.rebuild(docs, str(tmp_path / "i"), "doc_id")
+    stored = index.read(spark, str(tmp_path / "i"), "doc_id")
     for request, want in ((S.SearchRequest(terms=("That", "that")), {1, 2}), (S.SearchRequest(terms=("c(", "water")), {1}), (S.SearchRequest(phrase="That Water"), {1}), (S.SearchRequest(prefix="WAT"), {1, 2}), (S.SearchRequest(terms=("a.b",)), set()), (S.SearchRequest(terms=("nothing",), sort="relevance"), set())):
-        for by in (None, index):
+        for by in (None, stored):
             found = S.search(docs, request, by)
             assert {r["doc_id"] for r in found.page.collect()} == want and found.total.first()["n"] == len(want), request
-    best = S.search(docs, S.SearchRequest(terms=("c", "water"), mode="or", sort="relevance"), index).page.collect()
+    best = S.search(docs, S.SearchRequest(terms=("c", "water"), mode="or", sort="relevance"), stored).page.collect()
     assert [r["doc_id"] for r in best] == [1, 2] and "<em>c</em>(3)" in best[0]["highlight"]
-    assert S.bm25_by_index(index, ("water",)).count() == S.bm25(docs, ("water",), content="content").count() == 2
+    assert S.bm25_by_index(stored, ("water",)).count() == S.bm25(docs, ("water",), content="content").count() == 2
 
 
 def test_stream_equals_batch(spark, tree, tmp_path):
@@ -124,6 +222,33 @@ def test_stream_equals_batch(spark, tree, tmp_path):
     assert poll("2024-01-03") == 4
 
 
+def test_metadata_that_comes_a_poll_later(spark, tree, tmp_path):
+    folder, where = tree / "collections", [str(tree / "collections"), str(tmp_path / "t"), str(tmp_path / "s")]
+    told = []
+
+    def poll(day):
+        watch(spark, *where, str(tmp_path / "c"), f"2024-01-0{day}", report=told.append, missed=str(tmp_path / "m"), late="1 hour", index=str(tmp_path / "i")).awaitTermination()
+        return {r["path"].rpartition("/")[2] for r in spark.read.parquet(where[1]).collect()}
+
+    def put(name, text, at):
+        (folder / "South/2023/March/5" / name).write_text(text)
+        os.utime(folder / "South/2023/March/5" / name, (at, at))
+
+    now = time.time()
+    put("part8.html", PAGE.format("EARLY"), now)
+    assert "part8.html" not in poll(1)
+    put("part8_metadata.txt", "Part 8 Speakers:\nSpeaker 1: HON. E\n", now + 60)
+    assert "part8.html" in poll(2) and told[-1]["processed"] == 1
+    for k in (1, 2):  # time goes on in both streams, and the page that has no metadata is missed
+        put(f"later{k}.html", PAGE.format("LATER"), now + k * 90_000)
+        put(f"later{k}_metadata.txt", "Part 9 Speakers:\nSpeaker 1: HON. F\n", now + k * 90_000)
+        assert f"later{k}.html" in poll(2 + k)
+    assert [r["path"].rpartition("/")[2] for r in spark.read.parquet(str(tmp_path / "m")).collect()] == ["part1.html"]
+    (folder / "North Isles/2025/Feb/24/part1_metadata.txt").write_text("Part 1 Speakers:\nSpeaker 1: HON. L\n")
+    assert retried(spark, *where, "2024-01-09", str(tmp_path / "m"))["processed"] == 1
+    assert len(poll(9)) == 6
+
+
 def test_registry(spark, tmp_path):
     assert files.registry(spark, str(tmp_path / "none.json")).count() == 0
     (tmp_path / "bad.json").write_text("{broken")
