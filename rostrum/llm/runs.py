@@ -244,17 +244,16 @@ def periodic(text="text"):
     return text_column(make, RUNS)(text)
 
 
-def with_period(doc="doc_id", text="text"):
-    """A text column in which the words of one document in ten (crc32 of the id) repeat from some place on, period and place by the
-    id too; the others, and those without id or words, are as they are."""
-    h = F.crc32(F.col(doc).cast("string").cast("binary"))
-    g = F.floor(h / 10).cast("long")
-    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    n = F.size(words).cast("long")
-    a = g % n
-    p = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
-    made = F.concat_ws(" ", F.transform(words, lambda w, i: F.when(i >= a, F.get(words, (a + (i - a) % p).cast("int"))).otherwise(w)))
-    return F.when((h % 10 == 0) & F.col(text).rlike(WORD), made).otherwise(F.col(text))
+def with_period(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the words of one document in ten (crc32 of the id) repeating from some place on, period and place by the id
+    too; the others, and those without id or words, are as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    # a column of its own: within the function below it would be worked out anew for each word
+    rows = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("words"))
+    g, n = F.floor(F.col("h") / 10).cast("long"), F.size("words").cast("long")
+    rows = rows.select("doc_id", "text", "words", (g % n).alias("a"), (1 + F.floor((n - g % n) / (3 + g % 8))).cast("long").alias("p"))
+    again = F.transform("words", lambda w, i: F.when(i >= F.col("a"), F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))).otherwise(w))
+    return rows.select("doc_id", F.when(F.size("words") > 0, F.concat_ws(" ", again)).otherwise(F.col("text")).alias("text"))
 
 
 def run_report(docs: DataFrame) -> DataFrame:
@@ -264,7 +263,7 @@ def run_report(docs: DataFrame) -> DataFrame:
     Null and empty texts have no runs, four nulls and digests of nothing; repeated rows are judged alike, one by one; an empty table
     gives no rows; a text of any length is searched whole, in memory in proportion to it.
     """
-    found = docs.select("doc_id", with_period().alias("text")).select("doc_id", periodic("text").alias("r"))
+    found = with_period(docs).select("doc_id", periodic("text").alias("r"))
     best = F.element_at(F.array_sort(F.transform("r.runs", lambda x: F.struct((-x["length"]).alias("longest"), x["start"].alias("start"), x["period"].alias("period")))), 1)
     best = F.when(F.size("r.runs") > 0, best)
     lines = F.array_join(F.transform("r.runs", lambda x: F.concat(x["start"].cast("string"), F.lit(","), x["length"].cast("string"), F.lit(","), x["period"].cast("string"), F.lit("\n"))), "")
