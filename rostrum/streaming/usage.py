@@ -12,9 +12,14 @@ def history(events: DataFrame, most: int = 50) -> DataFrame:
     return events.withColumn("k", k).where(F.col("k") <= most).drop("k")
 
 
+def in_time(events: DataFrame, late: str) -> DataFrame:
+    """events with a watermark on ts, which takes times with a zone alone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def counts_by_window(events: DataFrame, length: str = "1 day", late: str | None = None, what: str = "event_type") -> DataFrame:
     """(start, what, n) in tumbling windows; with late, for streams: events later than that are dropped and windows closed."""
-    rows = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if late else events
+    rows = in_time(events, late) if late else events
     return rows.groupBy(F.window("ts", length).alias("w"), what).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), what, "n")
 
 
@@ -35,15 +40,14 @@ def sessions(events: DataFrame, gap_minutes: int = 30) -> DataFrame:
 def session_windows(events: DataFrame, gap_minutes: int = 30, late: str | None = None) -> DataFrame:
     """sessions as windows that the engine keeps as state: with late, for streams, a session is given once no event that late can
     join it, and later events are dropped."""
-    rows = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    rows = rows.withWatermark("ts", late) if late else rows
-    # a gap of exactly so many minutes doesn't end a session
-    session = F.session_window("ts", f"{gap_minutes * 60_000_000 + 1} microseconds").alias("session")
+    rows = in_time(events, late) if late else events
+    session = F.session_window("ts", f"{gap_minutes} minutes").alias("session")  # a gap of exactly that doesn't end it
     return rows.groupBy("user_id", session).agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session.start").alias("start"), "n")
 
 
 def dropped(query) -> int:
-    """Rows that a stream has dropped as they came after the watermark, over the progress that it remembers."""
+    """What a stream has dropped as it came after the watermark, over the progress that it remembers; rows of one batch that make one
+    session or window count once, as they are added up before."""
     return sum(s["numRowsDroppedByWatermark"] for p in query.recentProgress for s in p["stateOperators"])
 
 

@@ -272,13 +272,6 @@ def test_damaged_files_go_to_quarantine(spark, tmp_path):
     assert (good.count(), bad.count()) == (1, 1)
 
 
-def test_addresses():
-    got = files.jdbc_options("mysql://u:p%40w@host:3306/db?useSSL=false")
-    assert got == {"url": "jdbc:mysql://host:3306/db", "useSSL": "false", "user": "u", "password": "p@w"}
-    with pytest.raises(ValueError):
-        files.jdbc_options("host/db")
-
-
 def test_csv(spark, tmp_path):
     df = spark.createDataFrame([('say "x"', None)], "a string, b string")
     files.write_csv(df.coalesce(1), str(tmp_path / "c"))
