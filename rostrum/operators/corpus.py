@@ -40,6 +40,24 @@ def reconcile(store: DataFrame, index: DataFrame, key: str) -> DataFrame:
     return both.groupBy(F.when(F.col("i").isNull(), "store only").when(F.col("s").isNull(), "index only").otherwise("both").alias("side")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def with_known(rows: DataFrame, known: DataFrame, on: str, columns: tuple[str, ...], default: str = "Unknown") -> DataFrame:
+    """rows with what is known of them, and a default in these columns where nothing is, whichever side they come from."""
+    return rows.join(known, on, "left").withColumns({c: F.coalesce(c, F.lit(default)) for c in columns})
+
+
+def new_items(items: DataFrame, registry: DataFrame, by: str) -> DataFrame:
+    """Items that the registry of processed ones doesn't name; items without a name are new."""
+    return items.join(registry.select(by).distinct(), by, "left_anti")
+
+
+def backfilled(stored: DataFrame, derived: DataFrame, key: str, column: str) -> DataFrame:
+    """stored with a derived value in column where it has none of its own: null, empty or the sentinel; names that are stored stay, and
+    what the text doesn't name either keeps what it had."""
+    fresh = derived.select(key, F.col(column).alias(f"{column}_derived"))
+    value = F.when(is_named(column), F.col(column)).otherwise(F.coalesce(f"{column}_derived", column))
+    return stored.join(fresh, key, "left").withColumn(column, value).drop(f"{column}_derived")
+
+
 def latest(rows: DataFrame, key: str, when: str) -> DataFrame:
     """The newest row of each key."""
     return rows.withColumn("k", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(when), F.desc("file_hash")))).where("k = 1").drop("k")
@@ -83,6 +101,22 @@ def batch_summary(files: DataFrame) -> DataFrame:
     return files.agg(n.alias("files"), F.sum("speakers").alias("speakers"), F.sum("questions").alias("questions"), F.round(F.avg("speakers"), 1).alias("mean_speakers"), F.round(F.avg("questions"), 1).alias("mean_questions"), asked.alias("with_questions"), share(asked, n).alias("share"))
 
 
+def cohort_averages(files: DataFrame, modern: Column) -> DataFrame:
+    """(modern, files, mean_questions, mean_speakers) of files of either format."""
+    return files.groupBy(modern.alias("modern")).agg(F.count(F.lit(1)).alias("files"), F.round(F.avg("questions"), 6).alias("mean_questions"), F.round(F.avg("speakers"), 6).alias("mean_speakers"))
+
+
+def days_per_month(docs: DataFrame, day: str) -> DataFrame:
+    """(year, month, days): different days of the collection in each month; undated documents make a row of nulls without days."""
+    rows = docs.groupBy(F.year(day).cast("long").alias("year"), F.month(day).cast("long").alias("month"))
+    return rows.agg(F.countDistinct(day).alias("days"))
+
+
+def sitting_report(parts: DataFrame, sitting: str, number: str, is_question: Column) -> DataFrame:
+    """(sitting, parts, questions) of each sitting: the highest part number and how many parts are questions."""
+    return parts.groupBy(sitting).agg(F.max(number).cast("long").alias("parts"), F.count_if(is_question).alias("questions"))
+
+
 def best_worst(files: DataFrame, measure: str, key: str) -> DataFrame:
     """The first row with the greatest and with the least measure, by key where they tie."""
     best = F.min(F.struct((-F.col(measure)).alias("v"), F.col(key).alias("k")))
@@ -133,10 +167,12 @@ def citations(page: DataFrame, origin: str = "") -> DataFrame:
     return page.select(n.alias("number"), line.alias("line"))
 
 
-def json_export(page: DataFrame, query: str, exported: str) -> DataFrame:
-    """One JSON document of a page: query, results and the given date of export."""
-    rows = F.array_sort(F.collect_list(F.struct("doc_id", "title", F.date_format("sitting_date", "yyyy-MM-dd").alias("date"), "source", "speaker", "document_type")))
-    return page.agg(F.to_json(F.struct(F.lit(query).alias("query"), rows.alias("results"), F.lit(exported).alias("exportDate"))).alias("json"))
+def json_export(page: DataFrame, query: str, exported: str, filters: dict[str, str] | None = None, key: str = "doc_id") -> DataFrame:
+    """One JSON document of a page: query, the filters that were active, results by key and the given date of export. A page is what a
+    user has loaded, so one row holds it."""
+    rows = F.array_sort(F.collect_list(F.struct(key, "title", F.date_format("sitting_date", "yyyy-MM-dd").alias("date"), "source", "speaker", "document_type")))
+    active = F.create_map(*(F.lit(x) for pair in (filters or {}).items() for x in pair)) if filters else F.create_map().cast("map<string,string>")
+    return page.agg(F.to_json(F.struct(F.lit(query).alias("query"), active.alias("filters"), rows.alias("results"), F.lit(exported).alias("exportDate"))).alias("json"))
 
 
 def batches(rows: DataFrame, part: str, order: str, size: int) -> DataFrame:

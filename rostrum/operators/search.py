@@ -122,6 +122,14 @@ def by_template(name: str, now: date, member: str | None = None) -> SearchReques
     return replace(TEMPLATES[name], now=now, **({"speaker": member} if member else {}))
 
 
+def active_filters(r: SearchRequest) -> dict[str, str]:
+    """The request's filters as an export names them."""
+    out = {c: getattr(r, c) for c in ("source", "document_type", "speaker", "period") if getattr(r, c)}
+    out |= {"questions_only": "true"} if r.questions_only else {}
+    out |= {"from": str(r.dates[0]), "to": str(r.dates[1])} if r.dates else {}
+    return out | ({"day_in_history": f"{r.now:%m-%d}"} if r.day_in_history else {})
+
+
 def reads_texts(r: SearchRequest, index: Index | None) -> bool:
     """Whether finding the request's documents takes a pass over texts."""
     return index is None and bool(terms_of(r) or r.phrase or r.prefix or r.wildcard)

@@ -104,9 +104,9 @@ def state_upsert(spark, sf_dir):
 
 @query("SELECT o_orderkey, coalesce(c_mktsegment, 'Unknown') AS segment FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 4 <> 0) c ON o_custkey = c_custkey")
 def report_join(spark, sf_dir):
-    known = table(spark, sf_dir, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(known, "o_custkey", "left")
-    return rows.select("o_orderkey", F.coalesce("c_mktsegment", F.lit("Unknown")).alias("segment"))
+    """Orders as reports, customers as their sittings' metadata; a quarter of them lacks it."""
+    known = table(spark, sf_dir, "customer").where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_mktsegment").alias("segment"))
+    return C.with_known(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), known, "o_custkey", ("segment",)).select("o_orderkey", "segment")
 
 
 @query("SELECT CASE WHEN i.doc_id IS NULL THEN 'store only' WHEN s.doc_id IS NULL THEN 'index only' ELSE 'both' END AS side, count(*) AS n FROM (SELECT doc_id FROM documents) s FULL JOIN (SELECT doc_id FROM documents WHERE doc_id % 7 <> 0 UNION ALL SELECT -1 - doc_id FROM documents WHERE doc_id % 10 = 0) i ON s.doc_id = i.doc_id GROUP BY 1")
@@ -172,8 +172,7 @@ def batch_summary(spark, sf_dir):
 
 @query(f"SELECT starts_with(o_orderpriority, '1') OR starts_with(o_orderpriority, '2') AS modern, count(*) AS files, round(avg(questions), 6) AS mean_questions, round(avg(speakers), 6) AS mean_speakers FROM ({FILES_SQL}) f GROUP BY 1")
 def cohort_averages(spark, sf_dir):
-    modern = F.col("o_orderpriority").rlike("^[12]").alias("modern")
-    return sitting_files(spark, sf_dir).groupBy(modern).agg(F.count(F.lit(1)).alias("files"), F.round(F.avg("questions"), 6).alias("mean_questions"), F.round(F.avg("speakers"), 6).alias("mean_speakers"))
+    return C.cohort_averages(sitting_files(spark, sf_dir), F.col("o_orderpriority").rlike("^[12]"))
 
 
 @query(f"SELECT o_orderkey, CAST(questions AS VARCHAR) || '/' || CAST(speakers AS VARCHAR) || ' (' || CAST(coalesce(CASE WHEN speakers > 0 THEN round(100.0::DOUBLE * questions / speakers, 1) END, 0.0::DOUBLE) AS VARCHAR) || '%)' AS coverage FROM ({FILES_SQL}) f")
@@ -195,14 +194,12 @@ def status_tally(spark, sf_dir):
 
 @query("SELECT year(o_orderdate) AS year, month(o_orderdate) AS month, count(DISTINCT o_orderdate) AS days FROM orders GROUP BY 1, 2")
 def days_per_month(spark, sf_dir):
-    day = F.col("o_orderdate")
-    rows = table(spark, sf_dir, "orders").groupBy(F.year(day).cast("long").alias("year"), F.month(day).cast("long").alias("month"))
-    return rows.agg(F.countDistinct("o_orderdate").alias("days"))
+    return C.days_per_month(table(spark, sf_dir, "orders"), "o_orderdate")
 
 
 @query("SELECT l_orderkey, CAST(max(l_linenumber) AS BIGINT) AS parts, count(*) FILTER (l_returnflag = 'R') AS questions FROM lineitem GROUP BY l_orderkey")
 def sitting_report(spark, sf_dir):
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max("l_linenumber").cast("long").alias("parts"), F.count_if(F.col("l_returnflag") == "R").alias("questions"))
+    return C.sitting_report(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", F.col("l_returnflag") == "R")
 
 
 @query("SELECT l_orderkey, l_linenumber, 'part' || l_linenumber || CASE WHEN l_returnflag = 'R' THEN '_oral_question_' || CAST(sum(CAST(l_returnflag = 'R' AS INT)) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS BIGINT) ELSE '' END AS output_key FROM lineitem")
@@ -231,11 +228,6 @@ def export_csv_lines(spark, sf_dir):
     return C.csv_lines(docs_v(spark, sf_dir))
 
 
-@query()
-def export_json(spark, sf_dir):
-    return C.json_export(search.page(docs_v(spark, sf_dir)), "*", "2024-12-31")
-
-
 @query(D(f"SELECT number, '[' || number || '] ' || coalesce(speaker || '. ', '') || '(' || {LONG_DATE} || '). ' || title || '. ' || source || ' Hansard. Retrieved from /article?id=' || doc_key AS line FROM (SELECT *, CAST(row_number() OVER (ORDER BY sitting_date DESC NULLS LAST, ord, doc_id) AS INT) AS number FROM docs_v) x WHERE number <= 20"))
 def export_citations(spark, sf_dir):
     return C.citations(search.page(docs_v(spark, sf_dir)))
@@ -251,6 +243,18 @@ def index_view(spark, sf_dir):
     return C.index_view(docs_v(spark, sf_dir))
 
 
+EXPORTED = search.SearchRequest(document_type="Oral Question", speaker="HON. MEMBER C")
+RESULT = "'{' || concat_ws(',', " + ", ".join([json_field("doc_id", "doc_id", False), json_field("title", "title"), json_field("date", "strftime(sitting_date, '%Y-%m-%d')"), json_field("source", "source"), json_field("speaker", "speaker"), json_field("document_type", "document_type")]) + ") || '}'"
+PAGE = "SELECT * FROM docs_v WHERE document_type = 'Oral Question' AND (speaker = 'HON. MEMBER C' OR speaker2 = 'HON. MEMBER C') ORDER BY sitting_date DESC NULLS LAST, ord, doc_id LIMIT 20"
+
+
+@query(D(f"""SELECT '{{"query":"*","filters":{{"document_type":"Oral Question","speaker":"HON. MEMBER C"}},"results":[' || coalesce(string_agg({RESULT}, ',' ORDER BY doc_id), '') || '],"exportDate":"2024-12-31"}}' AS json FROM ({PAGE}) p"""))
+def export_json(spark, sf_dir):
+    """A page of a filtered search, with its filters."""
+    hits = search.matched(docs_v(spark, sf_dir), EXPORTED)
+    return C.json_export(search.page(hits), "*", "2024-12-31", search.active_filters(EXPORTED))
+
+
 @query("SELECT l_orderkey, '<ul>' || string_agg('<li>' || 'Part ' || CAST(l_linenumber AS VARCHAR) || ' ' || l_returnflag || '</li>', '' ORDER BY l_linenumber, l_returnflag) || '</ul>' AS html FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey")
 def contents_render(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("Part "), F.col("l_linenumber").cast("string"), F.lit(" "), "l_returnflag").alias("title"))

@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 from datetime import date
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.speakers import is_named
 from ..operators import corpus as C
+from ..operators import facets as B
+from ..operators import index as I
 from ..operators import search as S
+from ..sources import files
 from .registry import query
 from .views import checked_by, table, view
 
@@ -180,12 +185,61 @@ RANKED = f"""WITH t AS (SELECT doc_id, {TOKENS.format('content')} AS w FROM docs
     d AS (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM p WHERE tf > 0 GROUP BY term), r AS (SELECT doc_id, {SCORE} AS score, count(*) AS k FROM p JOIN d USING (term), s WHERE tf > 0 GROUP BY doc_id)"""
 
 
-@query(D("SELECT 1")[: -len("SELECT 1")].rstrip() + ", " + RANKED.removeprefix("WITH ") + f" SELECT doc_id, title, sitting_date, source, speaker, speaker2, document_type FROM docs_v JOIN r USING (doc_id) WHERE k = 2 AND document_type = 'Oral Question' ORDER BY score DESC, doc_id LIMIT 20")
+@query(D("SELECT 1")[: -len("SELECT 1")].rstrip() + ", " + RANKED.removeprefix("WITH ") + " SELECT doc_id, title, sitting_date, source, speaker, speaker2, document_type, score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INT) AS rank FROM docs_v JOIN r USING (doc_id) WHERE k = 2 AND document_type = 'Oral Question' ORDER BY score DESC, doc_id LIMIT 20")
 def search_relevance(spark, sf_dir):
-    """The page of a search by relevance over an index of the same table."""
+    """The page of a search by relevance over an index of the same table, in order, with scores."""
     docs = docs_v(spark, sf_dir)
-    index = S.Index(S.postings(docs, content="content"), S.doc_stats(docs, content="content"))
-    return S.search(docs, S.SearchRequest(terms=("With", "that!"), document_type="Oral Question", sort="relevance"), index).page.drop("highlight")
+    return S.search(docs, S.SearchRequest(terms=("With", "that!"), document_type="Oral Question", sort="relevance"), I.index_of(docs, content="content")).page.drop("highlight")
+
+
+PHRASES = ("Of the", "the the", "the of the", "and nothing like it")
+JOINED = "' ' || array_to_string(t, ' ') || ' '"
+
+
+@query(" UNION ALL ".join(f"SELECT '{p}' AS phrase, doc_id FROM (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents) x WHERE contains({JOINED}, ' {p.lower()} ')" for p in PHRASES))
+def phrase_by_index(spark, sf_dir):
+    """Phrases, with repeated words and over line ends, from positions alone."""
+    index = I.index_of(table(spark, sf_dir, "documents"))
+    return reduce(DataFrame.unionByName, (I.phrase_lookup(index, p).select(F.lit(p).alias("phrase"), "doc_id") for p in PHRASES))
+
+
+PATTERNS = {"th*": "th.*", "*ing": ".*ing", "W?th": "w.th", "t*n?": "t.*n.", "*a?a*": ".*a.a.*"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{p}' AS pattern, doc_id FROM (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents) x WHERE len(list_filter(t, lambda w: regexp_full_match(w, '{e}'))) > 0" for p, e in PATTERNS.items()))
+def pattern_by_index(spark, sf_dir):
+    """Prefixes, suffixes and wildcards over the term dictionary."""
+    index = I.index_of(table(spark, sf_dir, "documents"))
+    return reduce(DataFrame.unionByName, (I.pattern_lookup(index, p).select(F.lit(p).alias("pattern"), "doc_id") for p in PATTERNS))
+
+
+@query(text_check("len(list_filter(t, lambda w: regexp_full_match(w, 't.*n.'))) > 0"))
+def search_wildcard(spark, sf_dir):
+    return text_hits(spark, sf_dir, S.has_wildcard("text", "t*n?"))
+
+
+@query(f"SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({TOKENS.format('text')}) AS term FROM documents) x GROUP BY term")
+def term_dictionary(spark, sf_dir):
+    return I.index_of(table(spark, sf_dir, "documents")).terms
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, {TOKENS.format("CASE WHEN doc_id % 5 = 0 THEN concat('That changed ', text) ELSE text END")} AS t FROM documents WHERE doc_id % 7 <> 0)
+    SELECT doc_id, CAST(coalesce(len(t), 0) AS BIGINT) AS length, coalesce(contains({JOINED}, ' that changed '), false) AS changed, coalesce(list_contains(t, 'with'), false) AS has_with FROM d"""
+)
+def index_segments(spark, sf_dir):
+    """An index in three segments: half of the documents, the others with a fifth of all changed, and one that deletes a seventh of
+    all; the first two are merged before the third comes."""
+    docs, at = table(spark, sf_dir, "documents").select("doc_id", "text"), files.scratch(spark, "index")
+    changed = docs.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("That changed "), F.col("text"))).otherwise(F.col("text")))
+    I.rebuild(docs.where("doc_id % 2 = 0"), at, "doc_id", "text")
+    I.add_segment(changed.where("doc_id % 2 = 1 or doc_id % 5 = 0"), docs.where("doc_id % 5 = 0").select("doc_id"), at, "doc_id", "text")
+    I.merge(spark, at, "doc_id")
+    I.add_segment(docs.limit(0), docs.where("doc_id % 7 = 0").select("doc_id"), at, "doc_id", "text")
+    now = I.read(spark, at, "doc_id")
+    mark = lambda found, name: found.select("doc_id", F.lit(True).alias(name))
+    rows = now.stats.join(mark(I.phrase_lookup(now, "that changed"), "changed"), "doc_id", "left").join(mark(I.term_lookup(now.postings, ("with",)), "has_with"), "doc_id", "left")
+    return rows.select("doc_id", "length", F.coalesce("changed", F.lit(False)).alias("changed"), F.coalesce("has_with", F.lit(False)).alias("has_with"))
 
 
 HIGHLIGHT = r"""array_to_string(list_transform(list_filter(list_transform(range(0, greatest(1, CAST(ceil(length({0}) / 250.0) AS BIGINT))), lambda k: substring({0}, k * 250 + 1, 250)),
@@ -218,6 +272,20 @@ def facets_multi(spark, sf_dir):
     return S.field_facets(S.matched(docs_v(spark, sf_dir), S.SearchRequest(document_type="Oral Question")).select(*S.FACETS))
 
 
+@query(D(facets_sql("(SELECT * FROM docs_v WHERE document_type = 'Oral Question' AND (speaker = 'HON. MEMBER C' OR speaker2 = 'HON. MEMBER C')) q").replace("WHERE r <= 100", "")))
+def facets_bitmap(spark, sf_dir):
+    """Facets under two filters, one of them on either of two columns, from bitmaps of documents."""
+    filters = [[("document_type", "Oral Question")], [("speaker", "HON. MEMBER C"), ("speaker2", "HON. MEMBER C")]]
+    return B.bitmap_facets(B.bitmaps(docs_v(spark, sf_dir), S.FACETS), S.FACETS, filters)
+
+
+@query()
+def facet_sketches(spark, sf_dir):
+    """Distinct speakers of each source, estimated from sketches by source and month."""
+    docs = docs_v(spark, sf_dir).withColumn("month", F.trunc("sitting_date", "MM"))
+    return B.estimated(B.sketches(docs, ["source", "month"], ("speaker", "speaker2")), ("speaker", "speaker2"), ["source"])
+
+
 @query(
     D(
         """SELECT v.field, v.value, count(h.value) AS n FROM
@@ -263,10 +331,8 @@ def search_full(spark, sf_dir):
     return S.search_rows(docs_v(spark, sf_dir), FULL)
 
 
-def template(spark, sf_dir, name, now):
-    from dataclasses import replace
-
-    return S.search_rows(docs_v(spark, sf_dir), replace(S.TEMPLATES[name], now=now))
+def template(spark, sf_dir, name, now, member=None):
+    return S.search_rows(docs_v(spark, sf_dir), S.by_template(name, now, member))
 
 
 @query(full_sql("document_type = 'Oral Question' AND sitting_date BETWEEN DATE '2024-12-01' AND DATE '2024-12-31'", "''"))
@@ -282,3 +348,8 @@ def template_ministerial(spark, sf_dir):
 @query(full_sql("month(sitting_date) = 12 AND day(sitting_date) = 6 AND year(sitting_date) < 2024", "''"))
 def template_this_day(spark, sf_dir):
     return template(spark, sf_dir, "this_day", HISTORY)
+
+
+@query(full_sql("speaker = 'HON. MEMBER C' OR speaker2 = 'HON. MEMBER C'", "''"))
+def template_by_member(spark, sf_dir):
+    return template(spark, sf_dir, "by_member", NOW, "HON. MEMBER C")

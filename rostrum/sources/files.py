@@ -83,13 +83,14 @@ def registry(spark: SparkSession, path: str) -> DataFrame:
 
 def reports(spark: SparkSession, folder: str) -> DataFrame:
     """Reports of processed days with their sittings' metadata, Unknown where that lacks."""
+    from ..operators.corpus import with_known
+
     def read(name, schema):
         rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).json(folder)
         return rows.withColumn("day", F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", ""))
 
     sittings = read("metadata.json", SITTING).select("day", "session", "meeting", F.col("date").alias("sitting"))
-    out = read("processing_report.json", REPORT).join(sittings, "day", "left")
-    return out.withColumns({c: F.coalesce(c, F.lit("Unknown")) for c in ("date", "parliament", "session", "meeting")})
+    return with_known(read("processing_report.json", REPORT), sittings, "day", ("date", "parliament", "session", "meeting"))
 
 
 def described(spark: SparkSession, df: DataFrame) -> DataFrame:
