@@ -3,10 +3,15 @@
 On disk an index is a folder of versions. Each segment holds the postings of its documents in order of terms, their lengths, the
 dictionary in order of terms and of terms read backwards, and the keys of older documents that it hides. What is live is an
 anti-join of postings with the keys that later segments hide; a merge folds segments into one.
+
+A whole version also holds impacts, what a term adds to a document's score but for its rarity, in blocks of documents of like length,
+and the greatest impact of each term in each block: the best of a search are found in blocks whose bound reaches the score of the last
+of them, without the others.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 from functools import reduce
@@ -19,6 +24,9 @@ from ..sources import versions
 
 #: What is written last; a segment without it isn't read.
 MARK = "documents/_SUCCESS"
+K1, B = 1.2, 0.75
+#: Documents in a block, a power of two, and blocks that are scored first to learn what score the best have.
+BLOCK_BITS, FIRST_BLOCKS = 6, 32
 LAST = chr(0x10FFFF)
 
 
@@ -39,8 +47,8 @@ def positional(docs: DataFrame, key: str = "doc_id", content: str = "text") -> D
 
 
 def doc_stats(docs: DataFrame, key: str = "doc_id", content: str = "text") -> DataFrame:
-    """(key, length) of all documents; null texts have no tokens."""
-    return docs.select(key, F.coalesce(F.size(tokens(content)), F.lit(0)).cast("long").alias("length"))
+    """(key, length) of all documents; null texts have no length, and don't count in means."""
+    return docs.select(key, F.size(tokens(content)).cast("long").alias("length"))
 
 
 def dictionary(rows: DataFrame) -> DataFrame:
@@ -50,13 +58,16 @@ def dictionary(rows: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Index:
-    """postings (term, key, tf, and positions for phrases), stats (key, length), terms (term, df) and backwards (reversed, df)."""
+    """postings (term, key, tf, and positions for phrases), stats (key, length), terms (term, df), backwards (reversed, df), and of a whole
+    version impacts (term, block, key, impact) and blocks (term, block, n, most)."""
 
     postings: DataFrame
     stats: DataFrame
     terms: DataFrame | None = None
     backwards: DataFrame | None = None
     key: str = "doc_id"
+    impacts: DataFrame | None = None
+    blocks: DataFrame | None = None
 
 
 def index_of(docs: DataFrame, key: str = "doc_id", content: str = "text") -> Index:
@@ -141,11 +152,75 @@ def pattern_lookup(index: Index, typed: str) -> DataFrame:
     return rows.join(terms_like(index, typed), "term", "left_semi").select(index.key).distinct()
 
 
+# Ranking
+
+
+def rarity(n: float, df: float) -> float:
+    return math.log(1 + (n - df + 0.5) / (df + 0.5))
+
+
+def impact(tf, length, mean: float, k1: float = K1, b: float = B) -> Column:
+    """What a term adds to a document's score, but for its rarity."""
+    return F.col(tf) * (k1 + 1) / (F.col(tf) + k1 * (1 - b + b * F.col(length) / mean))
+
+
+@dataclass(frozen=True)
+class Ranked:
+    """scores (key, score) of the documents in the blocks that were needed; needed and all blocks with one of the terms."""
+
+    scores: DataFrame
+    needed: DataFrame
+    bounds: DataFrame
+
+
+def ranked(index: Index, terms: tuple[str, ...], most: int, hits: DataFrame | None = None) -> Ranked:
+    """Scores of documents among which are the best so many of those with any of the terms (and among hits, if given).
+
+    A block's bound is the sum over terms of rarity and greatest impact. The blocks with the highest bounds are scored first, as many as
+    rows are wanted and FIRST_BLOCKS at least (of one term each holds a document that reaches its bound); then all whose bound reaches
+    the score of the last of the best there. The driver gets a row for each term, those blocks, and the best.
+    """
+    terms = tuple(dict.fromkeys(words_of(terms)))
+    if not terms:
+        raise ValueError("ranking needs a term")
+    n = index.stats.count()
+    own = index.blocks.where(F.col("term").isin(*terms))
+    weights = {r["term"]: rarity(n, r["df"]) for r in own.groupBy("term").agg(F.sum("n").alias("df")).collect()}
+    weight = F.lit(0.0)
+    for term, w in weights.items():
+        weight = F.when(F.col("term") == term, F.lit(w)).otherwise(weight)
+    bounds = own.groupBy("block").agg(F.sum(weight * F.col("most")).alias("bound"))
+    first = [r["block"] for r in bounds.orderBy(F.desc("bound"), "block").limit(max(FIRST_BLOCKS, most)).collect()]
+
+    def scored(rows: DataFrame) -> DataFrame:
+        rows = rows.where(F.col("term").isin(*terms))
+        rows = rows if hits is None else rows.join(hits.select(index.key), index.key, "left_semi")
+        return rows.groupBy(index.key).agg(F.round(F.sum(weight * F.col("impact")), 6).alias("score"))
+
+    best = scored(index.impacts.where(F.col("block").isin(first))).orderBy(F.desc("score"), index.key).limit(most).collect()
+    least = best[-1]["score"] if len(best) == most else 0.0
+    needed = bounds.where((F.col("bound") >= least - 1e-6) | F.col("block").isin(first)).select("block")
+    return Ranked(scored(index.impacts.join(needed, "block", "left_semi")), needed, bounds)
+
+
 # Segments
 
 
+def write_blocks(spark: SparkSession, at: str, key: str) -> None:
+    """Impacts in order of terms and blocks, and each term's blocks, of the postings and numbers of a version. Documents are numbered by
+    length, so that blocks differ in what they can reach."""
+    numbers = spark.read.parquet(f"{at}/numbers")
+    mean = numbers.agg(F.avg("length")).first()[0] or 1.0
+    rows = spark.read.parquet(f"{at}/postings").select("term", key, F.col("tf").cast("double").alias("tf")).join(numbers, key)
+    rows = rows.select("term", "block", key, impact("tf", "length", mean).alias("impact"))
+    rows.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{at}/impacts")
+    blocks = spark.read.parquet(f"{at}/impacts").groupBy("term", "block").agg(F.count(F.lit(1)).alias("n"), F.max("impact").alias("most"))
+    blocks.repartitionByRange("term", "block").sortWithinPartitions("term", "block").write.parquet(f"{at}/blocks")
+
+
 def write_version(rows: DataFrame, stats: DataFrame, hidden: DataFrame | None, at: str, key: str) -> None:
-    """One version: postings, the dictionary both ways, hidden keys, and the documents' lengths with the mark at last."""
+    """One version: postings, the dictionary both ways, for a segment the hidden keys, for a whole one blocks, and the documents' lengths
+    with the mark at last."""
     spark = rows.sparkSession
     rows.repartitionByRange("term").sortWithinPartitions("term", key).write.parquet(f"{at}/postings")  # a term's rows are few row groups
     terms = dictionary(spark.read.parquet(f"{at}/postings").select("term"))
@@ -154,7 +229,13 @@ def write_version(rows: DataFrame, stats: DataFrame, hidden: DataFrame | None, a
     backwards.repartitionByRange("reversed").sortWithinPartitions("reversed").write.parquet(f"{at}/backwards")
     if hidden is not None:
         hidden.select(key).distinct().write.parquet(f"{at}/hidden")
-    stats.write.parquet(f"{at}/documents")
+        stats.select(key, "length").write.parquet(f"{at}/documents")
+        return
+    # numbers are drawn once and written: the ranges of a sort aren't the same each time
+    numbered = stats.repartitionByRange("length", key).sortWithinPartitions("length", key).select(key, "length", F.shiftright(F.monotonically_increasing_id(), BLOCK_BITS).alias("block"))
+    numbered.write.parquet(f"{at}/numbers")
+    write_blocks(spark, at, key)
+    spark.read.parquet(f"{at}/numbers").select(key, "length").write.parquet(f"{at}/documents")
 
 
 def rebuild(docs: DataFrame, path: str, key: str = "doc_key", content: str = "content") -> None:
@@ -182,8 +263,9 @@ def read(spark: SparkSession, path: str, key: str = "doc_key") -> Index:
 
     later = [(k, p) for k, p in enumerate(found) if not versions.is_whole(p)]
     terms, backwards = all_of("terms").drop("segment"), all_of("backwards").drop("segment")
-    if not later or len(found) == 1:
-        return Index(all_of("postings").drop("segment"), all_of("documents").drop("segment"), terms, backwards, key)
+    if len(found) == 1:
+        blocks = {} if later else {name: spark.read.parquet(f"{found[0]}/{name}") for name in ("impacts", "blocks")}
+        return Index(all_of("postings").drop("segment"), all_of("documents").drop("segment"), terms, backwards, key, **blocks)
     hidden = reduce(DataFrame.unionByName, (spark.read.parquet(f"{p}/hidden").select(F.col(key).alias("hidden_key"), F.lit(k).alias("by")) for k, p in later))
     hidden = hidden.groupBy("hidden_key").agg(F.max("by").alias("by"))
 

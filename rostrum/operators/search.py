@@ -16,10 +16,9 @@ from pyspark.sql import functions as F
 from ..functions.dates import range_start
 from ..functions.text import tokens
 from ..sources.files import kept
-from .index import Index, Pattern, doc_stats, pattern_lookup, phrase_lookup, postings, term_lookup, words_of
+from .index import K1, B, Index, Pattern, doc_stats, pattern_lookup, phrase_lookup, postings, ranked, term_lookup, words_of
 
 __all__ = ["Index", "SearchRequest", "doc_stats", "postings", "search", "term_lookup", "words_of"]
-K1, B = 1.2, 0.75
 FRAGMENT, FRAGMENTS = 250, 3
 PAGE_ROWS = 20
 FACETS = ("source", "document_type", "speaker", "speaker2")
@@ -291,7 +290,10 @@ def search(docs: DataFrame, r: SearchRequest, index: Index | None = None, key: s
     hits = hits.select(*dict.fromkeys((key, "sitting_date", "ord", *r.facets)))
     hits = kept(hits) if reads_texts(r, index) else hits
     if r.sort == "relevance" and terms:
-        scores = bm25_by_index(index, terms) if index else bm25(docs, terms, key, "content")
+        if index and index.blocks is not None:
+            scores = ranked(index, terms, r.offset + r.rows, hits).scores
+        else:
+            scores = bm25_by_index(index, terms) if index else bm25(docs, terms, key, "content")
         best, order = hits.select(key).join(scores, key), (F.desc("score"), F.col(key))
     else:
         best, order = hits.select(key, "sitting_date", "ord", F.lit(None).cast("double").alias("score")), (F.col("sitting_date").desc_nulls_last(), F.col("ord"), F.col(key))

@@ -2,9 +2,11 @@
 
 import json
 import os
+import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from rostrum.operators import index, ingest
 from rostrum.operators import search as S
@@ -148,6 +150,27 @@ def test_segments_equal_a_rebuild(spark, tree, tmp_path):
     assert index.merge(spark, at) == 2 and len(list((tmp_path / "i").iterdir())) < 5
 
 
+def test_the_best_are_found_in_few_blocks(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(index, "BLOCK_BITS", 3)
+    monkeypatch.setattr(index, "FIRST_BLOCKS", 4)
+    rng = random.Random(7)
+    rare = [f"w{k}" for k in range(40)]
+    texts = [" ".join(rng.choice(rare if rng.random() < 0.1 else ["the", "of", "and"]) for _ in range(rng.choice([5, 20, 80, 300]))) for _ in range(1500)] + [None, "", "the", "the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string").repartition(3)
+    index.rebuild(docs, str(tmp_path / "i"), "doc_id")
+    by = index.read(spark, str(tmp_path / "i"), "doc_id")
+    order = lambda df, k: [tuple(r) for r in df.orderBy(F.desc("score"), "doc_id").limit(k).collect()]
+    fewer = 0
+    for terms in (("w1",), ("w1", "w2"), ("w3", "the"), ("of", "and"), ("none",), ("w5", "none", "W6")):
+        found = index.ranked(by, terms, 20)
+        assert order(found.scores, 20) == order(S.bm25_by_index(by, terms), 20) == order(S.bm25(docs, terms, content="content"), 20), terms
+        fewer += found.needed.count() < found.bounds.count()
+        hits = docs.where("doc_id % 3 = 0")
+        assert order(index.ranked(by, terms, 5, hits).scores, 5) == order(S.bm25_by_index(by, terms).join(hits, "doc_id", "left_semi"), 5)
+    few = index.ranked(by, ("w1",), 20)
+    assert fewer >= 4 and few.needed.count() < few.bounds.count() / 2
+
+
 def test_a_segment_that_is_added_twice_counts_once(spark, tree, tmp_path, monkeypatch):
     where = [str(tree / "collections"), str(tmp_path / "t"), str(tmp_path / "s")]
     save = ingest.save_state
