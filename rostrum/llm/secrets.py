@@ -9,6 +9,7 @@ mandatory trigrams scan every text. Every candidate is verified with the express
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from re import _constants as K
 from re import _parser as parser
@@ -27,13 +28,50 @@ FOUND = "array<struct<kind: string, start: int, end: int>>"
 
 @dataclass(frozen=True)
 class Rule:
-    """Matches of pattern, leftmost and non-overlapping; those whose group is shorter than least code points are dropped."""
+    """Matches of pattern, leftmost and non-overlapping; those whose group is shorter than least code points are dropped. finder, if
+    given, is a function of (compiled pattern, text) to the same matches, for patterns that a plain search would try from each place of a
+    long run."""
 
     kind: str
     pattern: str
     flags: int = 0
     group: int = 0
     least: int = 0
+    finder: Callable[[re.Pattern, str], Iterator[re.Match]] | None = None
+
+
+TOKEN_RUN = re.compile(r"[A-Za-z0-9_-]+")
+SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
+
+
+def token_matches(compiled: re.Pattern, text: str) -> Iterator[re.Match]:
+    """Matches that begin with eyJ in a run of token characters. If the first eyJ of a run fails, so do the run's others: what
+    follows the run is the same, and they have less of it."""
+    at = text.find("eyJ")
+    while at >= 0:
+        found = compiled.match(text, at)
+        if found:
+            yield found
+        at = text.find("eyJ", found.end() if found else TOKEN_RUN.match(text, at).end())
+
+
+def login_matches(compiled: re.Pattern, text: str) -> Iterator[re.Match]:
+    """Matches with a scheme before "://": from the first letter of the run of scheme characters that ends there, which the match
+    before hasn't taken."""
+    end, at = 0, text.find("://")
+    while at >= 0:
+        first = start = at
+        while start > end and text[start - 1] in SCHEME:
+            start -= 1
+            if text[start].isalpha():
+                first = start
+        found = compiled.match(text, first) if first < at else None
+        if found:
+            yield found
+            end = found.end()
+        else:
+            end = max(end, at)  # no match reaches over it
+        at = text.find("://", max(at + 3, end))
 
 
 # The three base kinds of the contract, in its order, then public formats of well-known credentials.
@@ -47,9 +85,9 @@ MORE = (
     Rule("pem", r"""-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----(?:(?:(?!-----BEGIN )[\s\S])*?-----END (?:[A-Z]+ ){0,3}PRIVATE KEY-----|(?:(?:\s|\\[nr])*(?:(?:Proc-Type|DEK-Info|Comment):[^\r\n\\]*|[A-Za-z0-9+/]{16,}={0,2}(?:(?:\r?\n|\\n)[A-Za-z0-9+/]{1,15}(?=[\x20\t]*(?:[\r\n\\]|\Z)))?|[A-Za-z0-9+/]{2,}={1,2}))*)"""),
     Rule("forge", r"gh[opsu]_[A-Za-z0-9]{36,}"),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", finder=token_matches),
     Rule("maps", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("login", r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@]+:[^\s/:@]{3,}@"),
+    Rule("login", r"[A-Za-z][A-Za-z0-9+.-]*://[^\s/:@]+:[^\s/:@]{3,}@", finder=login_matches),
 )
 RULES = BASE + MORE
 
@@ -159,7 +197,7 @@ class Index:
 
 
 def matches(rule: Rule, compiled: re.Pattern, text: str):
-    for m in compiled.finditer(text):
+    for m in rule.finder(compiled, text) if rule.finder else compiled.finditer(text):
         if m.end(rule.group) - m.start(rule.group) >= rule.least:
             yield m.start(), m.end()
 
@@ -196,7 +234,8 @@ def joined(found):
 def secret_report(docs: DataFrame) -> DataFrame:
     """doc_id, counts and digests of the base kinds, and all spans, for every row of docs.
 
-    Null and empty texts have no spans; repeated rows are reported alike; other columns are left out.
+    Null and empty texts have no spans; repeated rows are reported alike; spans that begin together are in the rules' order; an empty
+    table gives no rows; a text of any length is searched whole, in time in proportion to it; other columns are left out.
     """
     base = [r.kind for r in BASE]
     found = docs.select("doc_id", secret_spans(docs["text"]).alias("s")).select("doc_id", F.col("s.found").alias("found"))
@@ -205,7 +244,10 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame, mark: str = "[redacted]") -> DataFrame:
-    """docs with every span of its texts replaced by a mark (overlapping spans by one) and n_chars, where there is one, set anew."""
+    """docs with every span of its texts replaced by a mark (overlapping spans by one) and n_chars, where there is one, set anew.
+
+    Null texts stay null, repeated rows are treated alike, long texts whole; an empty table gives no rows.
+    """
 
     def make():
         def apply(texts, spans):
