@@ -193,7 +193,7 @@ def decoded(data: bytes) -> Iterator[dict]:
     magic, at = struct.unpack_from(order + "HI", data, 2)
     if magic != 42:
         raise ValueError(f"version {magic}")
-    seen = set()
+    seen, spent = set(), 0.0
     while at and at not in seen:  # a loop of directories ends
         seen.add(at)
         tags, at = directory(data, at, order)
@@ -218,6 +218,9 @@ def decoded(data: bytes) -> Iterator[dict]:
         # in bytes of samples, an image of what these parts can stand for, or a part of one, is no larger than this
         if max(height * width * channels * bits // 8, part_bytes) > len(data) * GROWTH[compression] + 64:
             raise ValueError(f"size {width} x {height} x {channels} is beyond the data")
+        spent += height * -(-width * channels * bits // 8) / GROWTH[compression]
+        if spent > len(data) + 64:  # pages that share parts; of parts of their own all pages together are no larger
+            raise ValueError(f"the sum of pages, {len(seen)} so far, is beyond the data")
         if min(len(places), len(sizes)) < across * down * planes:
             raise ValueError(f"{min(len(places), len(sizes))} of {across * down * planes} parts")
         image = np.zeros((height, width, channels), dtype=np.uint16 if bits == 16 else np.uint8)
