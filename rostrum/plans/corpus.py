@@ -291,3 +291,23 @@ def stream_ingest(spark, sf_dir):
     sink, checkpoint = files.scratch(spark, "events"), files.scratch(spark, "stream")
     streams.copied(spark, f"{sf_dir}/events.parquet", sink, checkpoint, lambda rows: rows.select("event_id", "user_id", "ts", "event_type")).awaitTermination()
     return spark.read.parquet(sink)
+
+
+def streamed(spark, sf_dir, transform):
+    """What a stream over events gives by append, once its watermark has passed."""
+    sink = files.scratch(spark, "usage")
+    streams.copied(spark, f"{sf_dir}/events.parquet", sink, files.scratch(spark, "stream"), transform).awaitTermination()
+    return spark.read.parquet(sink)
+
+
+@query("SELECT user_id, min(ts) AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM (SELECT *, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w > INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) a) b GROUP BY user_id, session HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY")
+def session_stream(spark, sf_dir):
+    """Sessions as state of a stream; those that an event two days late could still join are open."""
+    return streamed(spark, sf_dir, lambda rows: usage.session_windows(rows.select("user_id", "ts"), late="2 days")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("SELECT start, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY n DESC, event_type) AS k FROM (SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2) a WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY) b WHERE k <= 3")
+def trending_stream(spark, sf_dir):
+    """The commonest events of each day from windows that a stream has closed."""
+    counts = streamed(spark, sf_dir, lambda rows: usage.counts_by_window(rows, late="2 days"))
+    return usage.top_of_windows(counts).withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
@@ -122,13 +124,37 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+#: Paths of what was kept for this process, which go when it ends.
+KEPT: list[str] = []
+
+
 def kept(rows: DataFrame) -> DataFrame:
-    """Rows that several readers use, written once to the shared folder and read back."""
+    """Rows that several readers use, written once to the shared folder and read back; they are there until forget() or the end of the process."""
     path = scratch(rows.sparkSession, "kept")
+    KEPT.append(path)
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def forget(spark: SparkSession, since: int = 0) -> None:
+    """Removes what was kept, but for the first so many; nothing that still reads it may be used after."""
+    while len(KEPT) > since:
+        remove(spark, KEPT.pop())
+
+
+@atexit.register
+def _forget_all() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark and KEPT:
+        with contextlib.suppress(Exception):  # the session may have ended already
+            forget(spark)
+
+
 def write_summary(summary: DataFrame, path: str) -> None:
     """A batch's summary as Markdown and as JSON, below one folder."""
     from ..operators.corpus import summary_lines
