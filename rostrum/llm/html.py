@@ -250,6 +250,7 @@ def main_text(page="html"):
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """page_id, url, text and n_chars for every row of pages. Null or empty pages give empty text; repeated rows are taken alike;
-    broken markup is read as far as it goes; other columns are left out."""
+    """page_id, url, text and n_chars for every row of pages. Null or empty pages give empty text; repeated rows are taken alike; of
+    nodes with equal sums the first is taken; long pages are read whole; broken markup is read as far as it goes; an empty table
+    gives no rows; other columns are left out."""
     return pages.select("page_id", "url", main_text(pages["html"]).alias("text")).withColumn("n_chars", F.length("text").cast("long"))

@@ -85,14 +85,15 @@ def mix_report(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target and taken for every row of docs.
 
     Null texts have size 0, a null source is a source of its own, repeated rows (equal doc_id) draw alike, sources without a
-    word have target 0, and an empty table gives no rows.
+    word have target 0, sources of equal size are told apart by name, long texts are counted whole, and an empty table gives no rows.
     """
     out, name = rated(docs.select("doc_id", "source", "text"))
     return out.select("doc_id", f"{name}.size", f"{name}.source_size", f"{name}.target", (F.col(f"{name}.size") * F.col(f"{name}.copies")).alias("taken"))
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    """The mix itself: each row of docs as often as its copies say, with its columns as they are."""
+    """The mix itself: each row of docs as often as its copies say, with its columns as they are. Rows of size 0 (null and empty texts)
+    follow their source's rate too; repeated rows draw alike; an empty table gives no rows."""
     out, name = rated(docs)
     return out.withColumn(name, F.explode(F.array_repeat(F.lit(1), F.col(f"{name}.copies").cast("int")))).select(docs.columns)
 

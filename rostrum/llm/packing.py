@@ -66,7 +66,8 @@ def packed(docs: DataFrame, length: int = LENGTH, path: str | None = None, keep_
     """One row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids, if they are kept).
 
     Null and empty texts are one piece of the closing id; repeated rows are packed apart; an empty table gives no rows; other
-    columns are left out. Sequence ids are unique over all groups, not gapless.
+    columns are left out. A text of more tokens than a sequence is cut into several pieces; pieces of one length are packed in
+    the order of their rows. Sequence ids are unique over all groups, not gapless.
     """
     cut = stored(docs.select("doc_id", pieces(docs["text"], length, path=path, keep_ids=keep_ids).alias("p")).select("doc_id", "p.doc_tokens", "p.pieces"))
     groups = max(1, -(-cut.count() // GROUP_ROWS))

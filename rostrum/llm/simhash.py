@@ -104,7 +104,8 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id, bits and component_id (the least doc_id linked to it, through others too) for every row of docs.
 
     Null and wordless texts share fingerprint zero and are linked like others. Repeated rows are one node. A null doc_id is
-    the least of none but of rows that are linked to no other. Other columns are left out; an empty table gives no rows.
+    the least of none but of rows that are linked to no other. Texts of any length are read whole. Other columns are left out; an empty
+    table gives no rows.
     """
     marked = cut(docs.select("doc_id", fingerprint(docs["text"], words).alias("bits")))
     nodes = cut(marked.groupBy("bits").agg(F.min("doc_id").alias("least")))
@@ -280,7 +281,7 @@ def one_of_each(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     """docs without near copies: of texts linked at the similarity (through others too), the row of the least doc_id stays.
 
     Equal texts are one node, named by their 64-bit hash; null texts are one too. Of repeated rows one stays. A null doc_id
-    counts as the least. All columns stay as they are.
+    counts as the least. Texts of any length are read whole; an empty table gives no rows. All columns stay as they are.
     """
     node, key = unused(docs, "node"), unused(docs, "key")
     on = [node, key]

@@ -296,7 +296,8 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     A text's first document is the row of its hash and least doc_id. Texts are joined by these two three times, over one shuffle
     of docs (so the same columns each time) that the plan reuses, and copies of one text are spread by their ids. Null texts are empty. A document given twice
     (equal doc_id and text) is one, and both rows get the same values; of different texts under one doc_id the one with the
-    lesser hash is earlier; a null doc_id is earlier than any. Other columns are left out; an empty table gives no rows.
+    lesser hash is earlier; a null doc_id is earlier than any. Long texts are searched in overlapping pieces. Other columns are left out; an
+    empty table gives no rows.
     """
     on = ["node", "id"]
     text, none = F.coalesce("text", F.lit("")), F.lit(-(1 << 63))
