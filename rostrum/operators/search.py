@@ -142,13 +142,15 @@ def matched(docs: DataFrame, r: SearchRequest, index: Index | None = None) -> Da
         out = out.where(has_phrase("content", (r.phrase,))) if r.phrase else out
         out = out.where(has_prefix("content", r.prefix)) if r.prefix else out
         return out.where(has_wildcard("content", r.wildcard)) if r.wildcard else out
+    phrase = words_of((r.phrase,))
+    patterns = ([f"{r.prefix}*"] if r.prefix else []) + ([r.wildcard] if r.wildcard else [])
+    if not (terms or phrase or patterns):
+        return out.where("content is not null")
     if terms:
         out = out.join(term_lookup(index.postings, terms, r.mode, index.key), index.key, "left_semi")
-    elif not (r.phrase or r.prefix or r.wildcard):
-        out = out.where("content is not null")
-    if words_of((r.phrase,)):
+    if phrase:
         out = out.join(phrase_lookup(index, r.phrase), index.key, "left_semi")
-    for typed in ([f"{r.prefix}*"] if r.prefix else []) + ([r.wildcard] if r.wildcard else []):
+    for typed in patterns:
         out = out.join(pattern_lookup(index, typed), index.key, "left_semi")
     return out
 
