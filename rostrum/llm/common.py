@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -86,6 +88,16 @@ def slices(texts: pa.Array):
         at = end
 
 
+def memory_returned() -> None:
+    """Gives what earlier tasks of this worker have freed back to the machine, for tasks that need much: workers outlive their tasks, and
+    an executor's memory is shared by all of its cores."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def bounded_batches() -> None:
     """Lowers the session's limit on the bytes of an Arrow batch (64 MB by itself) to BATCH_BYTES: a batch stands several times in
     an executor's memory, inside the JVM and out of it, for each of its cores."""

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_column
+from .common import memory_returned, stored, text_column
 from .tokens import WordTokens
 
 LENGTH = 2048
@@ -29,6 +29,7 @@ def pieces(text="text", length: int = LENGTH, closing: int = CLOSING, path: str
     """A struct column with doc_tokens and pieces (PIECES; ids only if they are to be kept). A null text has the closing id alone."""
 
     def make():
+        memory_returned()
         words = WordTokens(path)
         end = struct.pack("<I", closing)
 
