@@ -149,9 +149,9 @@ def forget(spark: SparkSession, since: int = 0) -> None:
 
 @atexit.register
 def _forget_all() -> None:
-    spark = SparkSession.getActiveSession()
-    if spark and KEPT:
-        with contextlib.suppress(Exception):  # the session may have ended already
+    with contextlib.suppress(Exception):  # the session may have ended already
+        spark = SparkSession.getActiveSession() if KEPT else None
+        if spark:
             forget(spark)
 
 
