@@ -250,7 +250,7 @@ def with_period(docs: DataFrame) -> DataFrame:
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
     # a column of its own: within the function below it would be worked out anew for each word
     rows = docs.select("doc_id", "text", h.alias("h"), F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).alias("words"))
-    g, n = F.floor(F.col("h") / 10).cast("long"), F.size("words").cast("long")
+    g, n = F.floor(F.col("h") / 10).cast("long"), F.nullif(F.size("words").cast("long"), F.lit(0).cast("long"))
     rows = rows.select("doc_id", "text", "words", (g % n).alias("a"), (1 + F.floor((n - g % n) / (3 + g % 8))).cast("long").alias("p"))
     again = F.transform("words", lambda w, i: F.when(i >= F.col("a"), F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))).otherwise(w))
     return rows.select("doc_id", F.when(F.size("words") > 0, F.concat_ws(" ", again)).otherwise(F.col("text")).alias("text"))
