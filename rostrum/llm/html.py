@@ -6,9 +6,11 @@ links in the node and in the whole body). A node's density sum adds up its child
 sum holds the article. The least density on the path from the body to the densest node is the threshold: as long as
 the parent of the chosen node reaches it by its own direct children, the choice moves up.
 
-Elements that never hold article text (menus, headers, footers, sidebars, forms, scripts, notices, adverts, comments) are
-taken out first, by their tags and by the words of their class, id and role. Where density's choice lies in what the page marks
-as its article (article, main), all of that is taken, so that a short title isn't cut off.
+The choice is made over all that a page shows, menus and adverts included; only what shows no text (head, scripts, styles, hidden
+elements) is left out. Where it lies in what the page marks as its article (article, main), all of that is taken, so that a short
+title isn't cut off. Inside the choice, elements that are none of an article's (menus, headers, footers, sidebars, forms, notices,
+adverts, comments) go by their tags and by the words of their class, id and role. A choice that lies in such an element, or loses
+a fifth of its text to them, held part of the frame: density then chooses once more from what is left.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ CLOSES_P = BLOCK - {"br", "option", "td", "th", "tr", "tbody", "thead", "tfoot",
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tbody", "thead", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th")}
 SCOPE = frozenset("html body table ul ol dl select div article section main td th".split())
 P_SCOPE = frozenset("html body table td th caption button object template".split())
-DROPPED = frozenset("head script style nav footer aside form noscript iframe button select textarea input svg canvas template dialog menu object embed audio video map title label fieldset".split())
+SILENT = frozenset("head script style noscript iframe svg canvas template object embed audio video map title".split())
+DROPPED = frozenset("nav footer aside form button select textarea input dialog menu label fieldset".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog alertdialog menu menubar toolbar".split())
 DROPPED_WORDS = frozenset("ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay sidebar side rail widget menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer foot masthead topbar toolbar comment comments disqus reply replies respond share sharing social related recommended newsletter subscribe signup login search tags skip".split())
 
@@ -47,22 +50,24 @@ MOST = 0.5
 LIKE = 0.5
 #: The share of the chosen element's characters from which a marked article inside it is taken for the whole.
 MARKED = 0.2
-KEEP, MAYBE, REMARK, DROP = range(4)
+#: The share of the choice's characters that are left without unwanted elements, below which density chooses once more.
+LEFT = 0.8
+KEEP, MAYBE, REMARK, DROP, UNSEEN = range(5)
 
 
 def unwanted(tag: str, attributes: str, in_article: bool) -> int:
-    """DROP for an element that is none of the article's; MAYBE if that is so by form, role, class or id alone, which wrappers of
-    the article may have too; REMARK likewise for comments."""
+    """UNSEEN for an element that shows no text; DROP for one that is none of the article's; MAYBE if that is so by form, role, class
+    or id alone, which wrappers of the article may have too; REMARK likewise for comments."""
+    if tag in SILENT:
+        return UNSEEN
     form = tag in ("form", "fieldset")
-    if tag in DROPPED and not form or tag == "header" and not in_article:
-        return DROP
-    out = MAYBE if form else KEEP
+    out = DROP if tag in DROPPED and not form or tag == "header" and not in_article else MAYBE if form else KEEP
     if not attributes or tag in ("html", "body", "article", "main") and not re.search("comment|repl", attributes, re.I):
         return out
     for m in NAMED.finditer(attributes):
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return DROP
+            return UNSEEN
         if name == "role" and value in DROPPED_ROLES:
             out = max(out, MAYBE)
         for parts in map(WORDS.findall, value.split() if name in ("class", "id") else ()):
@@ -78,7 +83,7 @@ class Page:
         self.tags, self.parents, self.kept, self.texts, self.doubts = ["#root"], [-1], [True], [], [KEEP]
         self.stack = [0]
         self.open: dict[str, list[int]] = {"#block": []}  # depths in the stack at which a tag is open, so that no search walks it
-        within = [False]  # whether a node is in an article
+        within, clear = [False], [True]  # whether a node is in an article, and in no element that is surely none of its
         at, n = 0, len(source)
         while at < n:
             m = TOKEN.search(source, at)
@@ -103,15 +108,15 @@ class Page:
             self.tags.append(tag)
             self.parents.append(up)
             within.append(within[up] or tag in ("article", "main"))
-            self.doubts.append(unwanted(tag, m[3], self.kept[up] and within[up]))
-            self.kept.append(self.kept[up] and self.doubts[-1] != DROP)
+            self.doubts.append(unwanted(tag, m[3], clear[up] and within[up]))
+            clear.append(clear[up] and self.doubts[-1] < DROP)
+            self.kept.append(self.kept[up] and self.doubts[-1] != UNSEEN)
             if tag in RAW and not m[3].endswith("/"):
                 end = re.compile(rf"</{tag}[\s/>]", re.I).search(source, at)
                 at = end.start() if end else n
                 self.push(tag)
             elif tag not in VOID:
                 self.push(tag)
-        self.settle()
 
     def push(self, tag: str) -> None:
         for name in (tag, "#block") if tag in BLOCK else (tag,):
@@ -132,10 +137,12 @@ class Page:
         return max((self.open[t][-1] for t in tags if self.open.get(t)), default=0)
 
     def settle(self) -> None:
-        """Takes doubtful elements out, but for those that hold most of the page, or the article where there is none elsewhere."""
+        """Takes unwanted elements out; of doubtful ones those stay that hold most of the page, or the article where there is none elsewhere."""
         n = len(self.tags)
         if not any(self.kept[k] and self.doubts[k] for k in range(n)):
             return
+        for k in range(1, n):
+            self.kept[k] = self.kept[k] and self.kept[self.parents[k]] and self.doubts[k] != DROP
         chars, in_link, clear, holds = [0] * n, [False] * n, [True] * n, [False] * n
         for k in range(1, n):
             in_link[k] = in_link[self.parents[k]] or self.tags[k] == "a"
@@ -169,10 +176,20 @@ class Page:
     def main_text(self) -> str:
         """The article's text: blocks in page order, white space as one space."""
         tops = self.choose()
+        shown = self.below(tops)
+        self.settle()
+        inside = self.below(tops)
+        size = lambda nodes: sum(len(t) - t.count(" ") - t.count("\n") for k, t in self.texts if t and nodes[k])
+        if shown != inside and size(inside) < LEFT * size(shown):
+            inside = self.below(self.choose())
+        return " ".join("".join(" " if t is None else html.unescape(t) for k, t in self.texts if t is None or inside[k]).split())
+
+    def below(self, tops: set[int]) -> list[bool]:
+        """Whether a node is kept and one of these or below one."""
         inside = [False] * len(self.tags)
         for k in range(len(self.tags)):
             inside[k] = self.kept[k] and (k in tops or self.parents[k] >= 0 and inside[self.parents[k]])
-        return " ".join("".join(" " if t is None else html.unescape(t) for k, t in self.texts if inside[k] or t is None).split())
+        return inside
 
     def choose(self) -> set[int]:
         """The nodes that hold the article: one, or sibling articles of like density."""

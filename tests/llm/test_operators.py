@@ -665,6 +665,58 @@ def test_densities_equal_a_plain_tree(monkeypatch):
         assert page.choose() == {best}
 
 
+def test_marked_choices_equal_a_plain_tree():
+    """With article and main among the tags, what is taken for density's choice against sets of descendants, node by node."""
+    rng = random.Random(29)
+    for _ in range(200):
+        parents, tags = [-1, 0], ["#root", "body"]
+        for k in range(2, 25):
+            parents.append(rng.randrange(1, k))
+            tags.append(rng.choice(["div", "div", "p", "a", "article", "main"]))
+        texts = [(rng.randrange(1, 25), "x" * rng.randrange(1, 60)) for _ in range(30)]
+        page = html.Page("")
+        page.tags, page.parents, page.texts, page.kept = tags, parents, texts, [True] * 25
+        taken = {}
+        plain = page.widened
+        page.widened = lambda chosen, marked, scope, density, chars: taken.update(chosen=chosen, density=density) or plain(chosen, marked, scope, density, chars)  # noqa: B023
+        got, chosen, density = page.choose(), taken["chosen"], taken["density"]
+        is_marked = lambda k: tags[k] in ("article", "main")  # noqa: E731, B023
+        below = lambda k: {j for j in range(25) if k in ancestors(parents, j)}  # noqa: E731, B023
+        size = lambda k: sum(len(t) for j, t in texts if j in below(k))  # noqa: E731, B023
+        around = [k for k in ancestors(parents, chosen) if is_marked(k)]
+        if around:
+            top = min(around)  # the outermost: parents have lesser numbers
+        else:
+            inside = [k for k in below(chosen) if is_marked(k)]
+            top = max(inside, key=lambda k: (size(k), -k), default=None)
+            if top is None or size(top) < html.MARKED * size(chosen):
+                assert got == {chosen}
+                continue
+            top = min(k for k in ancestors(parents, top) if is_marked(k))
+        assert got == {k for k in range(25) if k == top or tags[k] == tags[top] and parents[k] == parents[top] and density[k] >= html.LIKE * density[top]}
+
+
+def test_density_decides_where_no_name_helps():
+    """Frames of divs whose names say nothing, around an article that is a div too: no list of words and no mark applies."""
+    rng = random.Random(31)
+    words = lambda n: " ".join(rng.choice(["river", "stone", "light", "market", "window", "garden"]) for _ in range(n))
+    for _ in range(50):
+        links = "".join(f"<li><a href=/{k}>{words(2)}</a></li>" for k in range(rng.randrange(5, 12)))
+        body = [words(rng.randrange(40, 120)) for _ in range(rng.randrange(4, 9))]
+        article = "<div class=q3>" + "".join(f"<p>{b}</p>" for b in body) + "</div>"
+        page = f"<body><div class=q1><ul>{links}</ul></div><div class=q2><div>{words(8)}</div></div>{article}<div class=q4><ul>{links}</ul>{words(6)}</div></body>"
+        assert html.Page(page).main_text() == " ".join(body)
+
+
+def test_short_articles_beside_longer_frames():
+    """Density takes the frame first; what its names say then makes it choose once more."""
+    long = "Another reader says this and that about it all. " * 12
+    article = "<article><p>Short news.</p></article>"
+    for frame in (f"<div class='comments'><p>{long}</p></div>", f"<aside><p>{long}</p></aside>", f"<footer><div><p>{long}</p></div></footer>", f"<section id='comments'><article class='comment'><p>{long}</p></article></section>"):
+        assert html.Page(f"<body>{article}{frame}</body>").main_text() == "Short news.", frame
+    assert html.Page(f"<body><nav>{long}</nav></body>").main_text() == ""
+
+
 def ancestors(parents, k):
     out = set()
     while k >= 0:
