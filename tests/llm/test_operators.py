@@ -603,6 +603,39 @@ def test_chains_are_the_best():
         assert abs(score - max(best.values())) < 1e-9
 
 
+def test_short_much_edited_passages_are_found(spark):
+    """Recall by length and rate of edits among planted pairs whose longest common subsequence makes them 0.8 alike or more."""
+    rng, vocabulary = random.Random(41), [f"w{k}" for k in range(6000)]
+    fill = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    rows, planted = [], {}
+    for size, rate, kinds in ((55, 0.15, "s"), (55, 0.18, "s"), (60, 0.18, "s"), (55, 0.15, "sid"), (60, 0.18, "sid"), (80, 0.18, "sid")):
+        pairs = planted.setdefault((size, rate, kinds), [])
+        while len(pairs) < 100:
+            a, b = fill(size), []
+            for w in a:
+                kind = rng.choice(kinds) if rng.random() < rate else ""
+                b += {"": [w], "s": fill(1), "i": [*fill(1), w], "d": []}[kind]
+            if len(b) < 50 or chaining.common_words(a, b) < 0.8 * max(len(a), len(b)):
+                continue
+            pairs.append((len(rows), len(rows) + 1))
+            rows += [fill(60) + a + fill(60), fill(60) + b + fill(60)]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string")
+    got = {(r["other_id"], r["doc_id"]) for r in chaining.repeated_passages(df).collect()}
+    recall = {k: sum(p in got for p in pairs) / len(pairs) for k, pairs in planted.items()}
+    assert min(recall.values()) >= 0.85 and sum(recall.values()) / len(recall) >= 0.93, recall
+    assert got <= {p for pairs in planted.values() for p in pairs}
+
+
+def test_alignment_ends_where_thresholds_are_met():
+    """A passage of 50 words with three edits behind the first two: the best score leaves all five out, which would make it too short."""
+    a = list(range(1000, 1050))
+    b = list(a)
+    for k in (2, 3, 4, 47):
+        b[k] = -k
+    s, e, t, f, equal = chaining.align([1, 2, *a, 3], [4, 5, *b, 6], [(12, 12)])
+    assert (s, e, t, f, equal) == (2, 52, 2, 52, 46)
+
+
 # 9
 
 
