@@ -5,8 +5,8 @@ in the trusted target and in the raw corpus, T and R their sums and e = T r / R
 corpus, the cell weighs log((t + 1) / (e + 1)). A document's score is the mean weight of its n-grams, so long and short ones
 are judged alike, and it is kept if the score reaches the model's threshold.
 
-The raw multinomial counts every document. The target is a sample of at most TARGET_ROWS trusted labelled rows (those with
-the smallest hash of their id), half to count and half, held out, to set the threshold.
+The raw multinomial counts every document, the target all trusted labelled ones but a held-out half (by a bit of their id's hash),
+whose scores, all of them, set the threshold.
 """
 
 from __future__ import annotations
@@ -19,11 +19,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, slices, stored, text_column, unused
+from .common import SPACES, cut, shuffles_freed, slices, stored, text_column, unused
+from .mixing import numbered
 
 BUCKETS = 1 << 16
-#: Bound of the labelled sample; its ids (16 bytes each) are what is broadcast.
-TARGET_ROWS = 20_000
+#: Trusted ids (16 bytes each) up to which they are broadcast to spare a shuffle of texts; more are joined by a shuffle.
+BROADCAST_ROWS = 400_000
 #: The held-out share of trusted documents that the threshold may lose.
 LOSS = 0.0005
 #: Used where no trusted row is at hand: every document passes.
@@ -120,11 +121,11 @@ def quality(model: Model, text="text"):
     return text_column(make, FIELDS)(text)
 
 
-def trusted_sample(labels: DataFrame, rows: int = TARGET_ROWS) -> DataFrame:
-    """(doc_id, held) of at most so many trusted labelled rows: quality 1 and not toxic."""
+def trusted_sample(labels: DataFrame) -> DataFrame:
+    """(doc_id, held) of all trusted labelled rows: quality 1 and not toxic. held marks the half that sets the threshold."""
     h = F.xxhash64(F.col("doc_id"), F.lit("trusted"))
     good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return good.orderBy(h, "doc_id").limit(rows).select("doc_id", ((h.bitwiseAND(F.lit(1))) == 1).alias("held"))
+    return good.select("doc_id", ((h.bitwiseAND(F.lit(1))) == 1).alias("held"))
 
 
 def gram_counts(docs: DataFrame, sample: DataFrame) -> DataFrame:
@@ -148,24 +149,39 @@ def gram_counts(docs: DataFrame, sample: DataFrame) -> DataFrame:
             x = full[i : i + (1 << 14)]
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(total[0][x]), pa.array(total[1][x])], names=["bucket", "raw", "target"])
 
-    rows = docs.join(F.broadcast(sample), "doc_id", "left").select("text", "held")
+    rows = docs.join(sample, "doc_id", "left").select("text", "held")
     return rows.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
+def quantile(scores: DataFrame, share: float) -> float | None:
+    """The exact quantile of the column score, null where there is no score: a range sort, of which two rows reach the driver. Between
+    two places it is in proportion."""
+    ranked = cut(numbered(scores.where("score is not null").withColumn("tie", F.monotonically_increasing_id()), "score", "tie"))
+    at = (ranked.count() - 1) * share
+    if at < 0:
+        return None
+    below = int(at)
+    around = [r["score"] for r in ranked.where(F.col("n").isin(below, below + 1)).orderBy("n").collect()]
+    return around[0] + (at - below) * (around[-1] - around[0])
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    """The model of these documents. What reaches the driver is BUCKETS rows of counts and one threshold, whatever the input."""
-    sample = docs.sparkSession.createDataFrame(trusted_sample(labels).toArrow())
-    counts = gram_counts(docs.select("doc_id", "text"), sample).toArrow()
+    """The model of these documents. What reaches the driver is BUCKETS rows of counts and two scores, whatever the input."""
+    sample = cut(trusted_sample(labels))
+    few = sample.count() <= BROADCAST_ROWS  # else texts are shuffled, and freed when counted
+    near = F.broadcast if few else lambda df: df
+    with shuffles_freed(docs.sparkSession):
+        counts = gram_counts(docs.select("doc_id", "text"), near(sample)).toArrow()
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     at = np.asarray(counts["bucket"])
     raw[at], target[at] = np.asarray(counts["raw"]), np.asarray(counts["target"])
     if not target.sum():
         return Model(np.zeros(BUCKETS, dtype=np.float32), NO_THRESHOLD)
     weights = np.log((target + 1) / (raw * (target.sum() / raw.sum()) + 1)).astype(np.float32)
-    held = stored(docs.join(F.broadcast(sample.where("held")), "doc_id", "left_semi").select("text"))  # else the filter below is judged before the join
-    held = held.select(quality(Model(weights, NO_THRESHOLD), "text").alias("q")).where("not q.base_failed")
-    threshold = held.agg(F.percentile("q.score", LOSS)).first()[0]
-    return Model(weights, NO_THRESHOLD if threshold is None else float(threshold))
+    held = docs.join(near(sample.where("held")), "doc_id", "left_semi").select(quality(Model(weights, NO_THRESHOLD), "text").alias("q"))
+    scores = stored(held.select(F.when(~F.col("q.base_failed"), F.col("q.score")).alias("score")))  # no filter, which would be judged before the join
+    threshold = quantile(scores, LOSS)
+    return Model(weights, NO_THRESHOLD if threshold is None else threshold)
 
 
 def quality_report(docs: DataFrame, labels: DataFrame) -> DataFrame:

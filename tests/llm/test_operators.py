@@ -808,6 +808,22 @@ def test_quality_on_held_out_labels(spark, sf):
     assert sum(good) > 0.95 * len(good) and sum(bad) < 0.35 * len(bad) + 1
 
 
+@pytest.mark.parametrize("broadcast", [400_000, 0])
+def test_all_trusted_rows_make_the_model(spark, monkeypatch, broadcast):
+    """More than 20,000 of them: all but the held-out half are counted, and all of that half set the threshold."""
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", broadcast)
+    n = 21_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.expr("concat_ws(' ', transform(sequence(1, 12), i -> 'w' || (id * i * 7919) % 997))").alias("text")).localCheckpoint()
+    labels = docs.select("doc_id", F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    sample = quality.trusted_sample(labels).localCheckpoint()
+    assert sample.count() == n
+    held = sample.where("held").count()
+    assert quality.gram_counts(docs, sample).agg(F.sum("target")).first()[0] == 23 * (n - held) and abs(held - n / 2) < 500
+    model = quality.fit(docs, labels)
+    scores = [r[0] for r in docs.join(sample.where("held"), "doc_id").select(quality.quality(model).alias("q")).where("not q.base_failed").select("q.score").collect()]
+    assert model.threshold == pytest.approx(np.quantile(scores, quality.LOSS), abs=1e-12)
+
+
 def test_repeated_words_at_random():
     rng = random.Random(8)
     for n in (0, 4, 5, 6, 40, 400):
