@@ -300,3 +300,41 @@ def test_csv(spark, tmp_path):
     files.write_csv(df.coalesce(1), str(tmp_path / "c"))
     text = "".join(p.read_text() for p in (tmp_path / "c").glob("*.csv"))
     assert text == '"a","b"\n"say ""x""",""\n' or text == '"a","b"\n"say ""x""",\n'
+
+
+def test_positions_need_no_shuffle_and_several_rows_of_a_key_are_one_document(spark, tmp_path):
+    long = " ".join(f"w{k % 7}" for k in range(3000))
+    rows = [(1, "b a B c"), (2, None), (3, ""), (4, "a"), (5, long)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = index.positional(docs)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {(r["term"], r["doc_id"]): (r["tf"], r["positions"]) for r in found.collect()}
+    words = {k: (t or "").lower().split() for k, t in rows}
+    want = {(w, k): (ws.count(w), [i for i, x in enumerate(ws) if x == w]) for k, ws in words.items() for w in ws}
+    assert got == want
+    twice = docs.unionByName(docs.where("doc_id = 1").withColumn("text", F.lit("z a")))
+    got = {(r["term"], r["doc_id"]): (r["tf"], r["positions"]) for r in index.positional(twice).collect()}
+    assert got == want | {("a", 1): (2, [1, 1]), ("z", 1): (1, [0])}
+    for name, df in (("one", docs), ("several", twice)):
+        index.rebuild(df, str(tmp_path / name), "doc_id", "text")
+        by = index.read(spark, str(tmp_path / name), "doc_id")
+        assert by.postings.count() == len(want) + (1 if name == "several" else 0) and by.stats.count() == df.count() and not any((tmp_path / name).glob("*/unsorted"))
+
+
+def test_a_common_term_is_several_ranges(spark, tmp_path):
+    """Else one task sorts and writes all of its postings."""
+    was = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    index.rebuild(spark.range(2000).select(F.col("id").alias("doc_id"), F.lit("the the").alias("text")), str(tmp_path / "i"), "doc_id", "text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", was)
+    sizes = [r["n"] for r in spark.read.parquet(*map(str, (tmp_path / "i").glob("*/postings"))).groupBy(F.input_file_name()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 2000 and max(sizes) < 1000
+
+
+def test_patterns_together_equal_each_alone(spark):
+    docs = spark.createDataFrame([(k, f"water w{k} later {'minister' if k % 2 else 'alter'}") for k in range(20)] + [(50, None)], "doc_id long, text string")
+    alone, typed = index.index_of(docs), ("wat*", "*ter", "W1?", "no*such", "*")
+    want = {(p, r["doc_id"]) for p in typed for r in index.pattern_lookup(alone, p).collect()}
+    together = index.patterns_lookup(index.index_of(docs, positions=False), typed)
+    rows = [tuple(r) for r in together.select("pattern", "doc_id").collect()]
+    assert set(rows) == want and len(rows) == len(want)
