@@ -220,8 +220,7 @@ PATTERNS = {"th*": "th.*", "*ing": ".*ing", "W?th": "w.th", "t*n?": "t.*n.", "*a
 @query(" UNION ALL ".join(f"SELECT '{p}' AS pattern, doc_id FROM (SELECT doc_id, {TOKENS.format('text')} AS t FROM documents) x WHERE len(list_filter(t, lambda w: regexp_full_match(w, '{e}'))) > 0" for p, e in PATTERNS.items()))
 def pattern_by_index(spark, sf_dir):
     """Prefixes, suffixes and wildcards over the term dictionary."""
-    index = I.index_of(table(spark, sf_dir, "documents"))
-    return reduce(DataFrame.unionByName, (I.pattern_lookup(index, p).select(F.lit(p).alias("pattern"), "doc_id") for p in PATTERNS))
+    return I.patterns_lookup(I.index_of(table(spark, sf_dir, "documents"), positions=False), tuple(PATTERNS))
 
 
 @query(text_check("len(list_filter(t, lambda w: regexp_full_match(w, 't.*n.'))) > 0"))
