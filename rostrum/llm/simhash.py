@@ -124,8 +124,8 @@ def near_duplicate_report(docs: DataFrame) -> DataFrame:
 
 # Near copies at a similarity: the pipeline's form. Links at 2 of 64 bits find copies with a change or two in a long text; copies
 # of 0.8 similarity differ in some ten bits, where neither the grid nor any other index on 64 bits is selective. So the
-# fingerprint is made LEAST_BANDS times as many bits long as a band has, or more, texts that agree on a whole band are candidates,
-# the popcount vectors of their first 64 bits rule out chance, and the shingle sets decide. Bands widen with the table so that
+# fingerprint is made LEAST_BANDS times as many bits long as a band has, or more. What the grid links by the first 64 bits and texts that
+# agree on a whole band are candidates, the distance of those 64 bits rules out chance in bands, and the shingle sets decide. Bands widen with the table so that
 # chance groups stay small, and as wider bands agree less often, their number grows with them: recall is the same at every size.
 
 LEAST_BANDS = 64
@@ -246,17 +246,28 @@ def joined_classes(roots: DataFrame, links: DataFrame) -> DataFrame:
     return known.unionByName(tops.join(roots, "node", "left_anti").select("node", F.col("top").alias("root")))
 
 
+def grid_pairs(marks: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes (node, bits) that the popcount grid links: the least nodes of two linked fingerprints, and each node of a
+    fingerprint with the least one."""
+    least = cut(marks.groupBy("bits").agg(F.min("node").alias("least")))
+    end = lambda c: least.select(F.col("bits").alias(c), F.col("least").alias(f"node_{c}"))
+    across = cut(links(least.select("bits"))).join(end("a"), "a").join(end("b"), "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    within = marks.join(least, "bits").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    return cut(across.unionByName(within).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
+
 def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(node, root) for the nodes (hashes) of texts that are linked: their shingle sets are that similar by Jaccard, they share a
     band and are near by their bits. root names the class of all that are linked, through others too.
 
-    docs has node and text. First, in each band's group, ordered by node, a text is compared with the first, or, where that one
+    docs has node and text. First, texts that the popcount grid links (2 of the first 64 bits) are candidates. Then, in each band's group, ordered by node, a text is compared with the first, or, where that one
     only met it by chance, with the one before it: as the order is the same everywhere, large groups share few first texts, and
-    copies become one class. Then, in groups of three and more, all pairs between different classes are compared.
+    copies become one class. Last, in groups of three and more, all pairs between different classes are compared.
     """
     bits = band_bits(docs.count())
     marks = docs.select("node", bands(docs["text"], words, bits, band_count(bits, similarity)).alias("m")).groupBy("node").agg(F.first("m").alias("m"))  # of copies one goes on
     marks = stored(marks.select("node", F.expr("m.wide[0]").alias("bits"), "m.*"))
+    by_grid = grid_pairs(marks.select("node", "bits"))
     members = marks.select("node", "bits", F.explode("bands").alias("band"))
     order = Window.partitionBy("band").orderBy("node")
     here = F.struct("node", "bits")
@@ -265,7 +276,8 @@ def similar_classes(docs: DataFrame, words: int = 5, similarity: float = 0.8) ->
     near = near.select("band", "k", "b", F.when(chance, F.col("last")).otherwise(F.col("first")).alias("a"))
     near = near.select("band", "k", "a.node", F.col("b.node").alias("other"), ((F.col("a.node") != F.col("b.node")) & (F.bit_count(F.expr("a.bits ^ b.bits")) <= CANDIDATE_DISTANCE)).alias("met"))
     near = stored(near.where("met or k = 3"))
-    pairs = cut(near.where("met").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct())
+    pairs = near.where("met").select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    pairs = cut(pairs.unionByName(by_grid).distinct())
     roots = cut(components(alike(docs, pairs, words, similarity)))
     full = cut(near.where("k = 3").select("band"))
     if full.isEmpty():

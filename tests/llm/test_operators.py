@@ -343,6 +343,23 @@ def test_near_copies_share_a_band_however_wide(spark, bits):
     assert sum(bool(keys[2 * k] & keys[2 * k + 1]) for k in range(150)) >= 0.83 * 150
 
 
+def test_the_grid_links_near_copies_too(spark, monkeypatch):
+    """Where no band is shared, long texts with one word changed still meet in the popcount grid."""
+    monkeypatch.setattr(simhash, "band_count", lambda bits, similarity: 64)
+    bands = simhash.bands
+    own = lambda *a, **k: F.struct(bands(*a, **k)["wide"].alias("wide"), F.array(F.xxhash64("text")).alias("bands"), bands(*a, **k)["size"].alias("size"))
+    monkeypatch.setattr(simhash, "bands", own)
+    rng = random.Random(30)
+    rows = []
+    for k in range(30):
+        w = [f"w{rng.randrange(4000)}" for _ in range(2000)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w[:1000], "other", *w[1001:]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    linked = {k // 2 for k, in simhash.near_duplicates(docs, 5).where("component_id < doc_id").select("doc_id").collect()}
+    left = {r["doc_id"] for r in simhash.one_of_each(docs).collect()}
+    assert len(linked) >= 5 and left == set(range(60)) - {2 * k + 1 for k in linked}
+
+
 def test_repeats_dont_hide_near_copies(spark):
     rng = random.Random(14)
     rows = []
