@@ -338,3 +338,36 @@ def test_patterns_together_equal_each_alone(spark):
     together = index.patterns_lookup(index.index_of(docs, positions=False), typed)
     rows = [tuple(r) for r in together.select("pattern", "doc_id").collect()]
     assert set(rows) == want and len(rows) == len(want)
+
+
+def shuffle_bytes(spark):
+    """(stage, bytes that it wrote for shuffles) of the stages that the session knows of."""
+    none = spark._jvm.java.util.ArrayList()
+    quantiles = spark.sparkContext._gateway.new_array(spark._jvm.double, 0)
+    found = spark._jsc.sc().statusStore().stageList(none, False, False, quantiles, none)
+    return {found.apply(k).stageId(): found.apply(k).shuffleWriteBytes() for k in range(found.size())}
+
+
+@pytest.mark.parametrize("bits", [1, 6])
+def test_an_index_is_written_and_merged_without_shuffling_postings(spark, tmp_path, monkeypatch, bits):
+    """With 2 documents a block, blocks stay full and keep their numbers in a merge; with 64 they are numbered anew."""
+    monkeypatch.setattr(index, "BLOCK_BITS", bits)
+    rng = random.Random(8)
+    texts = [" ".join(f"w{min(rng.randrange(40), rng.randrange(40))}" for _ in range(rng.choice([3, 300, 3000]))) for _ in range(600)] + [None, "", " .", "the the"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    changed = docs.where("doc_id % 2 = 1 or doc_id % 10 = 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("new "), "text")).otherwise(F.col("text")))
+    at, before = str(tmp_path / "i"), max(shuffle_bytes(spark), default=-1)
+    index.rebuild(docs.where("doc_id % 2 = 0"), at, "doc_id", "text")
+    index.add_segment(changed, docs.where("doc_id % 10 = 0").select("doc_id"), at, "doc_id", "text")
+    assert index.merge(spark, at, "doc_id") == 2
+    postings = sum(p.stat().st_size for p in (tmp_path / "i").rglob("postings/*.parquet"))
+    assert sum(n for stage, n in shuffle_bytes(spark).items() if stage > before) < postings / 4
+    index.rebuild(changed.unionByName(docs.where("doc_id % 2 = 0 and doc_id % 10 <> 0")), str(tmp_path / "whole"), "doc_id", "text")
+    merged, whole = index.read(spark, at, "doc_id"), index.read(spark, str(tmp_path / "whole"), "doc_id")
+    rows = lambda df: sorted((r["term"], r["doc_id"], r["tf"], tuple(r["positions"])) for r in df.postings.collect())
+    assert rows(merged) == rows(whole)
+    assert sorted(map(str, merged.stats.collect())) == sorted(map(str, whole.stats.collect()))
+    assert sorted(map(tuple, merged.terms.collect())) == sorted(map(tuple, whole.terms.collect()))
+    best = lambda df: [tuple(r) for r in df.orderBy(F.desc("score"), "doc_id").limit(10).collect()]
+    for terms in (("w7",), ("the", "w39"), ("new", "w1")):
+        assert best(index.ranked(merged, terms, 10).scores) == best(index.ranked(whole, terms, 10).scores) == best(S.bm25_by_index(merged, terms))
