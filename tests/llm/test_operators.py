@@ -608,6 +608,72 @@ def test_passages_within_a_document_and_held_by_many(spark, monkeypatch, hot):
     assert {(k, 0) for k in range(1, 20)} | {(20, 20)} <= got
 
 
+def edited_at(words, places, rng):
+    return [f"x{rng.random()}" if k in places else w for k, w in enumerate(words)]
+
+
+@pytest.mark.parametrize("piece", [1_000, 3])
+def test_passage_with_neither_the_first_nor_the_next_holders_is_found(spark, monkeypatch, piece):
+    """Twelve documents hold a line; two of them, with others before and between, also what stands around it, with every fifth word
+    another, so that seeds of the line alone meet. One of the two lies in a passage with yet another document."""
+    monkeypatch.setattr(chaining, "PIECE", piece)
+    rng = random.Random(21)
+    fill = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows, planted = [], set()
+    for k in range(6):
+        line, left, right = fill(16), fill(24), fill(24)
+        own = [fill(60) + line + fill(60) for _ in range(12)]
+        own[3] = fill(30) + left + line + right + fill(30)
+        own[9] = fill(20) + edited_at(left, range(3, 24, 5), rng) + line + edited_at(right, range(0, 24, 5), rng) + fill(40)
+        planted.add((12 * k + 9, 12 * k + 3))
+        if k > 2:  # the later one is alike to the first holder as well
+            own[0] = fill(10) + own[9][20:84] + fill(50)
+            planted |= {(12 * k + 9, 12 * k), (12 * k + 3, 12 * k)}
+        rows += own
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(rows)], "doc_id long, text string")
+    got = {(r["doc_id"], r["other_id"]) for r in chaining.repeated_passages(df).collect()}
+    joined = {(12 * k + 9, 12 * k + 3) for k in range(3, 6)}  # both with the first
+    assert planted - joined <= got <= planted
+
+
+def test_places_of_which_alignment_makes_a_passage_are_looked_at():
+    """Against alignment itself, with texts that end soon, insertions, deletions and substitutions; and a second seed further on."""
+    import numpy as np
+
+    rng, seen = random.Random(3), chaining.SEEN
+    fill = lambda n: [rng.randrange(2, 300) for _ in range(n)]
+
+    def around(text, at):
+        out = np.zeros(2 * seen + chaining.SHINGLE, np.uint16)
+        for k in range(len(out)):
+            if 0 <= at + k - seen < len(text):
+                out[k] = text[at + k - seen]
+        return out
+
+    def kept(a, b):
+        one, two = (np.stack(x) for x in (a, b))
+        ahead, on = chaining.goes_on(*(np.ascontiguousarray(c[:, seen:]) for c in (one, two)))
+        back, before = chaining.goes_on(*(np.ascontiguousarray(c[:, seen + chaining.SHINGLE - 1 :: -1]) for c in (one, two)))
+        return on | before | (ahead + back - chaining.SHINGLE >= chaining.LEAST_WORDS)
+
+    rows = []
+    for _ in range(800):
+        core, left, right, rate = fill(rng.choice([5, 10, 20, 45, 60])), fill(60), fill(60), rng.choice([0, 0.1, 0.2, 0.3, 1])
+        edit = lambda ws: [x for w in ws for x in ([w] if rng.random() > rate else rng.choice([[], [w, *fill(1)], fill(1)]))]  # noqa: B023, E731
+        ends = [left[rng.randrange(60) :], left[rng.randrange(60) :], right[: rng.randrange(61)], right[: rng.randrange(61)]]
+        a, b = ends[0] + core + ends[2], edit(ends[1]) + core + edit(ends[3])
+        at = len(ends[0]), next(k for k in range(len(b)) if b[k : k + len(core)] == core)
+        s, e, t, f, equal = chaining.align(a, b, [at])
+        rows.append((around(a, at[0]), around(b, at[1]), bool(chaining.enough(e - s, f - t, equal))))
+    found, passage = kept([r[0] for r in rows], [r[1] for r in rows]), np.array([r[2] for r in rows])
+    assert 200 < passage.sum() < 700 and not (passage & ~found).any() and found.sum() < len(rows)
+    for _ in range(100):
+        a, b, run, gap, shift = fill(200), fill(200), rng.randrange(5, 30), rng.randrange(9, 35), rng.randrange(-5, 6)
+        b[80 : 80 + run] = a[80 : 80 + run]
+        b[80 + run + gap + shift : 85 + run + gap + shift] = a[80 + run + gap : 85 + run + gap]
+        assert kept([around(a, 80)], [around(b, 80)])[0]
+
+
 def test_chains_are_the_best():
     rng = random.Random(6)
     for _ in range(30):
